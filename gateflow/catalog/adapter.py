@@ -17,18 +17,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
     """Old-format transactions: ``events`` with a gate and a direction."""
-    gates = F.array(*[F.lit(g) for g in [*DEFAULT_GATES, OTHER_GATE, OTHER_GATE]])
-    kind = F.col("event_type")
-    return table(spark, folder, "events").select(
+    gates = ", ".join(f"'{g}'" for g in [*DEFAULT_GATES, OTHER_GATE, OTHER_GATE])
+    return table(spark, folder, "events").selectExpr(
         "event_id",
-        F.get(gates, F.pmod("user_id", F.lit(12)).cast("int")).alias("tema_key"),
-        F.col("ts").alias("transaction_date"),
-        F.when(kind.isin("view", "signup"), "Entry")
-        .when(kind.isin("purchase", "error"), "Exit")
-        .otherwise("Denied")
-        .alias("transit_direction_description"),
-        kind.alias("transit_status_description"),
-        F.col("user_id").cast("string").alias("card_number"),
+        f"get(array({gates}), CAST(user_id % 12 AS INT)) AS tema_key",
+        "ts AS transaction_date",
+        "CASE WHEN event_type IN ('view', 'signup') THEN 'Entry' "
+        "WHEN event_type IN ('purchase', 'error') THEN 'Exit' "
+        "ELSE 'Denied' END AS transit_direction_description",
+        "event_type AS transit_status_description",
+        "CAST(user_id AS STRING) AS card_number",
     )
 
 

@@ -35,11 +35,11 @@ DIGITS = 6
 
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to ``DIGITS`` decimals, with a single zero."""
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.round(f"`{name}`", DIGITS) + F.lit(0.0)).alias(name)
+            f"round(`{name}`, {DIGITS}) + 0D AS `{name}`"
             if kind == "double"
-            else F.col(f"`{name}`")
+            else f"`{name}`"
             for name, kind in df.dtypes
         ]
     )
@@ -365,7 +365,7 @@ def unpivot_hours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def time_band_counts(spark: SparkSession, folder: str) -> DataFrame:
-    band = time_band(F.hour("transaction_date")).alias("franja_horaria")
+    band = F.expr(f"{time_band('hour(transaction_date)')} AS franja_horaria")
     return transactions(spark, folder).groupBy(band).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -379,15 +379,10 @@ def day_type_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def weekday_label_counts(spark: SparkSession, folder: str) -> DataFrame:
-    fecha = F.to_date("transaction_date")
-    return (
-        transactions(spark, folder)
-        .groupBy(
-            weekday_label(fecha).alias("dia_ordenado"),
-            weekday_number(fecha).alias("dia_orden"),
-        )
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    label = F.expr(f"{weekday_label('transaction_date')} AS dia_ordenado")
+    order = F.expr(f"{weekday_number('transaction_date')} AS dia_orden")
+    seen = transactions(spark, folder)
+    return seen.groupBy(label, order).agg(F.count(F.lit(1)).alias("n"))
 
 
 def impute_two_sigma(spark: SparkSession, folder: str) -> DataFrame:

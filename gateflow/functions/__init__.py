@@ -1,4 +1,9 @@
-"""Column expressions shared by the operators."""
+"""SQL expressions shared by the operators.
+
+Each function returns the text of one expression over the columns or
+expressions it is given, for ``selectExpr`` and ``expr``. A long CASE then
+costs one call from Python to the JVM instead of one per branch.
+"""
 
 from gateflow.functions.missing import floor_at_zero, if_else, running_sum, strict_sum
 from gateflow.functions.timeparts import (

@@ -1,31 +1,34 @@
 """Expressions in which a missing input gives a missing output.
 
-Spark skips NULL in sums and sends a NULL condition to ``otherwise``; the
-results matched here are those of a language where NA spreads.
+Spark skips NULL in sums and sends a NULL condition to ELSE; the results
+matched here are those of a language where NA spreads.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
-from pyspark.sql import functions as F
+from gateflow.functions.text import names
 
 
-def if_else(condition: Column, yes: Column, no: Column) -> Column:
+def if_else(condition: str, yes: str, no: str) -> str:
     """``yes`` or ``no`` by the condition; NULL where the condition is NULL."""
-    return F.when(condition, yes).when(~condition, no)
+    return f"CASE WHEN {condition} THEN {yes} WHEN NOT ({condition}) THEN {no} END"
 
 
-def floor_at_zero(value: Column) -> Column:
+def floor_at_zero(value: str) -> str:
     """Negative values become 0, NULL stays NULL."""
-    return F.when(value < 0, F.lit(0).cast("double")).otherwise(value)
+    return f"CASE WHEN {value} < 0 THEN 0D ELSE {value} END"
 
 
-def strict_sum(value: Column) -> Column:
+def strict_sum(value: str) -> str:
     """Sum that is NULL as soon as one value is NULL."""
-    return F.when(F.count(value) == F.count(F.lit(1)), F.sum(value))
+    return f"CASE WHEN count({value}) = count(1) THEN sum({value}) END"
 
 
-def running_sum(value: Column, window: WindowSpec) -> Column:
+def running_sum(value: str, partition: list[str], order: str) -> str:
     """Running sum that stays NULL from the first NULL value on."""
-    complete = F.count(value).over(window) == F.count(F.lit(1)).over(window)
-    return F.when(complete, F.sum(value).over(window))
+    over = (
+        f"OVER (PARTITION BY {names(partition)} ORDER BY {order} "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    )
+    complete = f"count({value}) {over} = count(1) {over}"
+    return f"CASE WHEN {complete} THEN sum({value}) {over} END"

@@ -2,54 +2,50 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from gateflow.functions.fixed import BAND_LABELS, DAY_TYPES, TIME_BANDS, WEEKDAY_LABELS
+from gateflow.functions.text import name, value
 
 
-def _range_label(value: Column, ranges) -> Column:
-    """Label of the first range that holds the value, NULL outside all of them."""
-    label = F.lit(None).cast("string")
-    for name, first, last in reversed(ranges):
-        label = F.when(value.between(first, last), F.lit(name)).otherwise(label)
-    return label
+def _range_label(number: str, ranges) -> str:
+    """Label of the range that holds the number, NULL outside all of them."""
+    cases = " ".join(
+        f"WHEN {number} BETWEEN {first} AND {last} THEN {value(label)}"
+        for label, first, last in ranges
+    )
+    return f"CASE {cases} END"
 
 
-def time_band(hora: Column, bands=TIME_BANDS) -> Column:
+def time_band(hora: str, bands=TIME_BANDS) -> str:
     return _range_label(hora, bands)
 
 
-def band_rank(franja: Column, labels=BAND_LABELS) -> Column:
+def band_rank(franja: str, labels=BAND_LABELS) -> str:
     """Position of the band within the day, from 1."""
-    ranked = [(franja == label, rank) for rank, label in enumerate(labels, 1)]
-    return reduce(
-        lambda chain, case: chain.when(*case), ranked[1:], F.when(*ranked[0])
-    )
+    cases = " ".join(f"WHEN {value(n)} THEN {rank}" for rank, n in enumerate(labels, 1))
+    return f"CASE {franja} {cases} END"
 
 
-def weekday_number(fecha: Column) -> Column:
+def weekday_number(fecha: str) -> str:
     """Monday is 1, Sunday is 7."""
-    return F.weekday(fecha) + 1
+    return f"weekday({fecha}) + 1"
 
 
-def day_type(fecha: Column, day_types=DAY_TYPES) -> Column:
-    return _range_label(weekday_number(fecha), day_types)
+def day_type(fecha: str, day_types=DAY_TYPES) -> str:
+    return _range_label(f"({weekday_number(fecha)})", day_types)
 
 
-def weekday_label(fecha: Column, labels=WEEKDAY_LABELS) -> Column:
+def weekday_label(fecha: str, labels=WEEKDAY_LABELS) -> str:
     """Label of the weekday, NULL for days past the end of ``labels``."""
-    return F.get(F.array(*map(F.lit, labels)), F.weekday(fecha))
+    return f"get(array({', '.join(map(value, labels))}), weekday({fecha}))"
 
 
 def label_time(df: DataFrame, fecha: str = "fecha", hora: str = "hora") -> DataFrame:
     """Add the band of the hour, the weekday number and the day type."""
-    return df.withColumns(
-        {
-            "franja_horaria": time_band(F.col(hora)),
-            "dia_sem": weekday_number(F.col(fecha)),
-            "tipo_dia": day_type(F.col(fecha)),
-        }
+    return df.selectExpr(
+        "*",
+        f"{time_band(name(hora))} AS franja_horaria",
+        f"{weekday_number(name(fecha))} AS dia_sem",
+        f"{day_type(name(fecha))} AS tipo_dia",
     )

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gateflow.functions import label_time, running_sum
 from gateflow.functions.fixed import HOURS
+from gateflow.functions.text import name as quoted
+from gateflow.functions.text import value as literal
 from gateflow.operators.counts import COUNT, DIRECTION
 
 # Dates are spread over this many join keys when paired with the directions.
@@ -32,19 +34,21 @@ def calendar_grid(
     """
     dates = counts.select("fecha").distinct()
     if directions is not None:
-        pairs = dates.withColumn(direction, F.explode(F.array(*map(F.lit, directions))))
+        listed = ", ".join(map(literal, directions))
+        pairs = dates.selectExpr(
+            "fecha", f"explode(array({listed})) AS {quoted(direction)}"
+        )
     else:
-        slots = F.sequence(F.lit(0), F.lit(SLOTS - 1))
         copies = (
-            counts.select(direction).distinct().withColumn("slot", F.explode(slots))
+            counts.select(direction)
+            .distinct()
+            .selectExpr("*", f"explode(sequence(0, {SLOTS - 1})) AS slot")
         )
-        pairs = (
-            dates.withColumn("slot", F.pmod(F.hash("fecha"), F.lit(SLOTS)))
-            .join(copies, "slot")
-            .drop("slot")
+        pairs = dates.selectExpr("fecha", f"pmod(hash(fecha), {SLOTS}) AS slot").join(
+            copies, "slot"
         )
-    hours = F.sequence(F.lit(HOURS[0]), F.lit(HOURS[-1]))
-    return pairs.select("fecha", direction, F.explode(hours).alias("hora"))
+    hours = f"explode(sequence({HOURS[0]}, {HOURS[-1]})) AS hora"
+    return pairs.selectExpr("fecha", quoted(direction), hours)
 
 
 def densify_hours(
@@ -61,12 +65,13 @@ def densify_hours(
     all use that placement.
     """
     keys = ["fecha", direction, "hora"]
-    seen = counts.where(F.col("hora").between(HOURS[0], HOURS[-1]))
+    seen = counts.where(f"hora BETWEEN {HOURS[0]} AND {HOURS[-1]}")
     if directions is not None:
         directions = list(directions)
         seen = seen.where(F.col(direction).isin(directions))
-    zeros = calendar_grid(counts, direction, directions).withColumn(
-        value, F.lit(0).cast(counts.schema[value].dataType)
+    zero = f"CAST(0 AS {counts.schema[value].dataType.simpleString()})"
+    zeros = calendar_grid(counts, direction, directions).selectExpr(
+        "*", f"{zero} AS {quoted(value)}"
     )
     return (
         seen.select(*keys, value)
@@ -84,12 +89,9 @@ def accumulate(
     direction: str = DIRECTION,
 ) -> DataFrame:
     """Running sum of ``value`` over the hours of each date and direction."""
-    within_day = (
-        Window.partitionBy("fecha", direction)
-        .orderBy(F.col("hora").asc_nulls_last())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return df.withColumn(name, running_sum(F.col(value), within_day))
+    days = ["fecha", direction]
+    level = running_sum(quoted(value), days, "hora NULLS LAST")
+    return df.selectExpr("*", f"{level} AS {quoted(name)}")
 
 
 def dense_table(

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gateflow.functions.fixed import DEFAULT_GATES
+from gateflow.functions.text import name as quoted
 
 DIRECTION = "transit_direction_description"
 TIMESTAMP = "transaction_date"
@@ -35,7 +36,10 @@ def keep_gates(
 
 
 def with_date_hour(df: DataFrame, timestamp: str = TIMESTAMP) -> DataFrame:
-    return df.withColumns({"fecha": F.to_date(timestamp), "hora": F.hour(timestamp)})
+    moment = quoted(timestamp)
+    return df.selectExpr(
+        "*", f"to_date({moment}) AS fecha", f"hour({moment}) AS hora"
+    )
 
 
 def count_hourly(
@@ -59,12 +63,12 @@ def sum_in_out(
     exits: str = "salidas",
 ) -> DataFrame:
     """Entries, exits and net people per date and hour of a pre-counted export."""
-    total = {c: F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (entries, exits)}
+    sides = [quoted(entries), quoted(exits)]
     return (
         df.transform(with_date_hour, timestamp)
         .groupBy("fecha", "hora")
-        .agg(total[entries], total[exits])
-        .withColumn("personas_por_hora", F.col(entries) - F.col(exits))
+        .agg(*[F.expr(f"coalesce(sum({c}), 0) AS {c}") for c in sides])
+        .selectExpr("*", f"{' - '.join(sides)} AS personas_por_hora")
     )
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gateflow.functions import floor_at_zero, if_else
 from gateflow.functions.fixed import SIGMAS
+from gateflow.functions.text import name as quoted
 from gateflow.operators.counts import COUNT, DIRECTION
 from gateflow.operators.joins import left_join_null_safe
 
@@ -33,12 +34,10 @@ def group_mean_sd(
 
 
 def two_sigma_limits(stats: DataFrame, sigmas: float = SIGMAS) -> DataFrame:
-    spread = F.lit(sigmas) * F.col("sigma")
-    return stats.withColumns(
-        {
-            "limite_inferior": F.col("mu") - spread,
-            "limite_superior": F.col("mu") + spread,
-        }
+    return stats.selectExpr(
+        "*",
+        f"mu - {sigmas!r}D * sigma AS limite_inferior",
+        f"mu + {sigmas!r}D * sigma AS limite_superior",
     )
 
 
@@ -55,18 +54,16 @@ def attach_group_stats(
     return left_join_null_safe(df, stats, groups)
 
 
-def outside(value: Column, lower: Column, upper: Column) -> Column:
+def outside(value: str, lower: str, upper: str) -> str:
     """Strictly below the lower or above the upper limit, NULL if unknown."""
-    below = F.round(value - lower, DECIMALS) < 0
-    above = F.round(value - upper, DECIMALS) > 0
-    return below | above
+    below = f"round({value} - ({lower}), {DECIMALS}) < 0"
+    above = f"round({value} - ({upper}), {DECIMALS}) > 0"
+    return f"({below} OR {above})"
 
 
-def _replaced(value: str) -> Column:
-    is_outlier = outside(
-        F.col(value), F.col("limite_inferior"), F.col("limite_superior")
-    )
-    return if_else(is_outlier, F.col("mu"), F.col(value).cast("double"))
+def _replaced(value: str) -> str:
+    is_outlier = outside(quoted(value), "limite_inferior", "limite_superior")
+    return if_else(is_outlier, "mu", f"CAST({quoted(value)} AS DOUBLE)")
 
 
 def impute_two_sigma(
@@ -81,7 +78,8 @@ def impute_two_sigma(
     The raw value is kept; the imputed one is never negative.
     """
     attached = attach_group_stats(df, stats_groups(direction), value, sigmas)
-    return attached.withColumn(name, floor_at_zero(_replaced(value)))
+    floored = floor_at_zero(f"({_replaced(value)})")
+    return attached.selectExpr("*", f"{floored} AS {quoted(name)}")
 
 
 def correct_two_sigma(
@@ -93,7 +91,7 @@ def correct_two_sigma(
 ) -> DataFrame:
     """Like ``impute_two_sigma``, without the floor at zero."""
     attached = attach_group_stats(df, stats_groups(direction), value, sigmas)
-    return attached.withColumn(name, _replaced(value))
+    return attached.selectExpr("*", f"{_replaced(value)} AS {quoted(name)}")
 
 
 def adjust_net_people(
@@ -101,13 +99,13 @@ def adjust_net_people(
 ) -> DataFrame:
     """Net people far from the mean of their hour become that mean, with a flag."""
     stats = group_mean_sd(df, ["hora"], value, "media", "desviacion")
-    away = F.abs(F.col(value) - F.col("media")) - F.lit(sigmas) * F.col("desviacion")
+    away = f"abs({quoted(value)} - media) - {sigmas!r}D * desviacion"
     flag = "se_sale_de_media"
-    adjusted = if_else(F.col(flag), F.col("media"), F.col(value).cast("double"))
+    adjusted = if_else(flag, "media", f"CAST({quoted(value)} AS DOUBLE)")
     return (
         left_join_null_safe(df, stats, ["hora"])
-        .withColumn(flag, F.round(away, DECIMALS) > 0)
-        .withColumn(f"{value}_ajustado", adjusted)
+        .selectExpr("*", f"round({away}, {DECIMALS}) > 0 AS {flag}")
+        .selectExpr("*", f"{adjusted} AS {quoted(value + '_ajustado')}")
     )
 
 

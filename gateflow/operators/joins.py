@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gateflow.functions.text import name
+
 
 def left_join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Left join on ``on``, key columns once, taken from the left.
@@ -15,8 +14,7 @@ def left_join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> Dat
     No broadcast is forced: adaptive execution measures the right side and
     broadcasts it if it is small, otherwise it splits skewed left partitions.
     """
-    renamed = right.withColumnsRenamed({key: f"__{key}" for key in on})
-    matches = reduce(
-        and_, [F.col(key).eqNullSafe(F.col(f"__{key}")) for key in on]
-    )
-    return left.join(renamed, matches, "left").drop(*[f"__{key}" for key in on])
+    taken = {key: f"__{key}" for key in on}
+    matches = " AND ".join(f"{name(k)} <=> {name(t)}" for k, t in taken.items())
+    joined = left.join(right.withColumnsRenamed(taken), F.expr(matches), "left")
+    return joined.drop(*taken.values())

@@ -6,18 +6,25 @@ day and hour; no pivot has to be joined with another.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gateflow.functions import label_time
 from gateflow.functions.fixed import BAND_LABELS, ENTRY, EXIT, HOURS, SEED_HOUR
+from gateflow.functions.text import name as quoted
+from gateflow.functions.text import value as literal
 from gateflow.operators.counts import DIRECTION
 from gateflow.operators.reshape import pivot_hours, spread
 
 
-def _side(value: str, direction: str, side: str, fill) -> Column:
-    found = F.sum(F.when(F.col(direction) == side, F.col(value)))
-    return found if fill is None else F.coalesce(found, F.lit(fill))
+def _side(value: str, direction: str, side: str, fill) -> str:
+    hit = f"{quoted(direction)} = {literal(side)}"
+    found = f"sum({quoted(value)}) FILTER (WHERE {hit})"
+    return found if fill is None else f"coalesce({found}, {literal(fill)})"
+
+
+def _two_sides(direction: str) -> str:
+    return f"{quoted(direction)} IN ({literal(ENTRY)}, {literal(EXIT)})"
 
 
 def net_by_hour(
@@ -33,13 +40,12 @@ def net_by_hour(
     A side that is absent counts as ``fill``; with ``fill=None`` the
     difference is then missing. Other directions take no part.
     """
-    rows = df.where(F.col(direction).isin(ENTRY, EXIT))
+    rows = df.where(_two_sides(direction))
     if not keep_missing_dates:
-        rows = rows.dropna(subset=["fecha"])
+        rows = rows.where("fecha IS NOT NULL")
+    sides = [_side(value, direction, side, fill) for side in (ENTRY, EXIT)]
     return rows.groupBy("fecha", "hora").agg(
-        (
-            _side(value, direction, ENTRY, fill) - _side(value, direction, EXIT, fill)
-        ).alias(name)
+        F.expr(f"{' - '.join(sides)} AS {quoted(name)}")
     )
 
 
@@ -53,7 +59,7 @@ def net_hourly(
     return (
         df.transform(net_by_hour, value, name, direction, 0, True)
         .transform(label_time)
-        .withColumn("dia_del_mes", F.dayofmonth("fecha"))
+        .selectExpr("*", "dayofmonth(fecha) AS dia_del_mes")
     )
 
 
@@ -90,10 +96,8 @@ def full_outer_sides(
 
     A day seen in one direction only keeps its row.
     """
-    sided = (
-        df.dropna(subset=["fecha"])
-        .where(F.col(direction).isin(ENTRY, EXIT))
-        .withColumn("celda", F.concat_ws("_", "hora", direction))
+    sided = df.where(f"fecha IS NOT NULL AND {_two_sides(direction)}").selectExpr(
+        "fecha", f"concat_ws('_', hora, {quoted(direction)}) AS celda", quoted(value)
     )
     cells = [f"{hour}_{side}" for side in (ENTRY, EXIT) for hour in HOURS]
     return spread(sided, ["fecha"], "celda", cells, value, fill=0)
@@ -101,12 +105,8 @@ def full_outer_sides(
 
 def net_of_sides(sides: DataFrame) -> DataFrame:
     """Difference of the two halves of ``full_outer_sides``, hour by hour."""
-    return sides.select(
-        "fecha",
-        *[
-            (F.col(f"{hour}_{ENTRY}") - F.col(f"{hour}_{EXIT}")).alias(str(hour))
-            for hour in HOURS
-        ],
+    return sides.selectExpr(
+        "fecha", *[f"`{hour}_{ENTRY}` - `{hour}_{EXIT}` AS `{hour}`" for hour in HOURS]
     )
 
 
@@ -124,14 +124,18 @@ def net_by_band(
 ) -> DataFrame:
     """Closing level of entries minus that of exits, bands as columns."""
 
-    def level(side: str, band: str) -> Column:
-        wanted = (F.col(direction) == side) & (F.col("franja_horaria") == band)
-        return F.max(F.when(wanted, F.col(value)))
+    def level(side: str, band: str) -> str:
+        hit = f"{quoted(direction)} = {literal(side)}"
+        hit += f" AND franja_horaria = {literal(band)}"
+        return f"max({quoted(value)}) FILTER (WHERE {hit})"
+
+    def net(band: str) -> str:
+        return f"{level(ENTRY, band)} - {level(EXIT, band)} AS {quoted(band)}"
 
     return (
-        df.where(F.col(direction).isin(ENTRY, EXIT))
+        df.where(_two_sides(direction))
         .groupBy("fecha")
-        .agg(*[(level(ENTRY, b) - level(EXIT, b)).alias(b) for b in BAND_LABELS])
+        .agg(*[F.expr(net(band)) for band in BAND_LABELS])
     )
 
 

@@ -6,12 +6,12 @@ is one aggregation by its row keys, with no job to discover the columns.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gateflow.functions.fixed import BAND_LABELS, HOURS
+from gateflow.functions.text import name as quoted
+from gateflow.functions.text import value as literal
 from gateflow.operators.counts import DIRECTION
 
 
@@ -21,20 +21,23 @@ def spread(
     key: str,
     values: list,
     value: str,
-    aggregate: Callable[[Column], Column] = F.sum,
+    aggregate: str = "sum",
     fill=None,
-    label: Callable[[object], str] = str,
 ) -> DataFrame:
     """One row per ``ids``, one column per listed value of ``key``.
 
-    ``fill`` replaces the cells that no row fell into.
+    ``aggregate`` names a SQL aggregate; ``fill`` replaces the cells that no
+    row fell into.
     """
 
-    def cell(wanted) -> Column:
-        found = aggregate(F.when(F.col(key) == F.lit(wanted), F.col(value)))
-        return found if fill is None else F.coalesce(found, F.lit(fill))
+    def cell(wanted) -> str:
+        hit = f"{quoted(key)} = {literal(wanted)}"
+        found = f"{aggregate}({quoted(value)}) FILTER (WHERE {hit})"
+        if fill is not None:
+            found = f"coalesce({found}, {literal(fill)})"
+        return f"{found} AS {quoted(str(wanted))}"
 
-    return df.groupBy(*ids).agg(*[cell(v).alias(label(v)) for v in values])
+    return df.groupBy(*ids).agg(*[F.expr(cell(v)) for v in values])
 
 
 def pivot_hours(
@@ -51,7 +54,7 @@ def pivot_bands(
     df: DataFrame,
     ids: list[str],
     value: str,
-    aggregate: Callable[[Column], Column] = F.max,
+    aggregate: str = "max",
 ) -> DataFrame:
     """Bands as columns, in the order of the day."""
     return spread(df, ids, "franja_horaria", BAND_LABELS, value, aggregate)
@@ -62,7 +65,7 @@ def pivot_month_day(
 ) -> DataFrame:
     """Day of month and direction by hour; equal days of several months add up."""
     return (
-        df.withColumn("dia_del_mes", F.dayofmonth("fecha"))
+        df.selectExpr("*", "dayofmonth(fecha) AS dia_del_mes")
         .transform(pivot_hours, value, ["dia_del_mes", direction], 0)
         .orderBy(F.col("dia_del_mes").asc_nulls_last(), direction)
     )
@@ -70,9 +73,8 @@ def pivot_month_day(
 
 def unpivot_hours(wide: DataFrame, ids: list[str], name: str) -> DataFrame:
     """Hour columns back to rows, the hour as an integer."""
-    return wide.unpivot(ids, [str(h) for h in HOURS], "hora", name).withColumn(
-        "hora", F.col("hora").cast("int")
-    )
+    long = wide.unpivot(ids, [str(h) for h in HOURS], "hora", name)
+    return long.withColumn("hora", F.col("hora").cast("int"))
 
 
 def as_numeric(df: DataFrame, columns: list[str]) -> DataFrame:

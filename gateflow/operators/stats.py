@@ -11,16 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gateflow.functions.fixed import WHISKER
+from gateflow.functions.text import name as quoted
 from gateflow.operators.impute import outside
 from gateflow.operators.joins import left_join_null_safe
 
 
 def local_percentiles(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """Mean, 10th and 90th percentile (linear between neighbours)."""
+    column = quoted(value)
     return df.groupBy(*groups).agg(
         F.avg(value).alias("media_local"),
-        F.percentile(value, F.lit(0.1)).alias("p10_local"),
-        F.percentile(value, F.lit(0.9)).alias("p90_local"),
+        F.expr(f"percentile({column}, 0.1D) AS p10_local"),
+        F.expr(f"percentile({column}, 0.9D) AS p90_local"),
     )
 
 
@@ -31,27 +33,27 @@ def _with_boxes(
 
     Both uses of the frequencies share one shuffle.
     """
-    known = df.where(F.col(value).isNotNull()).withColumn(
-        "valor", F.col(value).cast("double")
+    keys = [quoted(group) for group in groups]
+    known = df.where(f"{quoted(value)} IS NOT NULL").selectExpr(
+        *keys, f"CAST({quoted(value)} AS DOUBLE) AS valor"
     )
-    frequencies = known.groupBy(*groups, "valor").agg(F.count(F.lit(1)).alias("veces"))
+    frequencies = known.groupBy(*groups, "valor").agg(F.expr("count(1) AS veces"))
     ranks = {"p10": 0.1, "q1": 0.25, "mediana": 0.5, "q3": 0.75, "p90": 0.9}
-    wanted = F.array(*map(F.lit, ranks.values()))
+    wanted = ", ".join(f"{rank!r}D" for rank in ranks.values())
     boxes = (
         frequencies.groupBy(*groups)
         .agg(
-            F.percentile("valor", wanted, F.col("veces")).alias("q"),
-            (F.sum(F.col("valor") * F.col("veces")) / F.sum("veces")).alias("media"),
+            F.expr(f"percentile(valor, array({wanted}), veces) AS q"),
+            F.expr("sum(valor * veces) / sum(veces) AS media"),
         )
-        .select(
-            *groups,
-            "media",
-            *[F.col("q")[i].alias(name) for i, name in enumerate(ranks)],
+        .selectExpr(
+            *keys, "media", *[f"q[{i}] AS {rank}" for i, rank in enumerate(ranks)]
         )
     )
-    reach = F.lit(whisker) * (F.col("q3") - F.col("q1"))
-    return left_join_null_safe(frequencies, boxes, groups).withColumn(
-        "atipico", outside(F.col("valor"), F.col("q1") - reach, F.col("q3") + reach)
+    reach = f"{whisker!r}D * (q3 - q1)"
+    far = outside("valor", f"q1 - {reach}", f"q3 + {reach}")
+    return left_join_null_safe(frequencies, boxes, groups).selectExpr(
+        "*", f"{far} AS atipico"
     )
 
 
@@ -68,21 +70,17 @@ def boxplot_stats(
     of the box, and never inside the box. ``local_points`` adds the columns of
     ``local_percentiles``.
     """
-    inside = F.when(~F.col("atipico"), F.col("valor"))
-    beyond = F.when(F.col("atipico"), F.col("veces")).otherwise(0)
     points = ["media", "p10", "p90"] if local_points else []
-    return (
-        _with_boxes(df, groups, value, whisker)
-        .groupBy(*groups)
-        .agg(
-            F.sum("veces").alias("n"),
-            *[F.first(name).alias(name) for name in ("q1", "mediana", "q3")],
-            F.least(F.min(inside), F.first("q1")).alias("bigote_inferior"),
-            F.greatest(F.max(inside), F.first("q3")).alias("bigote_superior"),
-            F.sum(beyond).alias("n_atipicos"),
-            *[F.first(name).alias(f"{name}_local") for name in points],
-        )
-    )
+    columns = [
+        "sum(veces) AS n",
+        *[f"first({name}) AS {name}" for name in ("q1", "mediana", "q3")],
+        "least(min(valor) FILTER (WHERE NOT atipico), first(q1)) AS bigote_inferior",
+        "greatest(max(valor) FILTER (WHERE NOT atipico), first(q3)) AS bigote_superior",
+        "coalesce(sum(veces) FILTER (WHERE atipico), 0) AS n_atipicos",
+        *[f"first({name}) AS {name}_local" for name in points],
+    ]
+    boxes = _with_boxes(df, groups, value, whisker)
+    return boxes.groupBy(*groups).agg(*map(F.expr, columns))
 
 
 def boxplot_outliers(

@@ -6,13 +6,12 @@ day, hour and direction, and returns the data of one chart or report.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gateflow.functions import band_rank, strict_sum, weekday_label, weekday_number
 from gateflow.functions.fixed import ENTRY, WEEKDAY_LABELS, WORKING_DAYS
+from gateflow.functions.text import name as quoted
 from gateflow.operators.counts import COUNT, DIRECTION
 from gateflow.operators.reshape import pivot_bands
 from gateflow.operators.stats import boxplot_stats
@@ -22,11 +21,10 @@ NET = "flujo_neto_ajustado"
 
 
 def _with_weekday(df: DataFrame, labels=WEEKDAY_LABELS) -> DataFrame:
-    return df.withColumns(
-        {
-            "dia_ordenado": weekday_label(F.col("fecha"), labels),
-            "dia_orden": weekday_number(F.col("fecha")),
-        }
+    return df.selectExpr(
+        "*",
+        f"{weekday_label('fecha', labels)} AS dia_ordenado",
+        f"{weekday_number('fecha')} AS dia_orden",
     )
 
 
@@ -35,7 +33,7 @@ def _working_days(df: DataFrame) -> DataFrame:
 
 
 def _with_band_rank(df: DataFrame) -> DataFrame:
-    return df.withColumn("franja_orden", band_rank(F.col("franja_horaria")))
+    return df.selectExpr("*", f"{band_rank('franja_horaria')} AS franja_orden")
 
 
 def net_profile(net: DataFrame, value: str = NET) -> DataFrame:
@@ -54,14 +52,13 @@ def count_heatmap(
     dense: DataFrame, value: str = COUNT, direction: str = DIRECTION
 ) -> DataFrame:
     """Counts by day of month, direction and hour, with the row label."""
-    day = F.dayofmonth("fecha")
-    return dense.select(
-        day.alias("dia_del_mes"),
-        direction,
+    return dense.selectExpr(
+        "dayofmonth(fecha) AS dia_del_mes",
+        quoted(direction),
         "hora",
-        value,
+        quoted(value),
         "tipo_dia",
-        F.concat(day.cast("string"), F.lit("."), F.col(direction)).alias("fila"),
+        f"concat(dayofmonth(fecha), '.', {quoted(direction)}) AS fila",
     )
 
 
@@ -148,7 +145,7 @@ def band_totals(
 ) -> DataFrame:
     """Totals per day type, direction and band."""
     return dense.groupBy("tipo_dia", direction, "franja_horaria").agg(
-        strict_sum(F.col(value)).alias(name)
+        F.expr(f"{strict_sum(quoted(value))} AS {quoted(name)}")
     )
 
 
@@ -157,7 +154,7 @@ def band_sums(
 ) -> DataFrame:
     """Sums per date, direction and band."""
     return dense.groupBy("fecha", direction, "franja_horaria").agg(
-        strict_sum(F.col(value)).alias(name)
+        F.expr(f"{strict_sum(quoted(value))} AS {quoted(name)}")
     )
 
 
@@ -174,27 +171,27 @@ def by_band(
     df: DataFrame,
     ids: list[str],
     value: str,
-    aggregate: Callable[[Column], Column],
+    aggregate: str,
 ) -> DataFrame:
     """A statistic per ``ids`` and band, bands as columns, known day types only."""
     return df.dropna(subset=["tipo_dia"]).transform(pivot_bands, ids, value, aggregate)
 
 
 def net_mean_band(net: DataFrame, value: str) -> DataFrame:
-    return by_band(net, ["tipo_dia"], value, F.avg)
+    return by_band(net, ["tipo_dia"], value, "avg")
 
 
 def net_sd_band(net: DataFrame, value: str) -> DataFrame:
-    return by_band(net, ["tipo_dia"], value, F.stddev_samp)
+    return by_band(net, ["tipo_dia"], value, "stddev_samp")
 
 
 def count_mean_band(
     dense: DataFrame, value: str = COUNT, direction: str = DIRECTION
 ) -> DataFrame:
-    return by_band(dense, ["tipo_dia", direction], value, F.avg)
+    return by_band(dense, ["tipo_dia", direction], value, "avg")
 
 
 def count_sd_band(
     dense: DataFrame, value: str = COUNT, direction: str = DIRECTION
 ) -> DataFrame:
-    return by_band(dense, ["tipo_dia", direction], value, F.stddev_samp)
+    return by_band(dense, ["tipo_dia", direction], value, "stddev_samp")
