@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gateflow.functions.fixed import DEFAULT_GATES
 from gateflow.functions.text import name as quoted
+from gateflow.operators.joins import broadcast_if_small
 
 DIRECTION = "transit_direction_description"
 TIMESTAMP = "transaction_date"
@@ -30,8 +31,8 @@ def keep_gates(
     (first column) becomes a semi join.
     """
     if isinstance(gates, DataFrame):
-        wanted = gates.select(F.col(gates.columns[0]).alias(key))
-        return df.join(wanted, key, "left_semi")
+        wanted = gates.select(F.col(gates.columns[0]).alias(key)).distinct()
+        return df.join(broadcast_if_small(wanted), key, "left_semi")
     return df.where(F.col(key).isin(list(gates)))
 
 

@@ -1,4 +1,4 @@
-"""Join in which a missing key matches a missing key."""
+"""Joins with a small side, and with keys that may be missing."""
 
 from __future__ import annotations
 
@@ -6,13 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gateflow.functions.text import name
+from gateflow.session import materialise
+
+# A table of more rows than this is not broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` computed and counted, marked for broadcast if it is small.
+
+    For a lookup that is joined with raw rows: counting it first spares the
+    raw rows a shuffle. A larger lookup is left to a shuffle join, in which
+    adaptive execution splits the partition of a key that holds most rows.
+    """
+    stored = materialise(df)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
 
 
 def left_join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Left join on ``on``, key columns once, taken from the left.
 
-    No broadcast is forced: adaptive execution measures the right side and
-    broadcasts it if it is small, otherwise it splits skewed left partitions.
+    Meant for tables that grow with the calendar only. No broadcast is forced:
+    adaptive execution measures the right side and broadcasts it if it is
+    small, otherwise it splits skewed left partitions.
     """
     taken = {key: f"__{key}" for key in on}
     matches = " AND ".join(f"{name(k)} <=> {name(t)}" for k, t in taken.items())

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gateflow.operators.joins import broadcast_if_small
 from gateflow.sources.names import clean_names as cleaned
 
 
@@ -77,10 +78,9 @@ def sentinel_cut(
     """Rows before the first marker of their source; all rows if it has none.
 
     Only the marker positions are grouped, one value per source and task, and
-    the cuts are joined back. Adaptive execution broadcasts them when they are
-    small, and otherwise splits a source that holds most of the rows.
+    the cuts are joined back, so that the rows of a source need not meet.
     """
-    cuts = (
+    cuts = broadcast_if_small(
         df.where(is_marker)
         .groupBy(F.col(source).alias("__source"))
         .agg(F.min(position).alias("__cut"))

@@ -8,14 +8,14 @@ workbook, whose sheet the format limits to 1,048,576 rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gateflow.operators.counts import DIRECTION, TIMESTAMP, require_rows
-from gateflow.sources.conform import parse_timestamp, sentinel_cut
+from gateflow.sources.conform import parse_timestamp
 from gateflow.sources.names import clean_names, number_headers
 from gateflow.sources.xlsx import read_rows
 
@@ -37,7 +37,13 @@ _CHUNK = 20_000
 
 @dataclass(frozen=True)
 class Layout:
-    """How one kind of export is laid out."""
+    """How one kind of export is laid out.
+
+    ``skip`` banner rows precede the header. ``positions`` names columns by
+    place and ``prefixes`` by the start of their cleaned name. A file without
+    a ``required`` column is refused. ``sentinel`` is a column and the value
+    with which the data of a file end.
+    """
 
     types: dict[str, str]
     gate: str | None
@@ -66,6 +72,17 @@ OLD_EXPORT = Layout(
     direction=DIRECTION,
     skip=1,
 )
+# The same, refusing files that lack one of these columns.
+STRICT_OLD_EXPORT = replace(
+    OLD_EXPORT,
+    required=(
+        "transit_status_description",
+        "card_number",
+        "identifier",
+        "parameter_1",
+        "transaction_date",
+    ),
+)
 NEW_EXPORT = Layout(
     types={
         "temaline_interface": "string",
@@ -133,17 +150,25 @@ def _read_workbook(path: str, content: bytes, layout: Layout) -> list[pa.RecordB
     """Rows of one workbook, or a single row with the reason it failed.
 
     Nothing is handed on before the whole sheet was read, as a workbook that
-    fails half-way counts as failed.
+    fails half-way counts as failed. The task sees the rows in order, so the
+    layout's marker is found on the way.
     """
+    marker_column, marker = layout.sentinel or (None, None)
     try:
         if not content.startswith(b"PK"):
             raise ValueError("not an .xlsx workbook")
-        names, rows, batches = None, [], []
+        names, rows, batches, marker_at, ended = None, [], [], None, False
         for number, cells in read_rows(content):
             if number < layout.skip:
                 continue
             if names is None:
                 names = _header(cells, layout)
+                if marker_column in names:
+                    marker_at = names.index(marker_column)
+                continue
+            if marker_at is not None and marker_at < len(cells):
+                ended = ended or cells[marker_at] == marker
+            if ended:
                 continue
             rows.append((number, cells))
             if len(rows) == _CHUNK:
@@ -176,7 +201,7 @@ def type_records(records: DataFrame, layout: Layout = OLD_EXPORT) -> DataFrame:
     """Sheet rows as typed columns, found by header name in each file.
 
     A column that a file lacks is NULL, so files with different headers form
-    one table. Rows from the layout's marker on are cut per file.
+    one table.
     """
 
     def cell(name: str):
@@ -189,16 +214,12 @@ def type_records(records: DataFrame, layout: Layout = OLD_EXPORT) -> DataFrame:
             return cell(name)
         return cell(name).try_cast("decimal(38,6)").try_cast(wanted)
 
-    rows = records.select(
+    return records.select(
         "source_path",
         "row_idx",
         *[typed(name, wanted).alias(name) for name, wanted in layout.types.items()],
         "load_error",
     )
-    if layout.sentinel is None:
-        return rows
-    column, marker = layout.sentinel
-    return sentinel_cut(rows, "source_path", "row_idx", F.col(column) == marker)
 
 
 def ingest_workbooks(

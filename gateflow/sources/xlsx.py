@@ -11,8 +11,12 @@ import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from functools import cache
 from posixpath import join, normpath
 from xml.etree import ElementTree
+from xml.parsers.expat import ParserCreate
+
+_CHUNK = 1 << 20
 
 # Built-in number formats that show a date or a time (fixed values).
 DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
@@ -104,54 +108,101 @@ def _number(text: str) -> str:
     return str(int(value)) if value.is_integer() else text
 
 
-def _column(reference: str | None, previous: int) -> int:
-    if not reference:
-        return previous + 1
+@cache
+def _column(letters: str) -> int:
     index = 0
-    for letter in re.match("[A-Z]+", reference)[0]:
+    for letter in letters:
         index = index * 26 + ord(letter) - ord("A") + 1
     return index - 1
 
 
+class _SheetReader:
+    """Collects the raw cells of each row as the parser meets them."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[int, list]] = []
+        self.number = -1
+        self.cells: list[tuple[int, str, str, str]] = []
+        self.text: list[str] | None = None
+        self.hints = 0
+        self.parser = ParserCreate()
+        self.parser.buffer_text = True
+        self.parser.StartElementHandler = self.start
+        self.parser.EndElementHandler = self.end
+        self.parser.CharacterDataHandler = self.characters
+
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
+        tag = tag.rpartition(":")[2]
+        if tag == "c":
+            self.cell = attributes
+            self.parts: list[str] = []
+        elif tag == "v" or (tag == "t" and not self.hints):
+            self.text = self.parts
+        elif tag == "row":
+            self.number = int(attributes.get("r", self.number + 2)) - 1
+            self.cells = []
+        elif tag == "rPh":
+            self.hints += 1
+
+    def characters(self, text: str) -> None:
+        if self.text is not None:
+            self.text.append(text)
+
+    def end(self, tag: str) -> None:
+        tag = tag.rpartition(":")[2]
+        if tag in ("v", "t"):
+            self.text = None
+        elif tag == "c":
+            get = self.cell.get
+            where = get("r")
+            if where:
+                position = _column(where.rstrip("0123456789"))
+            else:
+                position = self.cells[-1][0] + 1 if self.cells else 0
+            if self.parts:
+                kind, style = get("t", "n"), get("s", "0")
+                self.cells.append((position, kind, style, "".join(self.parts)))
+        elif tag == "row":
+            self.rows.append((self.number, self.cells))
+        elif tag == "rPh":
+            self.hints -= 1
+
+    def feed(self, chunk: bytes) -> list[tuple[int, list]]:
+        """Rows completed by this chunk; an empty chunk ends the sheet."""
+        self.parser.Parse(chunk, not chunk)
+        done, self.rows = self.rows, []
+        return done
+
+
 def read_rows(content: bytes) -> Iterator[tuple[int, list[str | None]]]:
     """Row number (from 0) and cell texts of each non-empty row."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         path, from_1904 = _first_sheet(book)
         strings = _shared_strings(book)
-        dates = _date_styles(book)
+        dates = {str(style) for style in _date_styles(book)}
 
-        def value(cell) -> str | None:
-            kind = cell.get("t", "n")
-            if kind == "inlineStr":
-                text = "".join(_text(item) for item in _children(cell, "is"))
-            else:
-                text = next((v.text for v in _children(cell, "v")), None)
-            if text is None or kind == "e":
-                return None
+        def value(kind: str, style: str, text: str) -> str | None:
             if kind == "s":
                 text = strings[int(text)]
-            elif kind == "b":
-                text = "TRUE" if text == "1" else "FALSE"
             elif kind == "n":
-                is_date = int(cell.get("s", 0)) in dates
-                text = _moment(float(text), from_1904) if is_date else _number(text)
+                return _moment(float(text), from_1904) if style in dates else _number(text)
+            elif kind == "b":
+                return "TRUE" if text == "1" else "FALSE"
+            elif kind == "e":
+                return None
             return text.strip() or None
 
-        number = -1
+        reader = _SheetReader()
         with book.open(path) as part:
-            for event, element in ElementTree.iterparse(part, ("start", "end")):
-                if event == "start":
-                    if _name(element) == "sheetData":
-                        table = element
-                    continue
-                if _name(element) != "row":
-                    continue
-                number = int(element.get("r", number + 2)) - 1
-                cells: list[str | None] = []
-                for cell in _children(element, "c"):
-                    position = _column(cell.get("r"), len(cells) - 1)
-                    cells.extend([None] * (position - len(cells)))
-                    cells.append(value(cell))
-                table.clear()
-                if any(text is not None for text in cells):
-                    yield number, cells
+            chunk = part.read(_CHUNK)
+            while True:
+                for number, raw in reader.feed(chunk):
+                    cells: list[str | None] = []
+                    for position, *cell in raw:
+                        cells.extend([None] * (position - len(cells)))
+                        cells.append(value(*cell))
+                    if any(text is not None for text in cells):
+                        yield number, cells
+                if not chunk:
+                    break
+                chunk = part.read(_CHUNK)
