@@ -421,6 +421,16 @@ ORACLES = {
     "op_pivot_bands": wide(
         "dense", f"fecha, {D}", "franja_horaria", BANDS, "conteo_acumulado", "max"
     ),
+    "op_pivot_band_totals": wide(
+        "dense", f"tipo_dia, {D}", "franja_horaria", BANDS, N, "sum"
+    ),
+    "op_pivot_corrected_bands": wide(
+        "corrected", f"fecha, {D}", "franja_horaria", BANDS, "conteo_corregido", "sum",
+        kind="DOUBLE",
+    ),
+    "op_pivot_band_levels": wide(
+        "dense", f"fecha, {D}", "franja_horaria", BANDS, "conteo_acumulado", "sum"
+    ),
     "op_pivot_month_day": wide(
         "(SELECT *, CAST(day(fecha) AS INTEGER) AS dia_del_mes FROM imputed)",
         f"dia_del_mes, {D}", "hora", HOURS, "transacciones_imputadas", "sum", "0",
@@ -528,6 +538,10 @@ ORACLES = {
     "mart_count_sd_band": by_band("dense", f"tipo_dia, {D}", N, "stddev_samp"),
 }
 ORACLES["flow_end_to_end"] = ORACLES["op_net_cumulative_imputed"]
+ORACLES["flow_new_format"] = ORACLES["op_net_cumulative_imputed"]
+ORACLES["flow_precounted"] = f"""
+    SELECT fecha, hora, entradas, salidas, personas_por_hora, personas_por_hora_ajustado
+    FROM ({ORACLES["op_adjust_net_people"]})"""
 ORACLES["flow_imputed_table"] = f"""
     SELECT fecha, {D}, hora, {N}, conteo_acumulado, franja_horaria, dia_sem, tipo_dia,
            {LIMITS}, {r('transacciones_imputadas', 'transacciones_imputadas')},

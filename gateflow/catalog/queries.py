@@ -348,6 +348,23 @@ def pivot_bands(spark: SparkSession, folder: str) -> DataFrame:
     return reshape.pivot_bands(dense(spark, folder), ["fecha", DIRECTION], LEVEL)
 
 
+def pivot_band_totals(spark: SparkSession, folder: str) -> DataFrame:
+    ids = ["tipo_dia", DIRECTION]
+    return reshape.pivot_bands(band_totals(spark, folder), ids, "conteo_total_franja")
+
+
+def pivot_corrected_bands(spark: SparkSession, folder: str) -> DataFrame:
+    ids = ["fecha", DIRECTION]
+    return reshape.pivot_bands(
+        corrected_band_sum(spark, folder), ids, "conteo_corregido"
+    )
+
+
+def pivot_band_levels(spark: SparkSession, folder: str) -> DataFrame:
+    ids = ["fecha", DIRECTION]
+    return reshape.pivot_bands(band_cumsum_sum(spark, folder), ids, LEVEL)
+
+
 def pivot_month_day(spark: SparkSession, folder: str) -> DataFrame:
     return reshape.pivot_month_day(imputed(spark, folder), IMPUTED)
 
@@ -491,6 +508,9 @@ OPERATORS: dict[str, Query] = {
     "op_pivot_counts": pivot_counts,
     "op_pivot_sparse": pivot_sparse,
     "op_pivot_bands": pivot_bands,
+    "op_pivot_band_totals": pivot_band_totals,
+    "op_pivot_corrected_bands": pivot_corrected_bands,
+    "op_pivot_band_levels": pivot_band_levels,
     "op_pivot_month_day": pivot_month_day,
     "op_pivot_corrected_hours": pivot_corrected_hours,
     "op_unpivot_hours": unpivot_hours,
@@ -521,9 +541,25 @@ def flow_dense(spark: SparkSession, folder: str) -> DataFrame:
     return tables["imputed"]
 
 
+def flow_new_format(spark: SparkSession, folder: str) -> DataFrame:
+    """The occupancy curve from the columns of the new export."""
+    return flow.occupancy(
+        new_format(spark, folder),
+        gate="name",
+        direction="sap_transit_flag",
+        timestamp="operator",
+    )
+
+
+def flow_precounted(spark: SparkSession, folder: str) -> DataFrame:
+    return flow.precounted_flow(precounted(spark, folder))
+
+
 FLOWS: dict[str, Query] = {
     "flow_end_to_end": flow_end_to_end,
     "flow_imputed_table": flow_dense,
+    "flow_new_format": flow_new_format,
+    "flow_precounted": flow_precounted,
 }
 
 

@@ -41,11 +41,13 @@ def weekday_label(fecha: str, labels=WEEKDAY_LABELS) -> str:
     return f"get(array({', '.join(map(value, labels))}), weekday({fecha}))"
 
 
-def label_time(df: DataFrame, fecha: str = "fecha", hora: str = "hora") -> DataFrame:
+def label_time(
+    df: DataFrame, fecha: str = "fecha", hora: str = "hora", bands=TIME_BANDS
+) -> DataFrame:
     """Add the band of the hour, the weekday number and the day type."""
     return df.selectExpr(
         "*",
-        f"{time_band(name(hora))} AS franja_horaria",
+        f"{time_band(name(hora), bands)} AS franja_horaria",
         f"{weekday_number(name(fecha))} AS dia_sem",
         f"{day_type(name(fecha))} AS tipo_dia",
     )

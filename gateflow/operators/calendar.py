@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gateflow.functions import label_time, running_sum
-from gateflow.functions.fixed import HOURS
+from gateflow.functions.fixed import HOURS, TIME_BANDS
 from gateflow.functions.text import name as quoted
 from gateflow.functions.text import value as literal
 from gateflow.operators.counts import COUNT, DIRECTION
@@ -99,10 +99,11 @@ def dense_table(
     direction: str = DIRECTION,
     directions: Iterable[str] | None = None,
     value: str = COUNT,
+    bands=TIME_BANDS,
 ) -> DataFrame:
     """Dense hourly counts with running count and time labels."""
     return (
         counts.transform(densify_hours, value, direction, directions)
         .transform(accumulate, value, "conteo_acumulado", direction)
-        .transform(label_time)
+        .transform(label_time, bands=bands)
     )

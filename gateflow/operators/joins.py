@@ -8,19 +8,31 @@ from pyspark.sql import functions as F
 from gateflow.functions.text import name
 from gateflow.session import materialise
 
-# A table of more rows than this is not broadcast.
-BROADCAST_ROWS = 100_000
+# A table of more bytes than this is not broadcast.
+BROADCAST_BYTES = 64 << 20
+_FIXED_WIDTH = 16
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` computed and counted, marked for broadcast if it is small.
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all values: strings by length, others at a fixed width."""
+    widths = [
+        f"coalesce(octet_length({name(column)}), 0) + {_FIXED_WIDTH}"
+        if kind in ("string", "binary")
+        else str(_FIXED_WIDTH)
+        for column, kind in df.dtypes
+    ]
+    return df.selectExpr(f"sum({' + '.join(widths)})").first()[0] or 0
 
-    For a lookup that is joined with raw rows: counting it first spares the
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` computed and measured, marked for broadcast if it is small.
+
+    For a lookup that is joined with raw rows: measuring it first spares the
     raw rows a shuffle. A larger lookup is left to a shuffle join, in which
     adaptive execution splits the partition of a key that holds most rows.
     """
     stored = materialise(df)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    return F.broadcast(stored) if measured_bytes(stored) <= max_bytes else stored
 
 
 def left_join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

@@ -55,9 +55,10 @@ def pivot_bands(
     ids: list[str],
     value: str,
     aggregate: str = "max",
+    labels=BAND_LABELS,
 ) -> DataFrame:
     """Bands as columns, in the order of the day."""
-    return spread(df, ids, "franja_horaria", BAND_LABELS, value, aggregate)
+    return spread(df, ids, "franja_horaria", labels, value, aggregate)
 
 
 def pivot_month_day(

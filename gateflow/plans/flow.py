@@ -10,7 +10,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gateflow.functions.fixed import DEFAULT_GATES
+from gateflow.functions.fixed import DEFAULT_GATES, SIGMAS, TIME_BANDS
 from gateflow.operators.calendar import accumulate, dense_table
 from gateflow.operators.counts import (
     COUNT,
@@ -19,8 +19,9 @@ from gateflow.operators.counts import (
     count_hourly,
     keep_gates,
     require_rows,
+    sum_in_out,
 )
-from gateflow.operators.impute import impute_two_sigma
+from gateflow.operators.impute import adjust_net_people, impute_two_sigma
 from gateflow.operators.netflow import net_cumulative, net_hourly
 from gateflow.session import materialise
 from gateflow.sources.conform import split_quarantine
@@ -46,11 +47,16 @@ def hourly_counts(
     )
 
 
-def imputed_table(counts: DataFrame, direction: str = DIRECTION) -> DataFrame:
+def imputed_table(
+    counts: DataFrame,
+    direction: str = DIRECTION,
+    sigmas: float = SIGMAS,
+    bands=TIME_BANDS,
+) -> DataFrame:
     """Dense table with raw and imputed counts and their running sums."""
     return (
-        dense_table(counts, direction)
-        .transform(impute_two_sigma, COUNT, IMPUTED, direction)
+        dense_table(counts, direction, bands=bands)
+        .transform(impute_two_sigma, COUNT, IMPUTED, direction, sigmas)
         .transform(accumulate, IMPUTED, IMPUTED_LEVEL, direction)
     )
 
@@ -61,6 +67,8 @@ def flow_tables(
     gate: str = "tema_key",
     direction: str = DIRECTION,
     timestamp: str = TIMESTAMP,
+    sigmas: float = SIGMAS,
+    bands=TIME_BANDS,
     check: bool = False,
 ) -> dict[str, DataFrame]:
     """All results of the flow by name.
@@ -74,7 +82,7 @@ def flow_tables(
     counts = hourly_counts(transactions, gates, gate, direction, timestamp)
     if check:
         require_rows(counts, "no transactions of the wanted gates")
-    imputed = materialise(imputed_table(counts, direction))
+    imputed = materialise(imputed_table(counts, direction, sigmas, bands))
     return {
         "counts": counts,
         "imputed": imputed,
@@ -99,6 +107,21 @@ def flow_from_folder(
     return {**tables, "quarantine": quarantine}
 
 
+def precounted_flow(
+    df: DataFrame,
+    timestamp: str = "ts",
+    entries: str = "entradas",
+    exits: str = "salidas",
+    sigmas: float = SIGMAS,
+) -> DataFrame:
+    """Net people per date and hour of a pre-counted export, raw and adjusted."""
+    net = "personas_por_hora"
+    summed = materialise(sum_in_out(df, timestamp, entries, exits))
+    return summed.transform(adjust_net_people, net, sigmas).select(
+        "fecha", "hora", entries, exits, net, f"{net}_ajustado"
+    )
+
+
 def occupancy(transactions: DataFrame, **columns) -> DataFrame:
     """Imputed occupancy curve of raw transactions, as one lazy result."""
     counts = hourly_counts(transactions, **columns)

@@ -5,6 +5,7 @@ from gateflow.functions import (
     day_type,
     floor_at_zero,
     if_else,
+    label_time,
     running_sum,
     strict_sum,
     time_band,
@@ -26,6 +27,13 @@ def test_time_bands_cover_the_day(spark):
     assert ranks == [1] * 6 + [2] * 7 + [3] * 6 + [4] * 5
 
 
+def test_bands_are_a_parameter(spark):
+    halves = [("mañana", 0, 11), ("it's late", 12, 23)]
+    hours = spark.createDataFrame([(date(2024, 1, 1), 3), (None, 20)], "fecha date, hora int")
+    labelled = label_time(hours, bands=halves).collect()
+    assert [r.franja_horaria for r in labelled] == ["mañana", "it's late"]
+
+
 def test_labels_of_missing_or_odd_values_are_missing(spark):
     odd = spark.createDataFrame([(None, None), (24, None), (-1, None)], "h int, d date")
     assert column(odd, time_band("h")) == [None] * 3

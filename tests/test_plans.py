@@ -73,7 +73,8 @@ def test_boxes_reuse_the_frequencies(spark):
 def test_large_lookup_is_not_broadcast_by_hint(spark):
     lookup = spark.range(50).selectExpr("CAST(id AS STRING) AS gate")
     rows = spark.range(100).selectExpr("CAST(id % 60 AS STRING) AS tema_key")
-    for limit, hinted in ((100, True), (10, False)):
+    assert joins.measured_bytes(lookup) == 50 * 16 + 10 * 1 + 40 * 2
+    for limit, hinted in ((1000, True), (100, False)):
         side = joins.broadcast_if_small(lookup, limit)
         joined = rows.join(side.withColumnRenamed("gate", "tema_key"), "tema_key", "left_semi")
         logical = joined._jdf.queryExecution().analyzed().toString()

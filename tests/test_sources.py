@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gateflow.catalog.exports import workbook_bytes
+from gateflow.operators.counts import COUNT
 from gateflow.plans.flow import flow_from_folder
 from gateflow.sources import conform, workbooks
 from gateflow.sources.bundle import read_bundle, write_bundle
@@ -183,6 +184,17 @@ def test_folder_to_net_flow(spark, folder, tmp_path):
     assert sorted(back["net"].collect()) == sorted(tables["net"].collect())
 
 
+def test_new_format_folder_to_net_flow(spark, tmp_path):
+    header = ["Temaline Interface", "Name", "When", "SAP Transit Flag"]
+    rows = [["t", "TK54RT54", NOON, "Entry"]] * 3 + [["t", "TK54RT54", NOON, "Exit"]]
+    (tmp_path / "new.xlsx").write_bytes(workbook_bytes([header, *rows]))
+    tables = flow_from_folder(spark, str(tmp_path), layout=workbooks.NEW_EXPORT)
+    net = {r.hora: r.diferencia_neta for r in tables["hourly_net"].collect()}
+    assert len(net) == 24 and net[11] == 0
+    raw = tables["imputed"].where("hora = 12").select("sap_transit_flag", COUNT)
+    assert dict(map(tuple, raw.collect())) == {"Entry": 3, "Exit": 1}
+
+
 @pytest.mark.parametrize(
     ("text", "moment"),
     [
