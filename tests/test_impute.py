@@ -11,7 +11,10 @@ from gateflow.operators.impute import (
     imputation_audit,
 )
 
-DENSE = f"fecha date, {DIRECTION} string, hora int, {COUNT} bigint, franja_horaria string, tipo_dia string"
+DENSE = (
+    f"fecha date, {DIRECTION} string, hora int, {COUNT} bigint, "
+    "franja_horaria string, tipo_dia string"
+)
 DAY = date(2024, 1, 1)
 
 

@@ -33,9 +33,10 @@ def test_missing_dates_stay_in_the_hourly_net_only(spark):
 def test_sides_are_aligned_by_day(spark):
     second = FIRST + timedelta(days=1)
     df = counts(spark, [(FIRST, "Entry", 0, 2), (second, "Exit", 23, 3)])
-    sides = {r.fecha: r for r in netflow.full_outer_sides(df, COUNT).collect()}
+    wide = netflow.full_outer_sides(df, COUNT)
+    sides = {r.fecha: r for r in wide.collect()}
     assert sides[FIRST]["0_Entry"] == 2 and sides[FIRST]["0_Exit"] == 0
-    net = {r.fecha: r for r in netflow.full_outer_sides(df, COUNT).transform(netflow.net_of_sides).collect()}
+    net = {r.fecha: r for r in netflow.net_of_sides(wide).collect()}
     assert net[second]["23"] == -3 and net[second]["0"] == 0
 
 
