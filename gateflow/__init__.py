@@ -1 +1,8 @@
 """gateflow: turnstile-flow analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the tasks by value: executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -108,8 +108,15 @@ def _export_block(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
 
 
 def as_workbooks(rows: DataFrame) -> DataFrame:
-    """Transactions as (path, content), ``BLOCK_ROWS`` event numbers per file."""
-    block = F.expr(f"event_id div {BLOCK_ROWS}").alias("block")
-    return rows.groupBy(block).applyInPandas(
-        _export_block, "path string, content binary"
+    """Transactions as (path, content), ``BLOCK_ROWS`` event numbers per file.
+
+    The number of partitions is stated, as a few bytes here are much work and
+    would otherwise be merged into one task.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        rows.withColumn("block", F.expr(f"event_id div {BLOCK_ROWS}"))
+        .repartition(partitions, "block")
+        .groupBy("block")
+        .applyInPandas(_export_block, "path string, content binary")
     )

@@ -11,7 +11,6 @@ import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
-from functools import cache
 from posixpath import join, normpath
 from xml.etree import ElementTree
 from xml.parsers.expat import ParserCreate
@@ -108,7 +107,6 @@ def _number(text: str) -> str:
     return str(int(value)) if value.is_integer() else text
 
 
-@cache
 def _column(letters: str) -> int:
     index = 0
     for letter in letters:
@@ -125,6 +123,7 @@ class _SheetReader:
         self.cells: list[tuple[int, str, str, str]] = []
         self.text: list[str] | None = None
         self.hints = 0
+        self.columns: dict[str, int] = {}
         self.parser = ParserCreate()
         self.parser.buffer_text = True
         self.parser.StartElementHandler = self.start
@@ -156,7 +155,10 @@ class _SheetReader:
             get = self.cell.get
             where = get("r")
             if where:
-                position = _column(where.rstrip("0123456789"))
+                letters = where.rstrip("0123456789")
+                if letters not in self.columns:
+                    self.columns[letters] = _column(letters)
+                position = self.columns[letters]
             else:
                 position = self.cells[-1][0] + 1 if self.cells else 0
             if self.parts:
