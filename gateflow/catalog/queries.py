@@ -55,6 +55,12 @@ def hourly(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def dated(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted transactions with their date and hour."""
+    wanted = transactions(spark, folder).transform(counts.keep_gates)
+    return wanted.transform(counts.with_date_hour)
+
+
 def stored_hourly(spark: SparkSession, folder: str) -> DataFrame:
     return flow.hourly_counts(transactions(spark, folder))
 
@@ -299,11 +305,11 @@ def boxplot_outliers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def date_range(spark: SparkSession, folder: str) -> DataFrame:
-    return counts.date_range(hourly(spark, folder))
+    return counts.date_range(dated(spark, folder))
 
 
 def distinct_days(spark: SparkSession, folder: str) -> DataFrame:
-    labelled = hourly(spark, folder).transform(label_time)
+    labelled = dated(spark, folder).transform(label_time)
     return counts.distinct_rows(labelled, "fecha", "tipo_dia")
 
 

@@ -1,6 +1,8 @@
+import io
 import pathlib
 import zipfile
 from datetime import datetime
+from xml.sax.saxutils import escape
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from gateflow.sources.bundle import read_bundle, write_bundle
 from gateflow.sources.names import clean_names, number_headers
 from gateflow.sources.xlsx import read_rows
 
+QUOTES = {'"': "&quot;"}
 NOON = datetime(2024, 3, 5, 12, 30, 15, 250_000)
 OLD_HEADER = [
     "Tema Key",
@@ -70,14 +73,12 @@ def test_names():
 def test_cells_of_all_kinds():
     rows = [["text & <more>", 3, 2.5, True, None, NOON], [None], ["last"]]
     assert list(read_rows(workbook_bytes(rows))) == [
-        (0, ["text & <more>", "3", "2.5", "TRUE", None, "2024-03-05 12:30:15.250000"][:4]
-         + [None, "2024-03-05 12:30:15.250000"]),
+        (0, ["text & <more>", "3", "2.5", "TRUE", None, "2024-03-05 12:30:15.250000"]),
         (2, ["last"]),
     ]
 
 
-def test_inline_strings_hints_errors_and_early_dates(tmp_path):
-    original = workbook_bytes([["x"]])
+def test_inline_strings_hints_errors_and_early_dates():
     sheet = (
         '<x:worksheet xmlns:x="m"><x:sheetData><x:row>'
         '<x:c t="inlineStr"><x:is><x:r><x:t>two </x:t></x:r><x:r><x:t>runs</x:t></x:r>'
@@ -86,19 +87,58 @@ def test_inline_strings_hints_errors_and_early_dates(tmp_path):
         '<x:c s="1"><x:v>1</x:v></x:c><x:c s="1"><x:v>61</x:v></x:c>'
         "</x:row></x:sheetData></x:worksheet>"
     )
-    path = tmp_path / "inline.xlsx"
-    path.write_bytes(original)
-    with zipfile.ZipFile(path) as source:
-        parts = {n: source.read(n) for n in source.namelist()}
-    parts["xl/worksheets/sheet1.xml"] = sheet.encode()
-    with zipfile.ZipFile(path, "w") as target:
-        for name, content in parts.items():
-            target.writestr(name, content)
-    assert list(read_rows(path.read_bytes())) == [
+    content = rewritten(
+        workbook_bytes([["x"]]), {"xl/worksheets/sheet1.xml": lambda _: sheet}
+    )
+    assert list(read_rows(content)) == [
         (0, ["two runs", None, "12", "1900-01-01 00:00:00", "1900-03-01 00:00:00"])
     ]
 
 
+def rewritten(content, changes):
+    """The workbook with some of its parts replaced."""
+    with zipfile.ZipFile(io.BytesIO(content)) as source:
+        parts = {n: source.read(n) for n in source.namelist()}
+    for name, change in changes.items():
+        parts[name] = change(parts[name].decode()).encode()
+    target = io.BytesIO()
+    with zipfile.ZipFile(target, "w") as book:
+        for name, part in parts.items():
+            book.writestr(name, part)
+    return target.getvalue()
+
+
+def test_custom_date_formats_and_the_1904_calendar():
+    plain = workbook_bytes([[NOON]])
+    styles = {
+        'yyyy\\-mm\\-dd hh:mm:ss': "2024-03-05 12:30:15.250000",
+        "[h]:mm": "2024-03-05 12:30:15.250000",
+        '0.00" days"': None,
+        "[Red]0.0": None,
+    }
+    for code, text in styles.items():
+        custom = f'<numFmts><numFmt numFmtId="164" formatCode="{escape(code, QUOTES)}"/></numFmts>'
+        content = rewritten(
+            plain,
+            {
+                "xl/styles.xml": lambda s: s.replace(
+                    "<cellXfs>", custom + "<cellXfs>"
+                ).replace('numFmtId="22"', 'numFmtId="164"')
+            },
+        )
+        ((_, (cell,)),) = read_rows(content)
+        assert cell == text or (text is None and cell.startswith("45356.5"))
+    flagged = rewritten(
+        plain,
+        {
+            "xl/workbook.xml": lambda s: s.replace(
+                "<sheets>", '<workbookPr date1904="1"/><sheets>'
+            )
+        },
+    )
+    assert list(read_rows(flagged)) == [(0, ["2028-03-06 12:30:15.250000"])]
+
+
 def test_discovery_is_recursive_and_case_sensitive(spark, folder):
     found = workbooks.discover_workbooks(spark, folder).select("path").collect()
     assert sorted(base(r.path) for r in found) == [
