@@ -298,11 +298,12 @@ ORACLES = {
                CAST(hour(transaction_date) AS INTEGER) AS hora, count(*) AS {N}
         FROM loaded WHERE tema_key IN ({GATES}) GROUP BY ALL""",
     "op_clean_names": """
-        SELECT n_nationkey AS nation_key_n, n_name, n_regionkey AS region_key,
-               n_regionkey AS percent_of_region, n_name AS n_name_2,
-               n_nationkey AS x2nd_key
-        FROM nation""",
-    "op_rename_third": 'SELECT n_nationkey, n_name, n_regionkey AS "operator" FROM nation',
+        SELECT c_custkey AS customer_key_n, c_name, c_nationkey AS nacion_key,
+               round(c_acctbal, 6) AS percent_of_balance, c_name AS c_name_2,
+               c_custkey AS x2nd_key
+        FROM customer""",
+    "op_rename_third": """
+        SELECT c_custkey, c_name, c_nationkey AS "operator" FROM customer""",
     "op_sentinel_cut": """
         SELECT event_id, e.user_id, event_type
         FROM events e LEFT JOIN (

@@ -117,19 +117,21 @@ def ingested_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clean_names(spark: SparkSession, folder: str) -> DataFrame:
-    messy = table(spark, folder, "nation").select(
-        F.col("n_nationkey").alias("Nation Key (N°)"),
-        F.col("n_name").alias("N.Name"),
-        F.col("n_regionkey").alias("RegiónKey"),
-        F.col("n_regionkey").alias("% of Region"),
-        F.col("n_name").alias("n name"),
-        F.col("n_nationkey").alias("2nd key"),
+    messy = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("Customer Key (N°)"),
+        F.col("c_name").alias("C.Name"),
+        F.col("c_nationkey").alias("NaciónKey"),
+        F.col("c_acctbal").alias("% of Balance"),
+        F.col("c_name").alias("c name"),
+        F.col("c_custkey").alias("2nd key"),
     )
     return conform.clean_names(messy)
 
 
 def rename_third(spark: SparkSession, folder: str) -> DataFrame:
-    return conform.rename_third(table(spark, folder, "nation"))
+    return conform.rename_third(
+        table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey")
+    )
 
 
 def sentinel_cut(spark: SparkSession, folder: str) -> DataFrame:

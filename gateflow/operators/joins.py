@@ -24,15 +24,16 @@ def measured_bytes(df: DataFrame) -> int:
     return df.selectExpr(f"sum({' + '.join(widths)})").first()[0] or 0
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """``df`` computed and measured, marked for broadcast if it is small.
 
     For a lookup that is joined with raw rows: measuring it first spares the
     raw rows a shuffle. A larger lookup is left to a shuffle join, in which
     adaptive execution splits the partition of a key that holds most rows.
     """
+    limit = BROADCAST_BYTES if max_bytes is None else max_bytes
     stored = materialise(df)
-    return F.broadcast(stored) if measured_bytes(stored) <= max_bytes else stored
+    return F.broadcast(stored) if measured_bytes(stored) <= limit else stored
 
 
 def left_join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
