@@ -101,6 +101,8 @@ def split_quarantine(
     return good, df.where(F.col(error).isNotNull())
 
 
-def preview(df: DataFrame, columns: list[str], order: list[str], n: int = 6):
+def preview(
+    df: DataFrame, columns: list[str], order: list[str], n: int = 6
+) -> DataFrame:
     """First ``n`` rows in a stated order; a top-n, not a full sort."""
     return df.orderBy(*order).limit(n).select(*columns)
