@@ -42,7 +42,7 @@ class Layout:
     ``skip`` banner rows precede the header. ``positions`` names columns by
     place and ``prefixes`` by the start of their cleaned name. A file without
     a ``required`` column is refused. ``sentinel`` is a column and the value
-    with which the data of a file end.
+    with which the data of a file end. Columns outside ``types`` are not kept.
     """
 
     types: dict[str, str]
@@ -134,13 +134,14 @@ def _header(cells: list[str | None], layout: Layout) -> list[str]:
 
 
 def _batch(path: str, names: list[str] | None, rows, error: str | None = None):
+    texts = pa.list_(pa.string())
     return pa.record_batch(
         [
-            pa.array([path] * len(rows), pa.string()),
+            pa.repeat(path, len(rows)),
             pa.array([number for number, _ in rows], pa.int64()),
-            pa.array([names] * len(rows), pa.list_(pa.string())),
-            pa.array([cells for _, cells in rows], pa.list_(pa.string())),
-            pa.array([error] * len(rows), pa.string()),
+            pa.repeat(pa.scalar(names, texts), len(rows)),
+            pa.array([cells for _, cells in rows], texts),
+            pa.repeat(pa.scalar(error, pa.string()), len(rows)),
         ],
         schema=_ARROW_RECORDS,
     )
@@ -174,9 +175,13 @@ def _read_workbook(path: str, content: bytes, layout: Layout) -> list[pa.RecordB
             if len(rows) == _CHUNK:
                 batches.append(_batch(path, names, rows))
                 rows = []
+        if names is None:
+            _header([], layout)
         if rows:
             batches.append(_batch(path, names, rows))
         return batches
+    except MemoryError:  # a fault of the machine, not of the file
+        raise
     except Exception as failure:  # any fault of one file must spare the others
         reason = f"{type(failure).__name__}: {failure}"
         return [_batch(path, None, [(None, None)], reason)]

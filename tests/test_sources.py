@@ -169,11 +169,14 @@ def test_strict_layout_refuses_a_file_without_a_column(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(workbook_bytes(old_rows()))
     short = [row[:5] for row in old_rows()]
     (tmp_path / "b.xlsx").write_bytes(workbook_bytes(short))
+    (tmp_path / "empty.xlsx").write_bytes(workbook_bytes([["Report"]]))
     strict = workbooks.ingest_workbooks(spark, str(tmp_path), workbooks.STRICT_OLD_EXPORT)
     good, bad = conform.split_quarantine(strict)
     assert [base(r.source_path) for r in good.collect()] == ["a.xlsx"]
-    (refused,) = bad.collect()
-    assert refused.load_error == "ValueError: missing columns: identifier, parameter_1"
+    refused = {base(r.source_path): r.load_error for r in bad.collect()}
+    assert refused["b.xlsx"] == "ValueError: missing columns: identifier, parameter_1"
+    assert refused["empty.xlsx"].startswith("ValueError: missing columns: transit_")
+    assert len(refused) == 2
     tolerant = workbooks.ingest_workbooks(spark, str(tmp_path))
     assert tolerant.where("load_error IS NULL").count() == 2
 
