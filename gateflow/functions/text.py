@@ -17,5 +17,5 @@ def value(constant: object) -> str:
     if isinstance(constant, str):
         return "'" + constant.replace("\\", "\\\\").replace("'", "\\'") + "'"
     if isinstance(constant, float):
-        return f"{constant!r}D"
+        return f"{float(constant)!r}D"
     return str(constant)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gateflow.functions import floor_at_zero, if_else
 from gateflow.functions.fixed import SIGMAS
 from gateflow.functions.text import name as quoted
+from gateflow.functions.text import value as literal
 from gateflow.operators.counts import COUNT, DIRECTION
 from gateflow.operators.joins import left_join_null_safe
 
@@ -36,8 +37,8 @@ def group_mean_sd(
 def two_sigma_limits(stats: DataFrame, sigmas: float = SIGMAS) -> DataFrame:
     return stats.selectExpr(
         "*",
-        f"mu - {sigmas!r}D * sigma AS limite_inferior",
-        f"mu + {sigmas!r}D * sigma AS limite_superior",
+        f"mu - {literal(float(sigmas))} * sigma AS limite_inferior",
+        f"mu + {literal(float(sigmas))} * sigma AS limite_superior",
     )
 
 
@@ -99,7 +100,7 @@ def adjust_net_people(
 ) -> DataFrame:
     """Net people far from the mean of their hour become that mean, with a flag."""
     stats = group_mean_sd(df, ["hora"], value, "media", "desviacion")
-    away = f"abs({quoted(value)} - media) - {sigmas!r}D * desviacion"
+    away = f"abs({quoted(value)} - media) - {literal(float(sigmas))} * desviacion"
     flag = "se_sale_de_media"
     adjusted = if_else(flag, "media", f"CAST({quoted(value)} AS DOUBLE)")
     return (

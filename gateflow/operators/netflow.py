@@ -6,11 +6,18 @@ day and hour; no pivot has to be joined with another.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gateflow.functions import label_time
-from gateflow.functions.fixed import BAND_LABELS, ENTRY, EXIT, HOURS, SEED_HOUR
+from gateflow.functions import label_time, running_sum
+from gateflow.functions.fixed import (
+    BAND_LABELS,
+    ENTRY,
+    EXIT,
+    HOURS,
+    SEED_HOUR,
+    TIME_BANDS,
+)
 from gateflow.functions.text import name as quoted
 from gateflow.functions.text import value as literal
 from gateflow.operators.counts import DIRECTION
@@ -54,11 +61,12 @@ def net_hourly(
     value: str,
     name: str = "diferencia_neta",
     direction: str = DIRECTION,
+    bands=TIME_BANDS,
 ) -> DataFrame:
     """Net of each single hour with its day of month and time labels."""
     return (
         df.transform(net_by_hour, value, name, direction, 0, True)
-        .transform(label_time)
+        .transform(label_time, bands=bands)
         .selectExpr("*", "dayofmonth(fecha) AS dia_del_mes")
     )
 
@@ -68,13 +76,15 @@ def net_cumulative(
     value: str,
     name: str,
     direction: str = DIRECTION,
+    bands=TIME_BANDS,
 ) -> DataFrame:
     """Occupancy curve: net of the running counts, with time labels.
 
     The labels come from the date and hour themselves, so no row is doubled by
     attaching them.
     """
-    return df.transform(net_by_hour, value, name, direction).transform(label_time)
+    net = df.transform(net_by_hour, value, name, direction)
+    return label_time(net, bands=bands)
 
 
 def net_wide(
@@ -120,7 +130,10 @@ def closing_level(
 
 
 def net_by_band(
-    df: DataFrame, value: str = "conteo_acumulado", direction: str = DIRECTION
+    df: DataFrame,
+    value: str = "conteo_acumulado",
+    direction: str = DIRECTION,
+    labels=BAND_LABELS,
 ) -> DataFrame:
     """Closing level of entries minus that of exits, bands as columns."""
 
@@ -135,7 +148,7 @@ def net_by_band(
     return (
         df.where(_two_sides(direction))
         .groupBy("fecha")
-        .agg(*[F.expr(net(band)) for band in BAND_LABELS])
+        .agg(*[F.expr(net(band)) for band in labels])
     )
 
 
@@ -153,11 +166,7 @@ def day_carry_over(
         .agg(F.min_by(F.col(value), F.col("fecha")))
         .scalar()
     )
-    over_days = (
-        Window.partitionBy("hora")
-        .orderBy("fecha")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    over_days = F.expr(running_sum(quoted(value), ["hora"], "fecha"))
     return net.where(F.col("fecha") > first_day).select(
-        "fecha", "hora", (seed + F.sum(value).over(over_days)).alias(name)
+        "fecha", "hora", (seed + over_days).alias(name)
     )

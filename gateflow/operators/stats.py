@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gateflow.functions.fixed import WHISKER
 from gateflow.functions.text import name as quoted
+from gateflow.functions.text import value as literal
 from gateflow.operators.impute import outside
 from gateflow.operators.joins import left_join_null_safe
 
@@ -39,7 +40,7 @@ def _with_boxes(
     )
     frequencies = known.groupBy(*groups, "valor").agg(F.expr("count(1) AS veces"))
     ranks = {"p10": 0.1, "q1": 0.25, "mediana": 0.5, "q3": 0.75, "p90": 0.9}
-    wanted = ", ".join(f"{rank!r}D" for rank in ranks.values())
+    wanted = ", ".join(map(literal, ranks.values()))
     boxes = (
         frequencies.groupBy(*groups)
         .agg(
@@ -50,7 +51,7 @@ def _with_boxes(
             *keys, "media", *[f"q[{i}] AS {rank}" for i, rank in enumerate(ranks)]
         )
     )
-    reach = f"{whisker!r}D * (q3 - q1)"
+    reach = f"{literal(float(whisker))} * (q3 - q1)"
     far = outside("valor", f"q1 - {reach}", f"q3 + {reach}")
     return left_join_null_safe(frequencies, boxes, groups).selectExpr(
         "*", f"{far} AS atipico"

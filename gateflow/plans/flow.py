@@ -86,8 +86,8 @@ def flow_tables(
     return {
         "counts": counts,
         "imputed": imputed,
-        "net": net_cumulative(imputed, IMPUTED_LEVEL, NET, direction),
-        "hourly_net": net_hourly(imputed, IMPUTED, direction=direction),
+        "net": net_cumulative(imputed, IMPUTED_LEVEL, NET, direction, bands),
+        "hourly_net": net_hourly(imputed, IMPUTED, "diferencia_neta", direction, bands),
     }
 
 

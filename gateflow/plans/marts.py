@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gateflow.functions import band_rank, strict_sum, weekday_label, weekday_number
-from gateflow.functions.fixed import ENTRY, WEEKDAY_LABELS, WORKING_DAYS
+from gateflow.functions.fixed import BAND_LABELS, ENTRY, WEEKDAY_LABELS, WORKING_DAYS
 from gateflow.functions.text import name as quoted
 from gateflow.operators.counts import COUNT, DIRECTION
 from gateflow.operators.reshape import pivot_bands
@@ -32,8 +32,9 @@ def _working_days(df: DataFrame) -> DataFrame:
     return df.where(F.col("tipo_dia") == WORKING_DAYS)
 
 
-def _with_band_rank(df: DataFrame) -> DataFrame:
-    return df.selectExpr("*", f"{band_rank('franja_horaria')} AS franja_orden")
+def _with_band_rank(df: DataFrame, labels=BAND_LABELS) -> DataFrame:
+    rank = band_rank("franja_horaria", labels)
+    return df.selectExpr("*", f"{rank} AS franja_orden")
 
 
 def net_profile(net: DataFrame, value: str = NET) -> DataFrame:
@@ -105,36 +106,46 @@ def net_box_weekday(net: DataFrame, value: str = NET) -> DataFrame:
 
 
 def band_box_working_days(
-    dense: DataFrame, value: str = IMPUTED, direction: str = DIRECTION
+    dense: DataFrame,
+    value: str = IMPUTED,
+    direction: str = DIRECTION,
+    labels=BAND_LABELS,
 ) -> DataFrame:
     """Boxes per band and direction, Monday to Friday."""
     return (
         dense.transform(_working_days)
-        .transform(_with_band_rank)
+        .transform(_with_band_rank, labels)
         .transform(boxplot_stats, ["franja_horaria", "franja_orden", direction], value)
     )
 
 
-def _band_day_box(dense: DataFrame, value: str, extra: list[str]) -> DataFrame:
+def _band_day_box(
+    dense: DataFrame, value: str, extra: list[str], labels
+) -> DataFrame:
     groups = ["dia_ordenado", "dia_orden", "franja_horaria", "franja_orden", *extra]
     return (
         dense.transform(_working_days)
-        .transform(_with_band_rank)
+        .transform(_with_band_rank, labels)
         .transform(_with_weekday, WEEKDAY_LABELS[:5])
         .transform(boxplot_stats, groups, value, local_points=True)
     )
 
 
 def band_day_box_working_days(
-    dense: DataFrame, value: str = COUNT, direction: str = DIRECTION
+    dense: DataFrame,
+    value: str = COUNT,
+    direction: str = DIRECTION,
+    labels=BAND_LABELS,
 ) -> DataFrame:
     """Boxes and local points per weekday, band and direction, Monday to Friday."""
-    return _band_day_box(dense, value, [direction])
+    return _band_day_box(dense, value, [direction], labels)
 
 
-def pooled_band_day_working_days(dense: DataFrame, value: str = IMPUTED) -> DataFrame:
+def pooled_band_day_working_days(
+    dense: DataFrame, value: str = IMPUTED, labels=BAND_LABELS
+) -> DataFrame:
     """The same with the directions pooled."""
-    return _band_day_box(dense, value, [])
+    return _band_day_box(dense, value, [], labels)
 
 
 def band_totals(
@@ -159,12 +170,12 @@ def band_sums(
 
 
 def entry_band_series(
-    dense: DataFrame, value: str, direction: str = DIRECTION
+    dense: DataFrame, value: str, direction: str = DIRECTION, labels=BAND_LABELS
 ) -> DataFrame:
     """Entries per date with the bands as columns."""
     entries = dense.where(F.col(direction) == ENTRY)
     sums = band_sums(entries, value, "total", direction)
-    return pivot_bands(sums, ["fecha", direction], "total")
+    return pivot_bands(sums, ["fecha", direction], "total", labels=labels)
 
 
 def by_band(
@@ -172,26 +183,34 @@ def by_band(
     ids: list[str],
     value: str,
     aggregate: str,
+    labels=BAND_LABELS,
 ) -> DataFrame:
     """A statistic per ``ids`` and band, bands as columns, known day types only."""
-    return df.dropna(subset=["tipo_dia"]).transform(pivot_bands, ids, value, aggregate)
+    known = df.dropna(subset=["tipo_dia"])
+    return pivot_bands(known, ids, value, aggregate, labels)
 
 
-def net_mean_band(net: DataFrame, value: str) -> DataFrame:
-    return by_band(net, ["tipo_dia"], value, "avg")
+def net_mean_band(net: DataFrame, value: str, labels=BAND_LABELS) -> DataFrame:
+    return by_band(net, ["tipo_dia"], value, "avg", labels)
 
 
-def net_sd_band(net: DataFrame, value: str) -> DataFrame:
-    return by_band(net, ["tipo_dia"], value, "stddev_samp")
+def net_sd_band(net: DataFrame, value: str, labels=BAND_LABELS) -> DataFrame:
+    return by_band(net, ["tipo_dia"], value, "stddev_samp", labels)
 
 
 def count_mean_band(
-    dense: DataFrame, value: str = COUNT, direction: str = DIRECTION
+    dense: DataFrame,
+    value: str = COUNT,
+    direction: str = DIRECTION,
+    labels=BAND_LABELS,
 ) -> DataFrame:
-    return by_band(dense, ["tipo_dia", direction], value, "avg")
+    return by_band(dense, ["tipo_dia", direction], value, "avg", labels)
 
 
 def count_sd_band(
-    dense: DataFrame, value: str = COUNT, direction: str = DIRECTION
+    dense: DataFrame,
+    value: str = COUNT,
+    direction: str = DIRECTION,
+    labels=BAND_LABELS,
 ) -> DataFrame:
-    return by_band(dense, ["tipo_dia", direction], value, "stddev_samp")
+    return by_band(dense, ["tipo_dia", direction], value, "stddev_samp", labels)

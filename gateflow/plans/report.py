@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from gateflow.functions.fixed import TIME_BANDS
 from gateflow.operators.counts import COUNT, DIRECTION
 from gateflow.operators.impute import correct_two_sigma
 from gateflow.operators.netflow import net_by_band, net_cumulative, net_wide
@@ -17,7 +18,7 @@ CORRECTED = "conteo_corregido"
 
 
 def report(
-    tables: dict[str, DataFrame], direction: str = DIRECTION
+    tables: dict[str, DataFrame], direction: str = DIRECTION, bands=TIME_BANDS
 ) -> dict[str, DataFrame]:
     """Summary tables by name, lazily, from the result of ``flow_tables``.
 
@@ -30,30 +31,37 @@ def report(
         *keys, "hora", COUNT, LEVEL, "franja_horaria", "dia_sem", "tipo_dia"
     )
     known = dense.dropna(subset=["fecha"])
-    raw_net = net_cumulative(dense, LEVEL, RAW_NET, direction)
+    labels = [label for label, _, _ in bands]
+    raw_net = net_cumulative(dense, LEVEL, RAW_NET, direction, bands)
     corrected = correct_two_sigma(dense, COUNT, CORRECTED, direction)
     return {
         "counts_by_hour": pivot_hours(known, COUNT, keys, 0),
         "levels_by_hour": pivot_hours(known, LEVEL, keys),
         "net_by_hour": net_wide(imputed, IMPUTED_LEVEL, direction),
-        "net_by_band": net_by_band(dense, LEVEL, direction),
+        "net_by_band": net_by_band(dense, LEVEL, direction, labels),
         "month_day": pivot_month_day(imputed, IMPUTED, direction),
         "net_profile": marts.net_profile(net),
         "net_box_hour": marts.net_box_hour(net),
         "net_box_weekday": marts.net_box_weekday(net),
         "net_heatmap": marts.net_heatmap(tables["hourly_net"]),
-        "net_mean_band": marts.net_mean_band(raw_net, RAW_NET),
-        "net_sd_band": marts.net_sd_band(raw_net, RAW_NET),
+        "net_mean_band": marts.net_mean_band(raw_net, RAW_NET, labels),
+        "net_sd_band": marts.net_sd_band(raw_net, RAW_NET, labels),
         "count_heatmap": marts.count_heatmap(dense, COUNT, direction),
         "count_profile": marts.hourly_profile(dense, COUNT, direction),
-        "count_mean_band": marts.count_mean_band(dense, COUNT, direction),
-        "count_sd_band": marts.count_sd_band(dense, COUNT, direction),
+        "count_mean_band": marts.count_mean_band(dense, COUNT, direction, labels),
+        "count_sd_band": marts.count_sd_band(dense, COUNT, direction, labels),
         "count_box_weekday": marts.count_box_weekday(imputed, IMPUTED, direction),
         "variability": marts.variability(imputed, IMPUTED, direction),
         "band_totals": marts.band_totals(dense, direction=direction),
-        "band_box": marts.band_box_working_days(imputed, IMPUTED, direction),
-        "band_day_box": marts.band_day_box_working_days(dense, COUNT, direction),
-        "pooled_band_day_box": marts.pooled_band_day_working_days(imputed),
-        "entry_series": marts.entry_band_series(corrected, CORRECTED, direction),
-        "entry_level_series": marts.entry_band_series(dense, LEVEL, direction),
+        "band_box": marts.band_box_working_days(imputed, IMPUTED, direction, labels),
+        "band_day_box": marts.band_day_box_working_days(
+            dense, COUNT, direction, labels
+        ),
+        "pooled_band_day_box": marts.pooled_band_day_working_days(
+            imputed, IMPUTED, labels
+        ),
+        "entry_series": marts.entry_band_series(
+            corrected, CORRECTED, direction, labels
+        ),
+        "entry_level_series": marts.entry_band_series(dense, LEVEL, direction, labels),
     }

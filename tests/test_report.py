@@ -28,6 +28,17 @@ def test_report_is_the_same_for_both_formats(spark):
         assert rows[0] == rows[1] and rows[0]
 
 
+def test_bands_are_used_throughout(spark):
+    halves = [("Mañana", 0, 11), ("Tarde", 12, 23)]
+    tables = flow_tables(transactions(spark, FOLDER), bands=halves)
+    results = report(tables, bands=halves)
+    assert results["net_mean_band"].columns == ["tipo_dia", "Mañana", "Tarde"]
+    for name in ("net_by_band", "count_mean_band", "entry_series"):
+        assert results[name].dropna().count() == results[name].count() > 0
+    bands = {r.franja_horaria for r in results["net_heatmap"].collect()}
+    assert bands == {"Mañana", "Tarde"}
+
+
 def test_command_writes_every_table(spark, tmp_path, capsys):
     header = ["Tema Key", "Transaction Date", "Transit Direction Description"]
     start = datetime(2024, 5, 1, 7)
