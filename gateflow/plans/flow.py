@@ -23,7 +23,7 @@ from gateflow.operators.counts import (
 )
 from gateflow.operators.impute import adjust_net_people, impute_two_sigma
 from gateflow.operators.netflow import net_cumulative, net_hourly
-from gateflow.session import materialise
+from gateflow.session import materialise, store_table
 from gateflow.sources.conform import split_quarantine
 from gateflow.sources.workbooks import OLD_EXPORT, Layout, ingest_workbooks
 
@@ -98,8 +98,14 @@ def flow_from_folder(
     layout: Layout = OLD_EXPORT,
     table: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Exports of a folder through the whole flow; unread files in ``quarantine``."""
+    """Exports of a folder through the whole flow; unread files in ``quarantine``.
+
+    The loaded rows go to ``table``, or to the session's shared folder, so that
+    each workbook is decoded once.
+    """
     loaded = ingest_workbooks(spark, folder, layout, table)
+    if table is None:
+        loaded = store_table(loaded)
     rows, quarantine = split_quarantine(loaded)
     tables = flow_tables(
         rows, gates, layout.gate, layout.direction, layout.timestamp, check=True

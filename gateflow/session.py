@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -22,21 +23,42 @@ def local_session(cores: str = "*", app: str = "gateflow") -> SparkSession:
     )
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, on storage that outlives any executor.
+def _shared_folder(spark: SparkSession) -> str | None:
+    """Checkpoint folder of the session, from ``spark.checkpoint.dir``.
 
-    For small tables that a plan reads more than once, above all the hourly
-    counts: without this each reference would scan the raw transactions again.
-    The files go to the folder in ``spark.checkpoint.dir``. Where a cluster
-    names none, the table is cached instead, and recomputed if lost.
+    Where that is unset a local session gets a temporary folder of its own, a
+    cluster none.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and context.master.startswith("local"):
             folder = tempfile.mkdtemp(prefix="gateflow-")
         if folder is None:
-            return df.persist(StorageLevel.MEMORY_AND_DISK)
+            return None
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once, on storage that outlives any executor.
+
+    For small tables that a plan reads more than once, above all the hourly
+    counts: without this each reference would scan the raw transactions again.
+    Where a cluster names no shared folder, the table is cached instead, and
+    recomputed if lost.
+    """
+    if _shared_folder(df.sparkSession) is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df.checkpoint(eager=True)
+
+
+def store_table(df: DataFrame) -> DataFrame:
+    """Like ``materialise`` for large tables: parquet, with its pruning."""
+    spark = df.sparkSession
+    folder = _shared_folder(spark)
+    if folder is None:
+        return df.persist(StorageLevel.DISK_ONLY)
+    path = f"{folder}/table-{uuid4()}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -1,4 +1,4 @@
-from gateflow.session import materialise
+from gateflow.session import materialise, store_table
 
 
 def test_stored_table_is_cut_from_its_source(spark):
@@ -9,6 +9,14 @@ def test_stored_table_is_cut_from_its_source(spark):
     assert stored.count() == 7
 
 
+def test_large_table_is_kept_as_parquet(spark):
+    stored = store_table(spark.range(1000).selectExpr("id", "id % 3 AS k"))
+    few = stored.where("k = 1").select("id")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "PushedFilters: [IsNotNull(k), EqualTo(k,1)]" in plan
+    assert few.count() == 333
+
+
 def test_configured_folder_is_used(spark):
     folder = spark.conf.get("spark.checkpoint.dir", None)
     materialise(spark.range(3))
