@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark import StorageLevel
@@ -24,16 +23,10 @@ def local_session(cores: str = "*", app: str = "gateflow") -> SparkSession:
 
 
 def _shared_folder(spark: SparkSession) -> str | None:
-    """Checkpoint folder of the session, from ``spark.checkpoint.dir``.
-
-    Where that is unset a local session gets a temporary folder of its own, a
-    cluster none.
-    """
+    """Checkpoint folder of the session, from ``spark.checkpoint.dir``, or None."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="gateflow-")
         if folder is None:
             return None
         context.setCheckpointDir(folder)
@@ -45,7 +38,7 @@ def materialise(df: DataFrame) -> DataFrame:
 
     For small tables that a plan reads more than once, above all the hourly
     counts: without this each reference would scan the raw transactions again.
-    Where a cluster names no shared folder, the table is cached instead, and
+    Where the session names no shared folder, the table is cached instead, and
     recomputed if lost.
     """
     if _shared_folder(df.sparkSession) is None:
