@@ -4,23 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from gateflow.llm.bpe import bpe_report
+from gateflow.llm.html_text import pages_report
+from gateflow.llm.knn import KNN_SQL, knn_join
+from gateflow.llm.perplexity import quality_rules
+from gateflow.llm.pii import pii_report
+from gateflow.llm.quality import quality_report
 from gateflow.llm.simhash import simhash_report
 from gateflow.llm.tables import table
+from gateflow.llm.toxicity import toxicity_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+RANKS = "byte_bpe_50k.tiktoken"
+
 
 def _over(name: str, report: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: report(table(spark, folder, name))
 
 
+def _with_labels(report: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, folder: report(
+        table(spark, folder, "documents"), table(spark, folder, "labels")
+    )
+
+
+def _bpe(docs: DataFrame) -> DataFrame:
+    return bpe_report(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 def llm_queries() -> dict[str, Query]:
     return {
+        "op3_pii": _over("documents", pii_report),
+        "op4_knn_join": _over("embeddings", knn_join),
+        "op5_toxicity": _with_labels(toxicity_report),
+        "op6_bpe": _over("documents", _bpe),
+        "op7_quality_classifier": _with_labels(quality_report),
+        "op8_quality_rules": _over("documents", quality_rules),
+        "op9_html_extraction": _over("pages", pages_report),
         "op10_simhash": _over("documents", simhash_report),
     }
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op4_knn_join": KNN_SQL}
