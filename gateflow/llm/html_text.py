@@ -42,6 +42,10 @@ _OUTSIDE = frozenset(
     "nav footer aside form script style noscript template iframe button select dialog menu "
     "svg object head title textarea".split()
 )
+_PARTS = _INLINE | frozenset(
+    "p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd blockquote pre figure figcaption table "
+    "thead tbody tfoot tr td th caption header".split()
+)
 _ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar "
     "toolbar form".split()
@@ -229,6 +233,14 @@ def main_text(page: str, share: float = 0.9) -> str:
         (e for e in _elements(blocks) if e.weight >= share * chosen),
         key=lambda e: e.path.count(".") + bool(e.path),
     )
+    # A paragraph or a list is a part of content, and an article is whole.
+    while content.parent is not None and content.tag in _PARTS:
+        content = content.parent
+    node = content
+    while node is not None:
+        if node.tag in ("article", "main"):
+            content = node
+        node = node.parent
     kept = []
     for element, text, linked in blocks:
         node = element

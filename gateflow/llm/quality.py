@@ -73,12 +73,9 @@ def _piece_features(data: np.ndarray) -> np.ndarray:
     counts = np.bincount(of_byte * _N_CLASSES + _CLASS[data], minlength=n * _N_CLASSES)
     counts = counts.reshape(n, _N_CLASSES).astype(float)
     shares = counts / counts.sum(axis=1, keepdims=True)
-    inside = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data)))) if starts[0] == 0 else None
-    if inside is None:
-        head = starts[0]
-        inside = np.concatenate(
-            [np.zeros(head, dtype=np.int64), np.arange(head, len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))]
-        )
+    # Places within words; what stands before the first word is white space.
+    since = np.append(0, np.repeat(starts, np.diff(np.append(starts, len(data)))))
+    inside = np.arange(len(data)) - np.concatenate([np.zeros(starts[0], np.int64), since[1:]])
     weight = (inside.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed = (data.astype(np.uint64) + np.uint64(1)) * (weight ^ (weight >> np.uint64(32)))
     mixed[space] = 0
@@ -163,6 +160,30 @@ class AttentionModel:
         x = (np.vstack(bags) - self.mean) / self.scale
         return self._forward(np.clip(x, -6, 6), starts)["y"]
 
+    def gradients(
+        self, x: np.ndarray, starts: np.ndarray, labels: np.ndarray, weights: np.ndarray
+    ) -> dict[str, np.ndarray]:
+        """Of the weighted log loss, by parameter."""
+        p, f = self.p, self._forward(x, starts)
+        d = weights * (f["y"] - labels)
+        dz = np.repeat(d, f["sizes"])[:, None] * p["o"]
+        da = (dz * f["h"]).sum(axis=1)
+        inner = np.add.reduceat(f["a"] * da, starts)
+        draw = f["a"] * (da - np.repeat(inner, f["sizes"]))
+        dt = draw[:, None] * p["w"] * f["s"] * (1 - f["t"] ** 2)
+        ds = draw[:, None] * p["w"] * f["t"] * f["s"] * (1 - f["s"])
+        dh = f["a"][:, None] * dz + dt @ p["V"].T + ds @ p["U"].T
+        dh *= 1 - f["h"] ** 2
+        return {
+            "E": x.T @ dh,
+            "e": dh.sum(axis=0),
+            "V": f["h"].T @ dt,
+            "U": f["h"].T @ ds,
+            "w": (f["t"] * f["s"]).T @ draw,
+            "o": f["z"].T @ d,
+            "b": np.array([d.sum()]),
+        }
+
     def fit(
         self,
         bags: list[np.ndarray],
@@ -181,33 +202,15 @@ class AttentionModel:
         weights = weights / weights.sum()
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         for step in range(1, steps + 1):
-            p, f = self.p, self._forward(x, starts)
-            d = weights * (f["y"] - labels)
-            dz = np.repeat(d, f["sizes"])[:, None] * p["o"]
-            da = (dz * f["h"]).sum(axis=1)
-            inner = np.add.reduceat(f["a"] * da, starts)
-            draw = f["a"] * (da - np.repeat(inner, f["sizes"]))
-            dt = draw[:, None] * p["w"] * f["s"] * (1 - f["t"] ** 2)
-            ds = draw[:, None] * p["w"] * f["t"] * f["s"] * (1 - f["s"])
-            dh = f["a"][:, None] * dz + dt @ p["V"].T + ds @ p["U"].T
-            dh *= 1 - f["h"] ** 2
-            grads = {
-                "E": x.T @ dh,
-                "e": dh.sum(axis=0),
-                "V": f["h"].T @ dt,
-                "U": f["h"].T @ ds,
-                "w": (f["t"] * f["s"]).T @ draw,
-                "o": f["z"].T @ d,
-                "b": np.array([d.sum()]),
-            }
+            grads = self.gradients(x, starts, labels, weights)
             for k, g in grads.items():
-                g = g + decay * p[k]
+                g = g + decay * self.p[k]
                 first, second = moments[k]
                 first += 0.1 * (g - first)
                 second += 0.001 * (g * g - second)
                 m = first / (1 - 0.9**step)
                 v = second / (1 - 0.999**step)
-                p[k] = p[k] - rate * m / (np.sqrt(v) + 1e-8)
+                self.p[k] = self.p[k] - rate * m / (np.sqrt(v) + 1e-8)
         return self
 
 

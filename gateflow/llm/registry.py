@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gateflow.llm.bpe import bpe_report
+from gateflow.llm.chat import chat_report
 from gateflow.llm.html_text import pages_report
 from gateflow.llm.knn import KNN_SQL, knn_join
+from gateflow.llm.mixing import mixing_report
 from gateflow.llm.perplexity import quality_rules
 from gateflow.llm.pii import pii_report
 from gateflow.llm.quality import quality_report
@@ -38,6 +40,8 @@ def _bpe(docs: DataFrame) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op1_chat_formatting": _over("conversations", chat_report),
+        "op2_source_mixing": _over("documents", mixing_report),
         "op3_pii": _over("documents", pii_report),
         "op4_knn_join": _over("embeddings", knn_join),
         "op5_toxicity": _with_labels(toxicity_report),

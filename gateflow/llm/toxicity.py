@@ -90,15 +90,18 @@ def _masks(rows: DataFrame) -> DataFrame:
 
 
 def learn_lexicon(
-    rows: DataFrame, least_contexts: int = 10, ratio: int = 12, size: int = 2000
+    rows: DataFrame, most_contexts: int = 10, ratio: int = 12, size: int = 2000
 ) -> list[tuple[str, bool]]:
     """Terms (text, is a stem) from labelled rows (text, toxic).
 
-    A word or prefix qualifies with ``least_contexts`` different contexts in toxic
-    texts and ``ratio`` times as many as in the others. A stem has at least four
+    A word or prefix qualifies with enough different contexts in toxic texts and
+    ``ratio`` times as many as in the others. Enough is a tenth of the toxic texts, but
+    three at least and ``most_contexts`` at most. A stem has at least four
     letters and three different words; the shortest qualifying prefix stands for its
     family. At most ``size`` terms, those with most contexts, are kept.
     """
+    n_toxic = rows.filter("toxic > 0").count()
+    least_contexts = max(3, min(most_contexts, n_toxic // 10))
     masks = store_table(_masks(rows).filter("length(word) BETWEEN 3 AND 40"))
     enough = f"bit_count(toxic) >= {least_contexts} AND bit_count(toxic) >= {ratio} * bit_count(other)"
     words = masks.filter(enough).select("word", F.lit(False).alias("stem"), F.expr("bit_count(toxic)").alias("n"))
