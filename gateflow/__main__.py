@@ -9,7 +9,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from gateflow.functions.fixed import DEFAULT_GATES
+from gateflow.functions.fixed import DEFAULT_GATES, SIGMAS, TIME_BANDS
 from gateflow.operators.counts import date_range
 from gateflow.plans.flow import flow_from_folder
 from gateflow.plans.report import report
@@ -20,24 +20,46 @@ LAYOUTS = {
     "old": workbooks.OLD_EXPORT,
     "old-strict": workbooks.STRICT_OLD_EXPORT,
     "new": workbooks.NEW_EXPORT,
+    "pre-counted": workbooks.PRECOUNTED_EXPORT,
 }
 
 
+def _band(text: str) -> tuple[str, int, int]:
+    label, first, last = text.rsplit(":", 2)
+    return label, int(first), int(last)
+
+
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="gateflow", description=__doc__)
     parser.add_argument("exports", help="folder with .xlsx exports")
     parser.add_argument("results", help="folder for the result tables")
     parser.add_argument("--layout", choices=LAYOUTS, default="old")
     parser.add_argument("--gates", nargs="+", default=DEFAULT_GATES)
+    parser.add_argument("--sigmas", type=float, default=SIGMAS)
+    parser.add_argument(
+        "--bands",
+        nargs="+",
+        type=_band,
+        default=TIME_BANDS,
+        help="bands of the day as LABEL:FIRST:LAST hour",
+    )
     chosen = parser.parse_args(arguments)
 
     spark = SparkSession.builder.appName("gateflow").getOrCreate()
     layout = LAYOUTS[chosen.layout]
     tables = flow_from_folder(
-        spark, chosen.exports, chosen.gates, layout, f"{chosen.results}/loaded"
+        spark,
+        chosen.exports,
+        chosen.gates,
+        layout,
+        f"{chosen.results}/loaded",
+        chosen.sigmas,
+        tuple(chosen.bands),
     )
-    write_bundle({**tables, **report(tables, layout.direction)}, chosen.results)
-    first, last = date_range(tables["counts"]).first()
+    summary = report(tables, layout.direction, tuple(chosen.bands))
+    write_bundle({**tables, **summary}, chosen.results)
+    dated = tables["people"] if layout.gate is None else tables["counts"]
+    first, last = date_range(dated).first()
     print(f"dates {first} to {last}, {tables['quarantine'].count()} files refused")
 
 

@@ -20,7 +20,8 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
     gates = ", ".join(f"'{g}'" for g in [*DEFAULT_GATES, OTHER_GATE, OTHER_GATE])
     return table(spark, folder, "events").selectExpr(
         "event_id",
-        f"get(array({gates}), CAST(user_id % 12 AS INT)) AS tema_key",
+        f"coalesce(get(array({gates}), CAST(user_id % 12 AS INT)), '{OTHER_GATE}') "
+        "AS tema_key",
         "ts AS transaction_date",
         "CASE WHEN event_type IN ('view', 'signup') THEN 'Entry' "
         "WHEN event_type IN ('purchase', 'error') THEN 'Exit' "

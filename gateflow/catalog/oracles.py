@@ -5,6 +5,7 @@ from __future__ import annotations
 from gateflow.functions.fixed import DEFAULT_GATES
 
 D = "transit_direction_description"
+N = "transacciones_por_hora"
 GATES = ", ".join(f"'{gate}'" for gate in DEFAULT_GATES)
 GATE_CASES = " ".join(
     f"WHEN {number} THEN '{gate}'" for number, gate in enumerate(DEFAULT_GATES)
@@ -156,20 +157,27 @@ STEPS = {
                round(abs(entradas - salidas - media) - 2 * desviacion, 9) > 0
                    AS se_sale_de_media
         FROM {joined('people', 'hour_stats', ['hora'])}""",
-    "blocks": """
-        SELECT event_id // 250 AS block,
-               count(*) FILTER (WHERE event_type = 'error')
-                   > count(*) FILTER (WHERE event_type = 'signup') AS broken
-        FROM events GROUP BY ALL""",
     "loaded": f"""
-        SELECT 'block-' || block || '.xlsx' AS source_path,
-               row_number() OVER (PARTITION BY block ORDER BY event_id) + 1 AS row_idx,
-               tx.tema_key,
-               date_trunc('milliseconds', tx.transaction_date) AS transaction_date,
-               tx.{D}, tx.transit_status_description, tx.card_number,
+        SELECT 'file-' || (event_id % 40) || '.xlsx' AS source_path,
+               event_id AS row_idx, tema_key,
+               CASE WHEN event_id % 50 <> 7 THEN transaction_date END
+                   AS transaction_date,
+               {D}, transit_status_description, card_number,
                CAST(NULL AS VARCHAR) AS identifier, CAST(NULL AS VARCHAR) AS parameter_1
-        FROM tx JOIN blocks ON tx.event_id // 250 = blocks.block
-        WHERE NOT broken""",
+        FROM tx""",
+    "loaded_counts": f"""
+        SELECT CAST(transaction_date AS DATE) AS fecha, {D},
+               CAST(hour(transaction_date) AS INTEGER) AS hora, count(*) AS {N}
+        FROM loaded WHERE tema_key IN ({GATES}) GROUP BY ALL""",
+    "holed": f"""
+        SELECT *, CASE WHEN hora % 7 <> 3 OR {D} <> 'Entry' THEN {N} END AS valor
+        FROM dense WHERE {D} <> 'Exit' OR day(fecha) % 5 <> 0""",
+    "own": f"""
+        SELECT * REPLACE (CASE WHEN hora = 0 THEN {D} || '-' || fecha ELSE {D} END
+                          AS {D}) FROM dense""",
+    "own_stats": f"""
+        SELECT {', '.join(GROUPS)}, avg({N}) AS mu, stddev_samp({N}) AS sigma
+        FROM own GROUP BY ALL""",
 }
 
 
@@ -246,7 +254,6 @@ def by_band(source: str, ids: str, value: str, agg: str) -> str:
     )
 
 
-N = "transacciones_por_hora"
 G = ", ".join(GROUPS)
 WEEK = f"{day_label('fecha')} AS dia_ordenado, {weekday('fecha')} AS dia_orden"
 WEEK_GROUPS = "dia_ordenado, dia_orden"
@@ -288,19 +295,20 @@ def _sides() -> str:
 
 ORACLES = {
     # Sources
-    "op_ingest_workbooks": "SELECT * FROM loaded",
-    "op_ingest_quarantine": """
-        SELECT 'block-' || block || '.xlsx' AS source_path,
-               'BadZipFile' AS error_kind
-        FROM blocks WHERE broken""",
-    "op_ingest_counts": f"""
-        SELECT CAST(transaction_date AS DATE) AS fecha, {D},
-               CAST(hour(transaction_date) AS INTEGER) AS hora, count(*) AS {N}
-        FROM loaded WHERE tema_key IN ({GATES}) GROUP BY ALL""",
+    "op_records_typed": "SELECT * FROM loaded",
+    "op_records_counts": "SELECT * FROM loaded_counts",
+    "op_densify_missing_times": f"""
+        SELECT g.fecha, g.{D}, g.hora, coalesce(c.{N}, 0) AS {N}
+        FROM (SELECT * FROM (SELECT DISTINCT fecha FROM loaded_counts),
+                            (SELECT DISTINCT {D} FROM loaded_counts),
+                            (SELECT CAST(range AS INTEGER) AS hora FROM range(24))) g
+        LEFT JOIN loaded_counts c
+        ON g.fecha = c.fecha AND g.{D} = c.{D} AND g.hora = c.hora""",
     "op_clean_names": """
         SELECT c_custkey AS customer_key_n, c_name, c_nationkey AS nacion_key,
                round(c_acctbal, 6) AS percent_of_balance, c_name AS c_name_2,
-               c_custkey AS x2nd_key
+               c_custkey AS x2nd_key, c_nationkey AS c_name_2_2,
+               c_nationkey AS strasse_ae
         FROM customer""",
     "op_rename_third": """
         SELECT c_custkey, c_name, c_nationkey AS "operator" FROM customer""",
@@ -373,6 +381,12 @@ ORACLES = {
         SELECT fecha, {D}, franja_horaria,
                CAST(sum(conteo_acumulado) AS BIGINT) AS conteo_acumulado
         FROM dense GROUP BY ALL""",
+    "op_band_sum_missing_values": f"""
+        SELECT fecha, {D}, franja_horaria,
+               CASE WHEN bool_or(valor IS NULL) THEN NULL
+                    ELSE CAST(sum(valor) AS BIGINT) END AS estricta,
+               CAST(coalesce(sum(valor), 0) AS BIGINT) AS presente
+        FROM holed GROUP BY ALL""",
     "op_band_closing_level": f"""
         SELECT fecha, tipo_dia, {D}, franja_horaria,
                max(conteo_acumulado) AS conteo_final_franja
@@ -415,6 +429,15 @@ ORACLES = {
         "dense", f"fecha, {D}", "hora", HOURS, "conteo_acumulado", "max",
         where="fecha IS NOT NULL",
     ),
+    "op_pivot_imputed_cumulative": wide(
+        "imputed", f"fecha, {D}", "hora", HOURS, "conteo_acumulado_imputado", "max",
+        kind="DOUBLE", where="fecha IS NOT NULL",
+    ),
+    "op_pivot_missing_values": f"SELECT fecha, {D}, " + ", ".join(
+        f"CASE WHEN bool_or(hora = {h}) THEN max(valor) FILTER (WHERE hora = {h}) "
+        f'ELSE 0 END AS "{h}"'
+        for h in HOURS
+    ) + " FROM holed WHERE hora <> 5 OR day(fecha) % 2 <> 0 GROUP BY ALL",
     "op_pivot_counts": wide(
         "dense", f"fecha, {D}", "hora", HOURS, N, "max", "0", where="fecha IS NOT NULL"
     ),
@@ -459,6 +482,19 @@ ORACLES = {
                tipo_dia, {LIMITS},
                {r('transacciones_imputadas', 'transacciones_imputadas')}
         FROM imputed""",
+    "op_impute_one_row_groups": f"""
+        SELECT l.fecha, l.{D}, l.hora, {r('mu', 'mu')}, {r('sigma', 'sigma')},
+               {r(f"""CASE WHEN sigma IS NULL THEN NULL
+                    WHEN {outside(N, 'mu - 2 * sigma', 'mu + 2 * sigma')}
+                    THEN greatest(mu, 0) ELSE CAST({N} AS DOUBLE) END""",
+                  'transacciones_imputadas')}
+        FROM {joined('own', 'own_stats', GROUPS)}""",
+    "op_impute_on_the_limit": f"""
+        SELECT fecha, {D} || '-' || fecha || '-' || (hora // 2) AS {D}, hora,
+               CASE WHEN count(*) OVER (
+                        PARTITION BY fecha, {D}, hora // 2, franja_horaria) = 2
+                    THEN CAST({N} AS DOUBLE) END AS transacciones_imputadas
+        FROM dense""",
     "op_correct_two_sigma": f"""
         SELECT fecha, {D}, hora, {N}, {r('conteo_corregido', 'conteo_corregido')}
         FROM corrected""",
@@ -495,6 +531,13 @@ ORACLES = {
     "op_net_sparse": net(
         "(SELECT * FROM counts WHERE fecha IS NOT NULL)", N, "diferencia", None, "BIGINT"
     ),
+    "op_net_missing_values": f"""
+        SELECT coalesce(e.fecha, x.fecha) AS fecha, coalesce(e.hora, x.hora) AS hora,
+               CASE WHEN e.fecha IS NULL THEN 0 ELSE e.valor END
+               - CASE WHEN x.fecha IS NULL THEN 0 ELSE x.valor END AS diferencia
+        FROM (SELECT * FROM holed WHERE {D} = 'Entry') e
+        FULL JOIN (SELECT * FROM holed WHERE {D} = 'Exit') x
+        ON e.fecha = x.fecha AND e.hora = x.hora""",
     # Summary tables
     "mart_net_profile": f"""
         SELECT tipo_dia, hora, {r('avg(flujo_neto_ajustado)', 'flujo_neto_promedio')}
@@ -540,6 +583,7 @@ ORACLES = {
 }
 ORACLES["flow_end_to_end"] = ORACLES["op_net_cumulative_imputed"]
 ORACLES["flow_new_format"] = ORACLES["op_net_cumulative_imputed"]
+ORACLES["flow_sparse"] = ORACLES["op_cumulative_sparse"]
 ORACLES["flow_precounted"] = f"""
     SELECT fecha, hora, entradas, salidas, personas_por_hora, personas_por_hora_ajustado
     FROM ({ORACLES["op_adjust_net_people"]})"""

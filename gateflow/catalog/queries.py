@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gateflow.catalog import exports
 from gateflow.catalog.adapter import new_format, precounted, table, transactions
 from gateflow.functions import (
     label_time,
@@ -85,37 +84,64 @@ def raw_net(spark: SparkSession, folder: str) -> DataFrame:
     return netflow.net_cumulative(dense(spark, folder), LEVEL, RAW_NET)
 
 
-def files(spark: SparkSession, folder: str) -> DataFrame:
-    return exports.as_workbooks(transactions(spark, folder))
+def loaded(spark: SparkSession, folder: str) -> DataFrame:
+    """All transactions as rows of sheets with two kinds of header, typed.
+
+    Every 50th has a time that cannot be read.
+    """
+    one = ["tema_key", "transaction_date", DIRECTION, "transit_status_description"]
+    one += ["card_number"]
+    two = ["card_number", "other", *one[3:0:-1], "tema_key", "parameter_1"]
+    moment = "IF(event_id % 50 = 7, 'n/a', CAST(transaction_date AS STRING))"
+
+    def cells(columns: list[str]) -> str:
+        parts = {"transaction_date": moment, "other": "'x'", "parameter_1": "NULL"}
+        return f"array({', '.join(parts.get(c, c) for c in columns)})"
+
+    def header(columns: list[str]) -> str:
+        return f"array({', '.join(repr(c) for c in columns)})"
+
+    first = "event_id % 40 < 20"
+    sheets = transactions(spark, folder).selectExpr(
+        "concat('file-', event_id % 40, '.xlsx') AS source_path",
+        "event_id AS row_idx",
+        f"IF({first}, {header(one)}, {header(two)}) AS columns",
+        f"IF({first}, {cells(one)}, {cells(two)}) AS cells",
+        "CAST(NULL AS STRING) AS load_error",
+    )
+    texts = workbooks.cells_by_name(sheets, workbooks.OLD_EXPORT)
+    return workbooks.type_records(texts, workbooks.OLD_EXPORT)
 
 
-def loaded(spark: SparkSession, folder: str) -> DataFrame:
-    decoded = workbooks.decode_workbooks(files(spark, folder), workbooks.OLD_EXPORT)
-    return workbooks.type_records(decoded, workbooks.OLD_EXPORT)
+def holed(spark: SparkSession, folder: str) -> DataFrame:
+    """The full calendar with missing values, and days with entries alone."""
+    rows = dense(spark, folder).where(
+        f"NOT ({DIRECTION} = 'Exit' AND dayofmonth(fecha) % 5 = 0)"
+    )
+    hole = f"hora % 7 = 3 AND {DIRECTION} = 'Entry'"
+    return rows.selectExpr("*", f"IF({hole}, NULL, {COUNT}) AS valor")
 
 
 # Sources ----------------------------------------------------------------------
 
 
-def ingest(spark: SparkSession, folder: str) -> DataFrame:
+def records_typed(spark: SparkSession, folder: str) -> DataFrame:
     good, _ = conform.split_quarantine(loaded(spark, folder))
     return good
 
 
-def quarantine(spark: SparkSession, folder: str) -> DataFrame:
-    _, bad = conform.split_quarantine(loaded(spark, folder))
-    kind = F.substring_index("load_error", ":", 1).alias("error_kind")
-    return bad.select("source_path", kind)
-
-
-def ingested_counts(spark: SparkSession, folder: str) -> DataFrame:
+def records_counts(spark: SparkSession, folder: str) -> DataFrame:
     return (
-        ingest(spark, folder)
+        records_typed(spark, folder)
         .transform(counts.keep_gates)
         .transform(counts.count_hourly)
     )
 
 
+def densify_missing_times(spark: SparkSession, folder: str) -> DataFrame:
+    return calendar.densify_hours(materialise(records_counts(spark, folder)))
+
+
 def clean_names(spark: SparkSession, folder: str) -> DataFrame:
     messy = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("Customer Key (N°)"),
@@ -124,6 +150,8 @@ def clean_names(spark: SparkSession, folder: str) -> DataFrame:
         F.col("c_acctbal").alias("% of Balance"),
         F.col("c_name").alias("c name"),
         F.col("c_custkey").alias("2nd key"),
+        F.col("c_nationkey").alias("C Name 2"),
+        F.col("c_nationkey").alias("Straße Æ"),
     )
     return conform.clean_names(messy)
 
@@ -278,7 +306,15 @@ def corrected_band_sum(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def band_cumsum_sum(spark: SparkSession, folder: str) -> DataFrame:
-    return marts.band_sums(dense(spark, folder), LEVEL, LEVEL)
+    return marts.band_sums(dense(spark, folder), LEVEL, LEVEL, skip_missing=True)
+
+
+def band_sum_missing_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums per band, strict and over what is there."""
+    rows = holed(spark, folder)
+    strict = marts.band_sums(rows, "valor", "estricta")
+    loose = marts.band_sums(rows, "valor", "presente", skip_missing=True)
+    return strict.join(loose, ["fecha", DIRECTION, "franja_horaria"])
 
 
 def band_closing_level(spark: SparkSession, folder: str) -> DataFrame:
@@ -343,6 +379,17 @@ def pivot_cumulative(spark: SparkSession, folder: str) -> DataFrame:
     return reshape.pivot_hours(known, LEVEL)
 
 
+def pivot_imputed_cumulative(spark: SparkSession, folder: str) -> DataFrame:
+    known = imputed(spark, folder).transform(counts.drop_missing, "fecha")
+    return reshape.pivot_hours(known, IMPUTED_LEVEL)
+
+
+def pivot_missing_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells without a row are 0, cells with a missing value stay missing."""
+    rows = holed(spark, folder).where("NOT (hora = 5 AND dayofmonth(fecha) % 2 = 0)")
+    return reshape.pivot_hours(rows, "valor", fill=0)
+
+
 def pivot_counts(spark: SparkSession, folder: str) -> DataFrame:
     known = dense(spark, folder).transform(counts.drop_missing, "fecha")
     return reshape.pivot_hours(known, COUNT, fill=0)
@@ -414,6 +461,24 @@ def impute_two_sigma(spark: SparkSession, folder: str) -> DataFrame:
     return dense(spark, folder).transform(impute.impute_two_sigma)
 
 
+def impute_one_row_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The first hour of each day in a group of its own: no sigma, no value."""
+    way = f"IF(hora = 0, concat({DIRECTION}, '-', fecha), {DIRECTION})"
+    rows = dense(spark, folder).withColumn(DIRECTION, F.expr(way))
+    return impute.impute_two_sigma(rows).select(
+        "fecha", DIRECTION, "hora", "mu", "sigma", IMPUTED
+    )
+
+
+def impute_on_the_limit(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of hours, with limits that fall on both of their values."""
+    way = f"concat_ws('-', {DIRECTION}, fecha, hora div 2)"
+    rows = dense(spark, folder).withColumn(DIRECTION, F.expr(way))
+    return impute.impute_two_sigma(rows, sigmas=0.5**0.5).select(
+        "fecha", DIRECTION, "hora", IMPUTED
+    )
+
+
 def correct_two_sigma(spark: SparkSession, folder: str) -> DataFrame:
     columns = ["fecha", DIRECTION, "hora", COUNT, "conteo_corregido"]
     return corrected(spark, folder).select(*columns)
@@ -434,6 +499,10 @@ def net_hourly_raw(spark: SparkSession, folder: str) -> DataFrame:
     return netflow.net_hourly(dense(spark, folder), COUNT)
 
 
+def net_missing_values(spark: SparkSession, folder: str) -> DataFrame:
+    return netflow.net_by_hour(holed(spark, folder), "valor", RAW_NET)
+
+
 def net_by_band(spark: SparkSession, folder: str) -> DataFrame:
     return netflow.net_by_band(dense(spark, folder))
 
@@ -449,6 +518,10 @@ def _mart(build: Callable[..., DataFrame], source: Query, *args) -> Query:
     return lambda spark, folder: build(source(spark, folder), *args)
 
 
+def entry_level_series(spark: SparkSession, folder: str) -> DataFrame:
+    return marts.entry_band_series(dense(spark, folder), LEVEL, skip_missing=True)
+
+
 MARTS: dict[str, Query] = {
     "mart_net_profile": _mart(marts.net_profile, net),
     "mart_net_box_hour": _mart(marts.net_box_hour, net),
@@ -465,7 +538,7 @@ MARTS: dict[str, Query] = {
     "mart_entry_band_series": _mart(
         marts.entry_band_series, corrected, "conteo_corregido"
     ),
-    "mart_entry_band_series_level": _mart(marts.entry_band_series, dense, LEVEL),
+    "mart_entry_band_series_level": entry_level_series,
     "mart_net_mean_band": _mart(marts.net_mean_band, raw_net, RAW_NET),
     "mart_net_sd_band": _mart(marts.net_sd_band, raw_net, RAW_NET),
     "mart_count_mean_band": _mart(marts.count_mean_band, dense),
@@ -473,9 +546,9 @@ MARTS: dict[str, Query] = {
 }
 
 OPERATORS: dict[str, Query] = {
-    "op_ingest_workbooks": ingest,
-    "op_ingest_quarantine": quarantine,
-    "op_ingest_counts": ingested_counts,
+    "op_records_typed": records_typed,
+    "op_records_counts": records_counts,
+    "op_densify_missing_times": densify_missing_times,
     "op_clean_names": clean_names,
     "op_rename_third": rename_third,
     "op_sentinel_cut": sentinel_cut,
@@ -499,6 +572,7 @@ OPERATORS: dict[str, Query] = {
     "op_band_totals": band_totals,
     "op_corrected_band_sum": corrected_band_sum,
     "op_band_cumsum_sum": band_cumsum_sum,
+    "op_band_sum_missing_values": band_sum_missing_values,
     "op_band_closing_level": band_closing_level,
     "op_hourly_profile": _mart(marts.hourly_profile, dense),
     "op_group_mean_sd": group_mean_sd,
@@ -513,6 +587,8 @@ OPERATORS: dict[str, Query] = {
     "op_cumulative_sparse": cumulative_sparse,
     "op_day_carry_over": day_carry_over,
     "op_pivot_cumulative": pivot_cumulative,
+    "op_pivot_imputed_cumulative": pivot_imputed_cumulative,
+    "op_pivot_missing_values": pivot_missing_values,
     "op_pivot_counts": pivot_counts,
     "op_pivot_sparse": pivot_sparse,
     "op_pivot_bands": pivot_bands,
@@ -526,6 +602,8 @@ OPERATORS: dict[str, Query] = {
     "op_day_type": day_type_counts,
     "op_weekday_label": weekday_label_counts,
     "op_impute_two_sigma": impute_two_sigma,
+    "op_impute_one_row_groups": impute_one_row_groups,
+    "op_impute_on_the_limit": impute_on_the_limit,
     "op_correct_two_sigma": correct_two_sigma,
     "op_adjust_net_people": adjust_net_people,
     "op_imputation_audit": imputation_audit,
@@ -535,6 +613,7 @@ OPERATORS: dict[str, Query] = {
     "op_net_hourly_raw": net_hourly_raw,
     "op_net_by_band": net_by_band,
     "op_net_sparse": net_sparse,
+    "op_net_missing_values": net_missing_values,
 }
 
 
@@ -559,6 +638,11 @@ def flow_new_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def flow_sparse(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and running counts without a calendar."""
+    return flow.sparse_flow(transactions(spark, folder))["counts"]
+
+
 def flow_precounted(spark: SparkSession, folder: str) -> DataFrame:
     return flow.precounted_flow(precounted(spark, folder))
 
@@ -568,6 +652,7 @@ FLOWS: dict[str, Query] = {
     "flow_imputed_table": flow_dense,
     "flow_new_format": flow_new_format,
     "flow_precounted": flow_precounted,
+    "flow_sparse": flow_sparse,
 }
 
 

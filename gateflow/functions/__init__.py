@@ -5,7 +5,13 @@ expressions it is given, for ``selectExpr`` and ``expr``. A long CASE then
 costs one call from Python to the JVM instead of one per branch.
 """
 
-from gateflow.functions.missing import floor_at_zero, if_else, running_sum, strict_sum
+from gateflow.functions.missing import (
+    floor_at_zero,
+    if_else,
+    running_sum,
+    strict_sum,
+    strict_sum_where,
+)
 from gateflow.functions.timeparts import (
     band_rank,
     day_type,
@@ -23,6 +29,7 @@ __all__ = [
     "label_time",
     "running_sum",
     "strict_sum",
+    "strict_sum_where",
     "time_band",
     "weekday_label",
     "weekday_number",

@@ -24,6 +24,15 @@ def strict_sum(value: str) -> str:
     return f"CASE WHEN count({value}) = count(1) THEN sum({value}) END"
 
 
+def strict_sum_where(value: str, hit: str, fill: str | None = None) -> str:
+    """Strict sum of the rows that ``hit`` holds for; ``fill`` if there is none."""
+    only = f"FILTER (WHERE {hit})"
+    found = f"CASE WHEN count({value}) {only} = count(1) {only} THEN sum({value}) {only} END"
+    if fill is None:
+        return found
+    return f"CASE WHEN count(1) {only} = 0 THEN {fill} ELSE {found} END"
+
+
 def running_sum(value: str, partition: list[str], order: str) -> str:
     """Running sum that stays NULL from the first NULL value on."""
     over = (

@@ -14,13 +14,16 @@ _FIXED_WIDTH = 16
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Bytes of all values: strings by length, others at a fixed width."""
-    widths = [
-        f"coalesce(octet_length({name(column)}), 0) + {_FIXED_WIDTH}"
-        if kind in ("string", "binary")
-        else str(_FIXED_WIDTH)
-        for column, kind in df.dtypes
-    ]
+    """Bytes of all values: strings by length, nested ones by that of their text."""
+
+    def width(column: str, kind: str) -> str:
+        if kind in ("string", "binary"):
+            return f"coalesce(octet_length({name(column)}), 0) + {_FIXED_WIDTH}"
+        if kind.startswith(("array", "map", "struct")):
+            return f"octet_length(to_json(struct({name(column)}))) + {_FIXED_WIDTH}"
+        return str(_FIXED_WIDTH)
+
+    widths = [width(column, kind) for column, kind in df.dtypes]
     return df.selectExpr(f"sum({' + '.join(widths)})").first()[0] or 0
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gateflow.functions import label_time, running_sum
+from gateflow.functions import label_time, running_sum, strict_sum_where
 from gateflow.functions.fixed import (
     BAND_LABELS,
     ENTRY,
@@ -26,8 +26,9 @@ from gateflow.operators.reshape import pivot_hours, spread
 
 def _side(value: str, direction: str, side: str, fill) -> str:
     hit = f"{quoted(direction)} = {literal(side)}"
-    found = f"sum({quoted(value)}) FILTER (WHERE {hit})"
-    return found if fill is None else f"coalesce({found}, {literal(fill)})"
+    return strict_sum_where(
+        quoted(value), hit, None if fill is None else literal(fill)
+    )
 
 
 def _two_sides(direction: str) -> str:
@@ -44,8 +45,9 @@ def net_by_hour(
 ) -> DataFrame:
     """Entries minus exits of ``value`` per date and hour.
 
-    A side that is absent counts as ``fill``; with ``fill=None`` the
-    difference is then missing. Other directions take no part.
+    A side without a row counts as ``fill``; with ``fill=None`` the difference is
+    then missing. A side with a missing value makes the difference missing. Other
+    directions take no part.
     """
     rows = df.where(_two_sides(direction))
     if not keep_missing_dates:
@@ -102,15 +104,16 @@ def net_wide(
 def full_outer_sides(
     df: DataFrame, value: str, direction: str = DIRECTION
 ) -> DataFrame:
-    """Both directions side by side per date: "0_Entry" to "23_Exit", absent is 0.
+    """Both directions side by side per date: "0_Entry" to "23_Exit".
 
-    A day seen in one direction only keeps its row.
+    Cells that are absent or missing are 0. A day seen in one direction only keeps
+    its row.
     """
     sided = df.where(f"fecha IS NOT NULL AND {_two_sides(direction)}").selectExpr(
         "fecha", f"concat_ws('_', hora, {quoted(direction)}) AS celda", quoted(value)
     )
     cells = [f"{hour}_{side}" for side in (ENTRY, EXIT) for hour in HOURS]
-    return spread(sided, ["fecha"], "celda", cells, value, fill=0)
+    return spread(sided, ["fecha"], "celda", cells, value).fillna(0, subset=cells)
 
 
 def net_of_sides(sides: DataFrame) -> DataFrame:

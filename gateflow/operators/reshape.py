@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gateflow.functions import strict_sum_where
 from gateflow.functions.fixed import BAND_LABELS, HOURS
 from gateflow.functions.text import name as quoted
 from gateflow.functions.text import value as literal
@@ -27,14 +28,19 @@ def spread(
     """One row per ``ids``, one column per listed value of ``key``.
 
     ``aggregate`` names a SQL aggregate; ``fill`` replaces the cells that no
-    row fell into.
+    row fell into. Sums are missing where one of their values is.
     """
 
     def cell(wanted) -> str:
         hit = f"{quoted(key)} = {literal(wanted)}"
-        found = f"{aggregate}({quoted(value)}) FILTER (WHERE {hit})"
-        if fill is not None:
-            found = f"coalesce({found}, {literal(fill)})"
+        filler = None if fill is None else literal(fill)
+        if aggregate == "sum":
+            found = strict_sum_where(quoted(value), hit, filler)
+        else:
+            found = f"{aggregate}({quoted(value)}) FILTER (WHERE {hit})"
+            if filler is not None:
+                empty = f"count(1) FILTER (WHERE {hit}) = 0"
+                found = f"CASE WHEN {empty} THEN {filler} ELSE {found} END"
         return f"{found} AS {quoted(str(wanted))}"
 
     return df.groupBy(*ids).agg(*[F.expr(cell(v)) for v in values])

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gateflow.functions.fixed import DEFAULT_GATES, SIGMAS, TIME_BANDS
 from gateflow.operators.calendar import accumulate, dense_table
@@ -22,8 +23,9 @@ from gateflow.operators.counts import (
     sum_in_out,
 )
 from gateflow.operators.impute import adjust_net_people, impute_two_sigma
-from gateflow.operators.netflow import net_cumulative, net_hourly
-from gateflow.session import materialise, store_table
+from gateflow.operators.netflow import net_by_hour, net_cumulative, net_hourly
+from gateflow.operators.reshape import pivot_hours
+from gateflow.session import materialise
 from gateflow.sources.conform import split_quarantine
 from gateflow.sources.workbooks import OLD_EXPORT, Layout, ingest_workbooks
 
@@ -97,20 +99,59 @@ def flow_from_folder(
     gates: Iterable[str] | DataFrame = DEFAULT_GATES,
     layout: Layout = OLD_EXPORT,
     table: str | None = None,
+    sigmas: float = SIGMAS,
+    bands=TIME_BANDS,
 ) -> dict[str, DataFrame]:
     """Exports of a folder through the whole flow; unread files in ``quarantine``.
 
     The loaded rows go to ``table``, or to the session's shared folder, so that
-    each workbook is decoded once.
+    each workbook is decoded once. ``untimed`` counts the rows per file whose time
+    cannot be read; the calendar has no place for them. Exports that are counted
+    already (a layout without a gate) give their net ``people`` by hour.
     """
     loaded = ingest_workbooks(spark, folder, layout, table)
-    if table is None:
-        loaded = store_table(loaded)
     rows, quarantine = split_quarantine(loaded)
-    tables = flow_tables(
-        rows, gates, layout.gate, layout.direction, layout.timestamp, check=True
+    untimed = (
+        rows.where(F.col(layout.timestamp).isNull())
+        .groupBy("source_path")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    return {**tables, "quarantine": quarantine}
+    if layout.gate is None:
+        tables = {"people": precounted_flow(rows, layout.timestamp, sigmas=sigmas)}
+    else:
+        tables = flow_tables(
+            rows,
+            gates,
+            layout.gate,
+            layout.direction,
+            layout.timestamp,
+            sigmas,
+            bands,
+            check=True,
+        )
+    return {**tables, "quarantine": quarantine, "untimed": untimed}
+
+
+def sparse_flow(
+    transactions: DataFrame,
+    gates: Iterable[str] | DataFrame = DEFAULT_GATES,
+    gate: str = "tema_key",
+    direction: str = DIRECTION,
+    timestamp: str = TIMESTAMP,
+) -> dict[str, DataFrame]:
+    """The flow without a calendar: hours nobody passed stay absent.
+
+    ``counts`` with their running sums, both with the hours as columns, and ``net``
+    by hour, which is missing where one side is.
+    """
+    counts = hourly_counts(transactions, gates, gate, direction, timestamp)
+    running = accumulate(counts, COUNT, "conteo_acumulado", direction)
+    return {
+        "counts": running,
+        "counts_by_hour": pivot_hours(counts, COUNT, ["fecha", direction]),
+        "levels_by_hour": pivot_hours(running, "conteo_acumulado", ["fecha", direction]),
+        "net": net_by_hour(counts, COUNT, "diferencia", direction, fill=None),
+    }
 
 
 def precounted_flow(
@@ -129,7 +170,10 @@ def precounted_flow(
 
 
 def occupancy(transactions: DataFrame, **columns) -> DataFrame:
-    """Imputed occupancy curve of raw transactions, as one lazy result."""
+    """Imputed occupancy curve of raw transactions.
+
+    The hourly counts are computed and stored when this is called; the rest is lazy.
+    """
     counts = hourly_counts(transactions, **columns)
     direction = columns.get("direction", DIRECTION)
     imputed = imputed_table(counts, direction)

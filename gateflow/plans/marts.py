@@ -161,20 +161,34 @@ def band_totals(
 
 
 def band_sums(
-    dense: DataFrame, value: str, name: str, direction: str = DIRECTION
+    dense: DataFrame,
+    value: str,
+    name: str,
+    direction: str = DIRECTION,
+    skip_missing: bool = False,
 ) -> DataFrame:
-    """Sums per date, direction and band."""
+    """Sums per date, direction and band.
+
+    A missing value makes its sum missing, or counts as nothing with
+    ``skip_missing``, as the sums of running levels want it.
+    """
+    column = quoted(value)
+    total = f"coalesce(sum({column}), 0)" if skip_missing else strict_sum(column)
     return dense.groupBy("fecha", direction, "franja_horaria").agg(
-        F.expr(f"{strict_sum(quoted(value))} AS {quoted(name)}")
+        F.expr(f"{total} AS {quoted(name)}")
     )
 
 
 def entry_band_series(
-    dense: DataFrame, value: str, direction: str = DIRECTION, labels=BAND_LABELS
+    dense: DataFrame,
+    value: str,
+    direction: str = DIRECTION,
+    labels=BAND_LABELS,
+    skip_missing: bool = False,
 ) -> DataFrame:
     """Entries per date with the bands as columns."""
     entries = dense.where(F.col(direction) == ENTRY)
-    sums = band_sums(entries, value, "total", direction)
+    sums = band_sums(entries, value, "total", direction, skip_missing)
     return pivot_bands(sums, ["fecha", direction], "total", labels=labels)
 
 

@@ -6,11 +6,19 @@ from pyspark.sql import DataFrame
 
 from gateflow.functions.fixed import TIME_BANDS
 from gateflow.operators.counts import COUNT, DIRECTION
-from gateflow.operators.impute import correct_two_sigma
-from gateflow.operators.netflow import net_by_band, net_cumulative, net_wide
-from gateflow.operators.reshape import pivot_hours, pivot_month_day
+from gateflow.operators.impute import correct_two_sigma, imputation_audit
+from gateflow.operators.netflow import (
+    closing_level,
+    day_carry_over,
+    net_by_band,
+    net_by_hour,
+    net_cumulative,
+    net_wide,
+)
+from gateflow.operators.reshape import pivot_bands, pivot_hours, pivot_month_day
 from gateflow.plans import marts
 from gateflow.plans.flow import IMPUTED, IMPUTED_LEVEL
+from gateflow.session import materialise
 
 LEVEL = "conteo_acumulado"
 RAW_NET = "diferencia"
@@ -20,11 +28,14 @@ CORRECTED = "conteo_corregido"
 def report(
     tables: dict[str, DataFrame], direction: str = DIRECTION, bands=TIME_BANDS
 ) -> dict[str, DataFrame]:
-    """Summary tables by name, lazily, from the result of ``flow_tables``.
+    """Summary tables by name from the result of ``flow_tables``.
 
-    All start from the stored imputed table, which has one row per date,
-    direction and hour.
+    All start from the stored imputed table, which has one row per date, direction and
+    hour, and are lazy but for the carry-over, which has to know the first day. A flow
+    of counted exports has its result already.
     """
+    if "imputed" not in tables:
+        return {}
     imputed, net = tables["imputed"], tables["net"]
     keys = ["fecha", direction]
     dense = imputed.select(
@@ -35,8 +46,23 @@ def report(
     raw_net = net_cumulative(dense, LEVEL, RAW_NET, direction, bands)
     corrected = correct_two_sigma(dense, COUNT, CORRECTED, direction)
     return {
+        "imputation_audit": imputation_audit(imputed, COUNT, IMPUTED, direction),
         "counts_by_hour": pivot_hours(known, COUNT, keys, 0),
         "levels_by_hour": pivot_hours(known, LEVEL, keys),
+        "imputed_levels_by_hour": pivot_hours(
+            imputed.dropna(subset=["fecha"]), IMPUTED_LEVEL, keys
+        ),
+        "corrected_by_hour": pivot_hours(corrected, CORRECTED, keys),
+        "corrected_by_band": marts.band_sums(corrected, CORRECTED, CORRECTED, direction),
+        "closing_levels": pivot_bands(
+            closing_level(dense, ["fecha", "tipo_dia", direction], LEVEL),
+            ["fecha", "tipo_dia", direction],
+            "conteo_final_franja",
+            labels=labels,
+        ),
+        "day_carry_over": day_carry_over(
+            materialise(net_by_hour(dense, LEVEL, RAW_NET, direction)), RAW_NET
+        ),
         "net_by_hour": net_wide(imputed, IMPUTED_LEVEL, direction),
         "net_by_band": net_by_band(dense, LEVEL, direction, labels),
         "month_day": pivot_month_day(imputed, IMPUTED, direction),
@@ -63,5 +89,7 @@ def report(
         "entry_series": marts.entry_band_series(
             corrected, CORRECTED, direction, labels
         ),
-        "entry_level_series": marts.entry_band_series(dense, LEVEL, direction, labels),
+        "entry_level_series": marts.entry_band_series(
+            dense, LEVEL, direction, labels, skip_missing=True
+        ),
     }

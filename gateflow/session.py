@@ -42,7 +42,7 @@ def materialise(df: DataFrame) -> DataFrame:
     recomputed if lost.
     """
     if _shared_folder(df.sparkSession) is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        return _kept(df.persist(StorageLevel.MEMORY_AND_DISK))
     return df.checkpoint(eager=True)
 
 
@@ -51,7 +51,30 @@ def store_table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = _shared_folder(spark)
     if folder is None:
-        return df.persist(StorageLevel.DISK_ONLY)
+        return _kept(df.persist(StorageLevel.DISK_ONLY))
     path = f"{folder}/table-{uuid4()}"
     df.write.parquet(path)
+    _paths.append(path)
     return spark.read.parquet(path)
+
+
+_frames: list[DataFrame] = []
+_paths: list[str] = []
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    _frames.append(df)
+    return df
+
+
+def release(spark: SparkSession) -> None:
+    """Give back what ``materialise`` and ``store_table`` hold.
+
+    For long sessions, when the results that start from it are written. Frames made
+    from a released table cannot be read any more.
+    """
+    while _frames:
+        _frames.pop().unpersist()
+    while _paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,13 +8,21 @@ from collections import Counter
 
 # Signs that are spelled out (fixed values).
 SPELLED = {"%": "_percent_", "#": "_number_"}
+# Letters without a base letter of their own (fixed values).
+LETTERS = str.maketrans(
+    {
+        "ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "ø": "o",
+        "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th",
+        "ł": "l", "Ł": "L", "ı": "i", "ħ": "h", "Ħ": "H", "ŧ": "t", "Ŧ": "T",
+    }
+)
 
 
 def clean_name(name: str) -> str:
     for sign, word in SPELLED.items():
         name = name.replace(sign, word)
     name = re.sub("['\"]", "", name)
-    name = unicodedata.normalize("NFKD", name)
+    name = unicodedata.normalize("NFKD", name.translate(LETTERS))
     name = "".join(c for c in name if not unicodedata.combining(c))
     name = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name)
     name = re.sub(r"([A-Z])([A-Z][a-z])", r"\1_\2", name)
@@ -23,13 +31,20 @@ def clean_name(name: str) -> str:
 
 
 def clean_names(names: list[str]) -> list[str]:
-    """Cleaned names; the second of two equal ones gets ``_2``, and so on."""
-    seen: Counter[str] = Counter()
-    result = []
+    """Cleaned names, each different; the second of two equal ones gets ``_2``.
+
+    A numbered name that is taken counts on until it is free.
+    """
+    uses: Counter[str] = Counter()
+    result: dict[str, None] = {}
     for name in map(clean_name, names):
-        seen[name] += 1
-        result.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
-    return result
+        unique = name
+        uses[name] += 1
+        while unique in result or (uses[name] > 1 and unique == name):
+            uses[name] = max(uses[name], 2) + (unique != name)
+            unique = f"{name}_{uses[name]}"
+        result[unique] = None
+    return list(result)
 
 
 def number_headers(names: list[str | None]) -> list[str]:

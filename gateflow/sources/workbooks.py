@@ -1,8 +1,8 @@
 """Folders of spreadsheet exports as one Spark ingest job.
 
 Spark lists the files, spreads them over the tasks and types the cells; only
-the cell codec is Python. A workbook cannot be split, so a task holds one
-workbook, whose sheet the format limits to 1,048,576 rows.
+the cell codec is Python. A workbook cannot be split: a task reads the files it was
+given one after the other, and hands the rows of a sheet on in chunks.
 """
 
 from __future__ import annotations
@@ -14,24 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gateflow.functions.text import value as literal
 from gateflow.operators.counts import DIRECTION, TIMESTAMP, require_rows
+from gateflow.operators.joins import broadcast_if_small
+from gateflow.session import store_table
 from gateflow.sources.conform import parse_timestamp
 from gateflow.sources.names import clean_names, number_headers
 from gateflow.sources.xlsx import read_rows
 
-RECORDS = (
-    "source_path string, row_idx bigint, columns array<string>, "
-    "cells array<string>, load_error string"
-)
-_ARROW_RECORDS = pa.schema(
-    [
-        ("source_path", pa.string()),
-        ("row_idx", pa.int64()),
-        ("columns", pa.list_(pa.string())),
-        ("cells", pa.list_(pa.string())),
-        ("load_error", pa.string()),
-    ]
-)
 _CHUNK = 20_000
 
 
@@ -119,6 +109,23 @@ def discover_workbooks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def hidden_workbooks(spark: SparkSession, folder: str) -> list[str]:
+    """Such files that Spark passes over: a name on their way begins with _ or a dot.
+
+    The file system lists them, on the driver as Spark's own listing does.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = system.makeQualified(root).toString().rstrip("/")
+    found, files = [], system.listFiles(root, True)
+    while files.hasNext():
+        path = files.next().getPath().toString()
+        below = path.removeprefix(top).strip("/").split("/")
+        if path.endswith((".xls", ".xlsx")) and any(n.startswith(("_", ".")) for n in below):
+            found.append(path)
+    return sorted(found)
+
+
 def _header(cells: list[str | None], layout: Layout) -> list[str]:
     names = number_headers(cells)
     for position, name in layout.positions.items():
@@ -133,65 +140,76 @@ def _header(cells: list[str | None], layout: Layout) -> list[str]:
     return names
 
 
-def _batch(path: str, names: list[str] | None, rows, error: str | None = None):
-    texts = pa.list_(pa.string())
+def records_schema(layout: Layout) -> str:
+    """Sheet rows: a text column for each wanted one."""
+    texts = "".join(f"`{name}` string, " for name in layout.types)
+    return f"source_path string, row_idx bigint, {texts}load_error string"
+
+
+def _batch(path: str, layout: Layout, rows: list, error: str | None = None):
+    """``rows`` are pairs of a row number and the cells of the wanted columns."""
+    names = ["source_path", "row_idx", *layout.types, "load_error"]
+    wanted = zip(*(cells for _, cells in rows)) if rows else [()] * len(layout.types)
     return pa.record_batch(
         [
-            pa.repeat(path, len(rows)),
+            pa.array([path] * len(rows), pa.string()),
             pa.array([number for number, _ in rows], pa.int64()),
-            pa.repeat(pa.scalar(names, texts), len(rows)),
-            pa.array([cells for _, cells in rows], texts),
-            pa.repeat(pa.scalar(error, pa.string()), len(rows)),
+            *(pa.array(list(cells), pa.string()) for cells in wanted),
+            pa.array([error] * len(rows), pa.string()),
         ],
-        schema=_ARROW_RECORDS,
+        names=names,
     )
 
 
-def _read_workbook(path: str, content: bytes, layout: Layout) -> list[pa.RecordBatch]:
-    """Rows of one workbook, or a single row with the reason it failed.
+def _read_workbook(
+    path: str, content: bytes, layout: Layout
+) -> Iterator[pa.RecordBatch]:
+    """Rows of one workbook in chunks; a failure adds a row with its reason.
 
-    Nothing is handed on before the whole sheet was read, as a workbook that
-    fails half-way counts as failed. The task sees the rows in order, so the
-    layout's marker is found on the way.
+    A workbook may fail after some of its chunks were handed on; ``whole_files``
+    drops these. The task sees the rows in order, so the layout's marker is found on
+    the way.
     """
     marker_column, marker = layout.sentinel or (None, None)
     try:
         if not content.startswith(b"PK"):
             raise ValueError("not an .xlsx workbook")
-        names, rows, batches, marker_at, ended = None, [], [], None, False
+        places, rows, marker_at, ended = None, [], None, False
         for number, cells in read_rows(content):
-            if number < layout.skip:
+            if number < layout.skip or ended:
                 continue
-            if names is None:
+            if places is None:
                 names = _header(cells, layout)
+                places = [names.index(n) if n in names else None for n in layout.types]
                 if marker_column in names:
                     marker_at = names.index(marker_column)
                 continue
             if marker_at is not None and marker_at < len(cells):
-                ended = ended or cells[marker_at] == marker
-            if ended:
-                continue
-            rows.append((number, cells))
+                ended = cells[marker_at] == marker
+                if ended:
+                    continue
+            width = len(cells)
+            picked = [cells[p] if p is not None and p < width else None for p in places]
+            rows.append((number, picked))
             if len(rows) == _CHUNK:
-                batches.append(_batch(path, names, rows))
+                yield _batch(path, layout, rows)
                 rows = []
-        if names is None:
+        if places is None:
             _header([], layout)
         if rows:
-            batches.append(_batch(path, names, rows))
-        return batches
+            yield _batch(path, layout, rows)
     except MemoryError:  # a fault of the machine, not of the file
         raise
     except Exception as failure:  # any fault of one file must spare the others
         reason = f"{type(failure).__name__}: {failure}"
-        return [_batch(path, None, [(None, None)], reason)]
+        yield _batch(path, layout, [(None, [None] * len(layout.types))], reason)
 
 
 def decode_workbooks(files: DataFrame, layout: Layout = OLD_EXPORT) -> DataFrame:
-    """Sheet rows of files given as (path, content).
+    """Sheet rows of files given as (path, content), one text column per wanted one.
 
-    Each row carries the cleaned header of its file. An unreadable file, or
-    one without a required column, gives one row with ``load_error``.
+    A column that a file lacks is NULL. An unreadable file, or one without a required
+    column, gives a row with ``load_error``.
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,25 +217,43 @@ def decode_workbooks(files: DataFrame, layout: Layout = OLD_EXPORT) -> DataFrame
             for path, content in zip(batch["path"], batch["content"]):
                 yield from _read_workbook(path.as_py(), content.as_py(), layout)
 
-    return files.select("path", "content").mapInArrow(decode, RECORDS)
+    return files.select("path", "content").mapInArrow(decode, records_schema(layout))
 
 
-def type_records(records: DataFrame, layout: Layout = OLD_EXPORT) -> DataFrame:
-    """Sheet rows as typed columns, found by header name in each file.
+def cells_by_name(records: DataFrame, layout: Layout = OLD_EXPORT) -> DataFrame:
+    """Text columns from rows that carry their header and cells as arrays.
 
-    A column that a file lacks is NULL, so files with different headers form
-    one table.
+    For rows of sheets that were not decoded here: ``columns`` is the cleaned header
+    of the row's file, so files with different headers form one table.
     """
+    place = "CAST(array_position(columns, {}) - 1 AS INT)"
+    cells = [
+        F.expr(f"get(cells, {place.format(literal(name))})").alias(name)
+        for name in layout.types
+    ]
+    return records.select("source_path", "row_idx", *cells, "load_error")
+
+
+def whole_files(loaded: DataFrame) -> DataFrame:
+    """``loaded`` without the rows of files that failed later on."""
+    failed = loaded.where("load_error IS NOT NULL").select(
+        F.col("source_path").alias("__failed")
+    )
+    failed = broadcast_if_small(failed.distinct())
+    partly = F.col("source_path").eqNullSafe(F.col("__failed"))
+    partly &= F.col("load_error").isNull()
+    return loaded.join(failed, partly, "left_anti")
 
-    def cell(name: str):
-        return F.get("cells", (F.array_position("columns", name) - 1).cast("int"))
+
+def type_records(records: DataFrame, layout: Layout = OLD_EXPORT) -> DataFrame:
+    """Text columns of sheet rows with the types of the layout; bad cells are NULL."""
 
     def typed(name: str, wanted: str):
         if wanted == "timestamp_ntz":
-            return parse_timestamp(cell(name))
+            return parse_timestamp(F.col(name))
         if wanted == "string":
-            return cell(name)
-        return cell(name).try_cast("decimal(38,6)").try_cast(wanted)
+            return F.col(name)
+        return F.col(name).try_cast("decimal(38,6)").try_cast(wanted)
 
     return records.select(
         "source_path",
@@ -235,15 +271,22 @@ def ingest_workbooks(
 ) -> DataFrame:
     """All exports below ``folder`` as one table with a ``load_error`` column.
 
-    With ``table`` the rows are written there as parquet first and read back,
-    so that workbooks are decoded once however often the result is used.
+    The rows are written to ``table`` as parquet, or to the session's shared folder,
+    so that workbooks are decoded once however often the result is used. A file that
+    fails, or that Spark passes over for its name, gives one row with the reason.
     """
-    files = require_rows(
-        discover_workbooks(spark, folder).select("path", "content"),
-        f"no .xls or .xlsx files below {folder}",
-    )
+    hidden = hidden_workbooks(spark, folder)
+    files = discover_workbooks(spark, folder).select("path", "content")
+    if not hidden:
+        files = require_rows(files, f"no .xls or .xlsx files below {folder}")
     rows = files.transform(decode_workbooks, layout).transform(type_records, layout)
     if table is None:
-        return rows
-    rows.write.mode("errorifexists").parquet(table)
-    return spark.read.parquet(table)
+        rows = store_table(rows)
+    else:
+        rows.write.mode("errorifexists").parquet(table)
+        rows = spark.read.parquet(table)
+    passed = spark.createDataFrame(
+        [(path, "Hidden: a name that begins with _ or a dot") for path in hidden],
+        "source_path string, load_error string",
+    )
+    return whole_files(rows).unionByName(passed, allowMissingColumns=True)

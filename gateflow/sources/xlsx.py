@@ -91,8 +91,15 @@ def _first_sheet(book: zipfile.ZipFile) -> tuple[str, bool]:
     return path, bool(flags) and flags[0] in ("1", "true")
 
 
-def _moment(serial: float, from_1904: bool) -> str:
-    """ISO text of a serial day number, to the millisecond."""
+def _moment(text: str, from_1904: bool) -> str | None:
+    """ISO text of a serial day number, to the millisecond; None if it is no date."""
+    try:
+        return _iso(float(text), from_1904)
+    except (ValueError, OverflowError):
+        return None
+
+
+def _iso(serial: float, from_1904: bool) -> str:
     if from_1904:
         start = datetime(1904, 1, 1)
     else:  # the 1900 calendar has a 29 February that never was
@@ -103,7 +110,10 @@ def _moment(serial: float, from_1904: bool) -> str:
 
 def _number(text: str) -> str:
     """Whole numbers without fraction or exponent, others as written."""
-    value = float(text)
+    try:
+        value = float(text)
+    except ValueError:
+        return text
     return str(int(value)) if value.is_integer() else text
 
 
@@ -187,7 +197,7 @@ def read_rows(content: bytes) -> Iterator[tuple[int, list[str | None]]]:
             if kind == "s":
                 text = strings[int(text)]
             elif kind == "n":
-                return _moment(float(text), from_1904) if style in dates else _number(text)
+                return _moment(text, from_1904) if style in dates else _number(text)
             elif kind == "b":
                 return "TRUE" if text == "1" else "FALSE"
             elif kind == "e":

@@ -24,6 +24,41 @@ def test_day_with_exits_only_counts_entries_as_zero(spark):
     assert row.neto is None
 
 
+def test_a_missing_value_is_not_an_absent_row(spark):
+    rows = [(FIRST, "Entry", 8, None), (FIRST, "Exit", 8, 2), (FIRST, "Exit", 9, 3)]
+    df = counts(spark, rows)
+    found = {r.hora: r.neto for r in netflow.net_by_hour(df, COUNT, "neto").collect()}
+    assert found == {8: None, 9: -3}
+    wide = {r[DIRECTION]: r for r in reshape.pivot_month_day(df, COUNT).collect()}
+    assert wide["Entry"]["8"] is None and wide["Entry"]["9"] == 0
+    sides = netflow.full_outer_sides(df, COUNT).first()
+    assert sides["8_Entry"] == 0 and sides["8_Exit"] == 2
+
+
+def test_one_row_groups_stay_missing_down_to_the_net(spark):
+    from gateflow.plans.flow import IMPUTED_LEVEL, NET, flow_tables
+
+    rows = [("TK54RT54", f"2024-01-01 08:{n:02d}:00", "Entry" if n < 7 else "Exit") for n in range(9)]
+    df = spark.createDataFrame(rows, f"tema_key string, t string, {DIRECTION} string")
+    df = df.selectExpr("tema_key", "CAST(t AS TIMESTAMP_NTZ) AS transaction_date", DIRECTION)
+    bands = [("a", 0, 7), ("ocho", 8, 8), ("b", 9, 23)]
+    tables = flow_tables(df, bands=bands)
+    net = {r.hora: r[NET] for r in tables["net"].collect()}
+    assert net[7] == 0 and net[8] is None and net[9] is None
+    hourly = {r.hora: r.diferencia_neta for r in tables["hourly_net"].collect()}
+    assert hourly[8] is None and hourly[9] == 0
+    assert IMPUTED_LEVEL in tables["imputed"].columns
+
+
+def test_level_sums_skip_what_is_missing(spark):
+    from gateflow.plans import marts
+
+    df = counts(spark, [(FIRST, "Entry", 8, 1), (FIRST, "Entry", 9, None)])
+    df = label_time(df)
+    assert marts.band_sums(df, COUNT, "n").first().n is None
+    assert marts.band_sums(df, COUNT, "n", skip_missing=True).first().n == 1
+
+
 def test_missing_dates_stay_in_the_hourly_net_only(spark):
     df = counts(spark, [(None, "Entry", 5, 4), (FIRST, "Entry", 5, 1)])
     assert netflow.net_hourly(df, COUNT).count() == 2

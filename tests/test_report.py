@@ -2,9 +2,9 @@ from datetime import datetime, timedelta
 
 from gateflow.__main__ import main
 from gateflow.catalog.adapter import new_format, transactions
-from gateflow.catalog.exports import workbook_bytes
 from gateflow.plans.flow import flow_tables
 from gateflow.plans.report import report
+from workbook_files import workbook_bytes
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -50,9 +50,12 @@ def test_command_writes_every_table(spark, tmp_path, capsys):
     (tmp_path / "in" / "a.xlsx").write_bytes(workbook_bytes([["r"], header, *rows]))
     (tmp_path / "in" / "b.xlsx").write_bytes(b"PK no")
     out = tmp_path / "out"
-    main([str(tmp_path / "in"), str(out)])
+    bands = ["--bands", "Mañana:0:11", "Tarde:12:23"]
+    main([str(tmp_path / "in"), str(out), *bands])
     assert "dates 2024-05-01 to 2024-05-05, 1 files refused" in capsys.readouterr().out
     written = {p.name for p in out.iterdir()}
     assert {"loaded", "imputed", "net", "net_box_weekday", "entry_series"} <= written
-    for name in written - {"loaded", "quarantine"}:
+    assert {"imputation_audit", "closing_levels", "day_carry_over"} <= written
+    assert spark.read.parquet(str(out / "net_by_band")).columns[1:] == ["Mañana", "Tarde"]
+    for name in written - {"loaded", "quarantine", "untimed"}:
         assert spark.read.parquet(str(out / name)).count() > 0, name

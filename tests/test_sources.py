@@ -7,13 +7,13 @@ from xml.sax.saxutils import escape
 import pytest
 from pyspark.sql import functions as F
 
-from gateflow.catalog.exports import workbook_bytes
 from gateflow.operators.counts import COUNT
 from gateflow.plans.flow import flow_from_folder
 from gateflow.sources import conform, workbooks
 from gateflow.sources.bundle import read_bundle, write_bundle
 from gateflow.sources.names import clean_names, number_headers
 from gateflow.sources.xlsx import read_rows
+from workbook_files import workbook_bytes
 
 QUOTES = {'"': "&quot;"}
 NOON = datetime(2024, 3, 5, 12, 30, 15, 250_000)
@@ -67,6 +67,15 @@ def test_names():
         "x_y_2",
         "x",
     ]
+    assert clean_names(["a", "a", "a 2", "Straße", "Ærø", "a", "a"]) == [
+        "a",
+        "a_2",
+        "a_2_2",
+        "strasse",
+        "aero",
+        "a_3",
+        "a_4",
+    ]
     assert number_headers(["a", None, "b", "a"]) == ["a...1", "...2", "b", "a...4"]
 
 
@@ -160,6 +169,59 @@ def test_bad_files_are_set_aside(spark, folder):
     assert row.row_idx == 2
 
 
+def test_files_that_spark_hides_are_named(spark, tmp_path):
+    (tmp_path / "_2025").mkdir()
+    for name in ("a.xlsx", "_b.xlsx", "_2025/c.xlsx", ".d.xls", "_e.txt"):
+        (tmp_path / name).write_bytes(workbook_bytes(old_rows()))
+    good, bad = conform.split_quarantine(workbooks.ingest_workbooks(spark, str(tmp_path)))
+    assert [base(r.source_path) for r in good.collect()] == ["a.xlsx"]
+    named = {base(r.source_path): r.load_error for r in bad.collect()}
+    assert sorted(named) == [".d.xls", "_b.xlsx", "c.xlsx"]
+    assert all(reason.startswith("Hidden") for reason in named.values())
+
+
+def test_a_file_that_fails_late_is_dropped_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workbooks, "_CHUNK", 2)
+    broken = rewritten(
+        workbook_bytes(old_rows() + [old_rows()[2]] * 5),
+        {"xl/worksheets/sheet1.xml": lambda s: s.replace("</sheetData>", "<oops>")},
+    )
+    (tmp_path / "late.xlsx").write_bytes(broken)
+    (tmp_path / "good.xlsx").write_bytes(workbook_bytes(old_rows() + [old_rows()[2]] * 5))
+    handed = list(workbooks._read_workbook("late.xlsx", broken, workbooks.OLD_EXPORT))
+    assert handed[-1].num_rows == 1 and handed[-1]["load_error"][0].as_py()
+    good, bad = conform.split_quarantine(workbooks.ingest_workbooks(spark, str(tmp_path)))
+    assert [base(r.source_path) for r in good.collect()] == ["good.xlsx"] * 6
+    assert [base(r.source_path) for r in bad.collect()] == ["late.xlsx"]
+
+
+def test_a_bad_date_cell_is_missing(spark, tmp_path):
+    content = workbook_bytes(old_rows() + [old_rows()[2]])
+    far = rewritten(
+        content,
+        {"xl/worksheets/sheet1.xml": lambda s: s.replace("<v>45356.5", "<v>99999999.5", 1)},
+    )
+    (tmp_path / "a.xlsx").write_bytes(far)
+    tables = flow_from_folder(spark, str(tmp_path))
+    assert tables["quarantine"].count() == 0
+    assert [r.n for r in tables["untimed"].collect()] == [1]
+    assert tables["counts"].where("hora = 12").first()[COUNT] == 1
+
+
+def test_counted_exports_give_net_people(spark, tmp_path):
+    for number in (4, 5):
+        header = [f"Operator NN Date {number}/09/2025 Hour 11:08:56 p.m.", "Entradas", "Salidas"]
+        content = workbook_bytes([header, [NOON, 3, number], [NOON, None, 1]])
+        (tmp_path / f"{number}.xlsx").write_bytes(content)
+    tables = flow_from_folder(spark, str(tmp_path), layout=workbooks.PRECOUNTED_EXPORT)
+    (row,) = tables["people"].collect()
+    assert (row.hora, row.entradas, row.salidas, row.personas_por_hora) == (12, 6, 11, -5)
+    from gateflow.__main__ import main
+
+    main([str(tmp_path), str(tmp_path / "out"), "--layout", "pre-counted", "--sigmas", "3"])
+    assert spark.read.parquet(str(tmp_path / "out" / "people")).count() == 1
+
+
 def test_empty_folder_stops(spark, tmp_path):
     with pytest.raises(ValueError, match="no .xls or .xlsx files"):
         workbooks.ingest_workbooks(spark, str(tmp_path))

@@ -1,4 +1,4 @@
-"""Workbooks made from tables by Spark, as input for the ingest job."""
+"""Workbooks for the tests of the ingest job."""
 
 from __future__ import annotations
 
@@ -7,13 +7,6 @@ import zipfile
 from datetime import datetime
 from xml.sax.saxutils import escape
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-BLOCK_ROWS = 250
-BANNER = "Transit report"
-
 _CONTENT_TYPES = (
     '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
     '<Default Extension="xml" ContentType="application/xml"/></Types>'
@@ -82,41 +75,3 @@ def workbook_bytes(rows: list[list]) -> bytes:
         for name, text in parts.items():
             book.writestr(name, text)
     return target.getvalue()
-
-
-def _export_block(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-    """One block of transactions as one old-format workbook.
-
-    A block with more errors than signups is cut short, as by a broken copy.
-    """
-    block = block.sort_values("event_id")
-    header = ["Tema Key", "Transaction Date", "Transit Direction Description"]
-    header += ["Transit Status Description", "Card Number"]
-    moments = [m.to_pydatetime() for m in block["transaction_date"].dt.floor("ms")]
-    body = zip(
-        block["tema_key"],
-        moments,
-        block["transit_direction_description"],
-        block["transit_status_description"],
-        block["card_number"],
-    )
-    content = workbook_bytes([[BANNER], header, *map(list, body)])
-    status = block["transit_status_description"]
-    if (status == "error").sum() > (status == "signup").sum():
-        content = content[: len(content) // 2]
-    return pd.DataFrame({"path": [f"block-{key[0]}.xlsx"], "content": [content]})
-
-
-def as_workbooks(rows: DataFrame) -> DataFrame:
-    """Transactions as (path, content), ``BLOCK_ROWS`` event numbers per file.
-
-    The number of partitions is stated, as a few bytes here are much work and
-    would otherwise be merged into one task.
-    """
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        rows.withColumn("block", F.expr(f"event_id div {BLOCK_ROWS}"))
-        .repartition(partitions, "block")
-        .groupBy("block")
-        .applyInPandas(_export_block, "path string, content binary")
-    )
