@@ -362,6 +362,9 @@ ORACLES = {
             SELECT DISTINCT fecha, hora, franja_horaria, dia_sem, tipo_dia FROM dense) a
         ON n.fecha = a.fecha AND n.hora = a.hora""",
     "op_full_outer_net": f"SELECT fecha, {_hour_differences()} FROM ({_sides()})",
+    "op_select_by_pattern": "SELECT " + ", ".join(
+        f'CAST("{h}_Entry" AS DOUBLE) AS "{h}_Entry"' for h in HOURS
+    ) + f" FROM ({_sides()})",
     "op_net_cumulative_wide": wide(
         "raw_net", "fecha", "hora", HOURS, "diferencia", "sum"
     ),

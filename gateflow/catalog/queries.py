@@ -281,6 +281,13 @@ def full_outer_net(spark: SparkSession, folder: str) -> DataFrame:
     return netflow.net_of_sides(sides)
 
 
+def select_by_pattern(spark: SparkSession, folder: str) -> DataFrame:
+    """The entry columns of both sides, as numbers."""
+    sides = netflow.full_outer_sides(hourly(spark, folder), COUNT)
+    entries = reshape.by_name_pattern(sides, suffix="_Entry")
+    return reshape.as_numeric(entries, entries.columns)
+
+
 def net_cumulative_wide(spark: SparkSession, folder: str) -> DataFrame:
     return netflow.net_wide(dense(spark, folder))
 
@@ -565,6 +572,7 @@ OPERATORS: dict[str, Query] = {
     "op_attach_group_stats": attach_group_stats,
     "op_attach_day_attributes": attach_day_attributes,
     "op_full_outer_net": full_outer_net,
+    "op_select_by_pattern": select_by_pattern,
     "op_net_cumulative_wide": net_cumulative_wide,
     "op_count_hourly": hourly,
     "op_count_hourly_new_format": new_format_counts,

@@ -4,6 +4,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from compare import connect, differences
+from gateflow.catalog.oracles import all_oracles
+from gateflow.catalog.queries import all_queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -14,10 +16,11 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert sorted(queries()) == sorted(oracle_sql())
+    assert sorted(all_queries()) == sorted(all_oracles())
+    assert set(all_queries()) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_matches_sql(spark, connection, name):
     result = queries()[name](spark, FOLDER)
     assert differences(result, connection.sql(oracle_sql()[name])) is None
