@@ -1,4 +1,4 @@
-"""Queries of this folder, each over its whole table, and SQL where it can say it."""
+"""Queries of this folder, each over its whole table."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gateflow.llm.bpe import bpe_report
 from gateflow.llm.chat import chat_report
 from gateflow.llm.html_text import pages_report
-from gateflow.llm.knn import KNN_SQL, knn_join
+from gateflow.llm.knn import knn_join
 from gateflow.llm.mixing import mixing_report
 from gateflow.llm.perplexity import quality_rules
 from gateflow.llm.pii import pii_report
@@ -51,7 +51,3 @@ def llm_queries() -> dict[str, Query]:
         "op9_html_extraction": _over("pages", pages_report),
         "op10_simhash": _over("documents", simhash_report),
     }
-
-
-def llm_oracles() -> dict[str, str]:
-    return {"op4_knn_join": KNN_SQL}
