@@ -18,12 +18,21 @@ from gateflow.operators.joins import left_join_null_safe
 
 
 def local_percentiles(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """Mean, 10th and 90th percentile (linear between neighbours)."""
-    column = quoted(value)
-    return df.groupBy(*groups).agg(
-        F.avg(value).alias("media_local"),
-        F.expr(f"percentile({column}, 0.1D) AS p10_local"),
-        F.expr(f"percentile({column}, 0.9D) AS p90_local"),
+    """Mean, 10th and 90th percentile (linear between neighbours).
+
+    Values are counted first, so that a group holds its distinct values only.
+    """
+    keys = [quoted(group) for group in groups]
+    frequencies = (
+        df.selectExpr(*keys, f"CAST({quoted(value)} AS DOUBLE) AS valor")
+        .groupBy(*groups, "valor")
+        .agg(F.expr("count(1) AS veces"))
+    )
+    known = "FILTER (WHERE valor IS NOT NULL)"
+    return frequencies.groupBy(*groups).agg(
+        F.expr(f"sum(valor * veces) / sum(veces) {known} AS media_local"),
+        F.expr("percentile(valor, 0.1D, veces) AS p10_local"),
+        F.expr("percentile(valor, 0.9D, veces) AS p90_local"),
     )
 
 
