@@ -4,7 +4,6 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
 from gateflow.catalog import queries as catalog
 from gateflow.catalog.adapter import transactions
 from gateflow.operators import calendar, counts, joins
@@ -42,9 +41,9 @@ def test_gate_filter_and_columns_reach_the_scan(spark, tmp_path):
     ]
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(catalog.all_queries()))
 def test_no_cross_join_anywhere(spark, name):
-    text = plan(queries()[name](spark, FOLDER))
+    text = plan(catalog.all_queries()[name](spark, FOLDER))
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
 
