@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gateflow.llm.tables import WORD
+from gateflow.operators.joins import broadcast_if_small
 from gateflow.session import store_table
 
 
@@ -267,7 +268,8 @@ def mixed_documents(
         "transform(sequence(1, CAST(ceil(__taken / __size) AS INT)), "
         "i -> least(__size, __taken - (i - 1) * __size))"
     )
-    copies = stored.join(taken.filter("__taken > 0"), "__key").withColumn(
+    taken = broadcast_if_small(taken.filter("__taken > 0"))
+    copies = stored.join(taken, "__key").withColumn(
         "__length", F.explode(lengths)
     )
     head = F.array_join(
