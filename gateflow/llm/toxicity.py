@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gateflow.llm.tables import arrow_schema, hash_remainder
+from gateflow.operators.joins import broadcast_if_small
 from gateflow.session import store_table
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -277,17 +278,23 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.02) -> np.ndar
     return w
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Documents with their label; the larger one where labels repeat or differ.
-
-    Rows without a doc_id or a label do not take part.
-    """
-    marks = (
+def label_marks(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id and its label, the larger one where labels repeat or differ."""
+    return (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias(label))
         .dropna()
         .groupBy("doc_id")
         .agg(F.max(label).alias(label))
     )
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """Documents with their label; the larger one where labels repeat or differ.
+
+    Rows without a doc_id or a label do not take part. Labels are measured and
+    broadcast while they are small, so that texts need not move to meet them.
+    """
+    marks = broadcast_if_small(label_marks(labels, label))
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
