@@ -10,7 +10,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gateflow.llm.bpe import bpe_report, decode, encode, split_words
+from gateflow.llm.bpe import Splitter, bpe_report, decode, encode
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -26,7 +26,7 @@ def library():
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=("Cs",)), st.sampled_from(" \n\t'sé²ªº\x1c\x85\xa0中1٣ⅷ_"))))
 def test_words_are_those_of_the_pattern(text):
-    words = split_words(text, PATTERN)
+    words = Splitter(PATTERN)(text)
     assert "".join(words) == text
     general = regex.compile(PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
     assert words == general.findall(text)
