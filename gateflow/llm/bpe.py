@@ -14,7 +14,6 @@ compressed. The texts are packed before they are dealt, once, and read twice.
 from __future__ import annotations
 
 import base64
-import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gateflow.llm.tables import arrow_schema, document_columns
+from gateflow.llm.tables import arrow_schema, document_columns, give_back
 
 _LETTER = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 #: Characters outside this range may be letters, digits or white space by rules that
@@ -38,25 +37,18 @@ _ASK = "shard int, block int, payload binary"
 _ANSWER = "block int, payload binary"
 
 
-@functools.lru_cache(4)
-def splitters(pattern: str) -> tuple:
-    """The pattern for any text, and one with plain classes for usual characters."""
-    general = regex.compile(
-        pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
-        if "[^\\s" not in pattern
-        else pattern.replace(r"[^\s", r"[^\p{White_Space}")
-        .replace(r"\S", r"\P{White_Space}")
-        .replace(r"\s", r"\p{White_Space}")
-    )
-    plain = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{_LETTER}0-9]")
-    plain = plain.replace(r"\p{L}", f"[{_LETTER}]").replace(r"\p{N}", "[0-9]")
-    return general, re.compile(plain)
+class Splitter:
+    """Splits texts by a pre-tokenizer's pattern; the parts together are the text."""
 
+    def __init__(self, pattern: str):
+        spaced = pattern.replace(r"[^\s", r"[^\p{White_Space}")
+        spaced = spaced.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
+        plain = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{_LETTER}0-9]")
+        plain = plain.replace(r"\p{L}", f"[{_LETTER}]").replace(r"\p{N}", "[0-9]")
+        self.general, self.plain = regex.compile(spaced), re.compile(plain)
 
-def split_words(text: str, pattern: str) -> list[str]:
-    """Matches of the pre-tokenizer's pattern, in order; together they are the text."""
-    general, plain = splitters(pattern)
-    return (general if _UNUSUAL.search(text) else plain).findall(text)
+    def __call__(self, text: str) -> list[str]:
+        return (self.general if _UNUSUAL.search(text) else self.plain).findall(text)
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -65,20 +57,20 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
-@functools.lru_cache(2)
-def _encoder(content: bytes, pattern: str) -> tiktoken.Encoding:
-    return tiktoken.Encoding(
-        "corpus", pat_str=pattern, mergeable_ranks=read_ranks(content), special_tokens={}
-    )
-
-
-@functools.lru_cache(2)
-def _token_bytes(content: bytes) -> dict[int, bytes]:
-    return {rank: token for token, rank in read_ranks(content).items()}
+def _encoder(held: dict) -> tiktoken.Encoding:
+    """Encoder of a broadcast vocabulary, made once per worker."""
+    if "encoder" not in held:
+        held["encoder"] = tiktoken.Encoding(
+            "corpus",
+            pat_str=held["pattern"],
+            mergeable_ranks=read_ranks(held["ranks"]),
+            special_tokens={},
+        )
+    return held["encoder"]
 
 
-def _word_ids(words: list[bytes], content: bytes, pattern: str) -> list[bytes]:
-    encode = _encoder(content, pattern)._encode_single_piece
+def _word_ids(words: list[bytes], held: dict) -> list[bytes]:
+    encode = _encoder(held)._encode_single_piece
     return [np.array(encode(word), dtype="<u4").tobytes() for word in words]
 
 
@@ -102,7 +94,7 @@ def _unpack(payload: bytes) -> list[list[bytes]]:
     return columns
 
 
-def _frequent_words(docs: DataFrame, share: float, pattern: str, n: int) -> list[str]:
+def _frequent_words(docs: DataFrame, share: float, split: Splitter, n: int) -> list[str]:
     """The ``n`` most frequent words of a sample of whole documents."""
     cut = int(share * (1 << 20)) + 1
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < cut)
@@ -110,8 +102,8 @@ def _frequent_words(docs: DataFrame, share: float, pattern: str, n: int) -> list
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter = Counter()
-            for text in batch.column("text").to_pylist():
-                counts.update(split_words(text, pattern))
+            for text in batch.column("text"):
+                counts.update(split(text.as_py()))
             short = {w: c for w, c in counts.items() if len(w) <= 64}
             yield pa.RecordBatch.from_pydict(
                 {"word": list(short), "n": list(short.values())},
@@ -127,10 +119,10 @@ def encode(
     docs: DataFrame,
     ranks_path: str,
     pattern: str,
-    frequent: int = 60_000,
-    sample_bytes: int = 16 << 20,
-    block_bytes: int = 2 << 20,
-    shard_bytes: int = 16 << 20,
+    frequent: int = 150_000,
+    sample_bytes: int = 32 << 20,
+    block_bytes: int = 4 << 20,
+    shard_bytes: int = 32 << 20,
 ) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit integers) of every row.
 
@@ -145,23 +137,38 @@ def encode(
     n_shards = total // shard_bytes + 1
     with open(ranks_path, "rb") as file:
         ranks = file.read()
-    words = _frequent_words(docs, min(1.0, sample_bytes / (total + 1)), pattern, frequent)
-    known = dict(zip(words, _word_ids([w.encode() for w in words], ranks, pattern)))
-    shared = context.broadcast((ranks, known))
+    split = Splitter(pattern)
+    words = _frequent_words(docs, min(1.0, sample_bytes / (total + 1)), split, frequent)
+    held = {"ranks": ranks, "pattern": pattern}
+    known = dict(zip(words, _word_ids([w.encode() for w in words], held)))
+    shared = context.broadcast({"ranks": ranks, "pattern": pattern, "known": known})
 
     blocks = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            packed = [_pack(*held[block]) for block in held]
+            out = {"block": list(held), "payload": packed}
+            held.clear()
+            return pa.RecordBatch.from_pydict(out, schema=arrow_schema(_ANSWER))
+
         for batch in batches:
-            held: dict[int, tuple[list, list]] = {}
-            for block, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            names = batch.column("doc_id").to_pylist()
+            for block, doc_id, text in zip(
+                batch.column("block").to_pylist(), names, batch.column("text").cast("binary")
+            ):
                 ids, texts = held.setdefault(block, ([], []))
                 ids.append(b"" if doc_id is None else doc_id.to_bytes(8, "little", signed=True))
-                texts.append(text.encode())
-            yield pa.RecordBatch.from_pydict(
-                {"block": list(held), "payload": [_pack(*v) for v in held.values()]},
-                schema=arrow_schema(_ANSWER),
-            )
+                texts.append(text.as_py())
+                size += len(texts[-1])
+                if size > 16 << 20:
+                    yield rows()
+                    size = 0
+        yield rows()
+        give_back()
 
     dealt = (
         docs.select(blocks.alias("block"), "doc_id", "text")
@@ -170,7 +177,7 @@ def encode(
     )
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value[1]
+        known = shared.value["known"]
         wanted: dict[int, set] = {}
         held = 0
 
@@ -195,21 +202,21 @@ def encode(
                 for text in _unpack(payload)[1]:
                     found = wanted.setdefault(block, set())
                     before = len(found)
-                    found.update(set(split_words(text.decode(), pattern)).difference(known))
+                    found.update(set(split(text.decode())).difference(known))
                     held += len(found) - before
                 if held > 1 << 17:
                     yield rows()
                     held = 0
         yield rows()
+        give_back()
 
     def answer(asked: pa.Table) -> pa.Table:
-        ranks = shared.value[0]
         ids: dict[bytes, bytes] = {}
         packed = []
         for payload in asked.column("payload").to_pylist():
             (words,) = _unpack(payload)
             new = [word for word in words if word not in ids]
-            ids.update(zip(new, _word_ids(new, ranks, pattern)))
+            ids.update(zip(new, _word_ids(new, shared.value)))
             packed.append(_pack(words, [ids[word] for word in words]))
         return pa.table(
             {"block": asked.column("block"), "payload": pa.array(packed, pa.binary())},
@@ -217,16 +224,17 @@ def encode(
         )
 
     def assemble(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        ids = dict(shared.value[1])
+        ids = dict(shared.value["known"])
         for payload in answers.column("payload").to_pylist():
             words, values = _unpack(payload)
             ids.update(zip((word.decode() for word in words), values))
+        give_back()
         get = ids.__getitem__
         names, encoded = [], []
         for payload in texts.column("payload").to_pylist():
             for doc_id, text in zip(*_unpack(payload)):
                 names.append(int.from_bytes(doc_id, "little", signed=True) if doc_id else None)
-                encoded.append(b"".join(map(get, split_words(text.decode(), pattern))))
+                encoded.append(b"".join(map(get, split(text.decode()))))
         return pa.table(
             {"doc_id": pa.array(names, pa.int64()), "ids": pa.array(encoded, pa.binary())}
         )
@@ -251,11 +259,14 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     broadcast; missing ids decode to no bytes.
     """
     with open(ranks_path, "rb") as file:
-        shared = encoded.sparkSession.sparkContext.broadcast(file.read())
+        shared = encoded.sparkSession.sparkContext.broadcast({"ranks": file.read()})
     encoded = encoded.select("doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = _token_bytes(shared.value).__getitem__
+        table = shared.value
+        if "tokens" not in table:
+            table["tokens"] = {r: t for t, r in read_ranks(table["ranks"]).items()}
+        get = table["tokens"].__getitem__
         for whole in batches:
             for begin in range(0, whole.num_rows, 256):
                 batch = whole.slice(begin, 256)

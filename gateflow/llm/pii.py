@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gateflow.llm.tables import give_back
+from gateflow.operators.joins import broadcast_if_small
 from gateflow.session import store_table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -197,6 +199,7 @@ def _found(docs: DataFrame) -> DataFrame:
                     ],
                     schema=target,
                 )
+        give_back()
 
     return rows.mapInArrow(run, _ROW)
 
@@ -309,7 +312,8 @@ def redact(docs: DataFrame, rounds: int = 4, least_support: int = 3) -> DataFram
                 struct(concat(a.done, substring(text, a.at + 1, x.start - a.at), '<', x.kind, '>') AS done,
                        x.stop AS at)),
             a -> concat(a.done, substring(text, a.at + 1)))"""
-    out = rows.join(spans.filter("size(__spans) > 0"), "__row", "left").withColumn(
+    spans = broadcast_if_small(spans.filter("size(__spans) > 0"))
+    out = rows.join(spans, "__row", "left").withColumn(
         "text", F.expr(f"CASE WHEN __spans IS NULL THEN text ELSE {pieces} END")
     )
     if "n_chars" in docs.columns:

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gateflow.llm.tables import arrow_schema, hash_remainder
-from gateflow.llm.toxicity import labelled
+from gateflow.llm.tables import arrow_schema, give_back, hash_remainder
+from gateflow.llm.toxicity import label_marks
 
 _PASSAGE = 64
 _PIECE = 1 << 20
@@ -233,24 +233,28 @@ def _bags(rows: DataFrame) -> DataFrame:
 
 
 def train_quality(
-    training: DataFrame, fit_rows: int = 1500, share_below: float = 0.5
+    docs: DataFrame, marks: DataFrame, fit_rows: int = 1500, share_below: float = 0.5
 ) -> AttentionModel:
-    """Model from labelled rows (doc_id, text, quality).
+    """Model from documents and their labels (doc_id, quality).
 
-    At most ``fit_rows`` rows of each label are taken, those with the smallest hashes.
-    ``share_below`` weighs the low label against the other.
+    At most ``fit_rows`` documents of each label are taken, those with the smallest
+    hashes; only their texts move. ``share_below`` weighs the low label against the
+    other.
     """
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
+    present = marks.join(texts.select("doc_id"), "doc_id", "left_semi")
     chosen = None
     for value in (0, 1):
         ids = (
-            training.filter(F.col("quality") == value)
-            .select("doc_id")
-            .distinct()
+            present.filter(F.col("quality") == value)
             .orderBy(F.xxhash64("doc_id"), "doc_id")
             .limit(fit_rows)
         )
         chosen = ids if chosen is None else chosen.unionAll(ids)
-    rows = training.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     table = _bags(rows).orderBy("doc_id").toArrow()
     labels = np.array(table.column("quality").to_pylist(), dtype=float)
     bags = [
@@ -291,7 +295,7 @@ def score_quality(docs: DataFrame, model: AttentionModel) -> DataFrame:
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: its fold, score and prediction."""
     held_out = hash_remainder("doc_id", 5) == 0
-    model = train_quality(labelled(docs, labels, "quality").filter(~held_out))
+    model = train_quality(docs, label_marks(labels, "quality").filter(~held_out))
     return score_quality(docs, model).select(
         "doc_id",
         held_out.alias("held_out"),
@@ -307,16 +311,16 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
     stay as they are, whatever their names.
     """
     held_out = hash_remainder("doc_id", 5) == 0
-    model = train_quality(labelled(docs, labels, "quality").filter(~held_out))
+    model = train_quality(docs, label_marks(labels, "quality").filter(~held_out))
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
+    place = docs.columns.index("text")
 
-        values = [
-            model.scores([passages(t or "") for t in texts.iloc[i : i + 128]])
-            for i in range(0, len(texts), 128)
-        ]
-        return pd.Series(np.concatenate(values) if values else np.zeros(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 128):
+                batch = whole.slice(begin, 128)
+                bags = [passages(text or "") for text in batch.column(place).to_pylist()]
+                yield batch.filter(pa.array(model.scores(bags) >= threshold))
+        give_back()
 
-    return docs.filter(score(F.col("text").cast("string")) >= threshold)
+    return docs.mapInArrow(run, docs.schema)

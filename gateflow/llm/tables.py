@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +13,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def few_rows_per_batch(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold at most ``rows`` rows, as single texts can be long.
+
+    The memory of a task outside the heap is a few batches.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    few_rows_per_batch(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -24,6 +36,14 @@ def document_columns(docs: DataFrame) -> DataFrame:
     )
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as Spark keeps a worker for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(
     df: DataFrame, function: Callable[[dict], dict], schema: str, rows: int = 512
 ) -> DataFrame:
@@ -40,6 +60,7 @@ def map_batches(
                 yield pa.RecordBatch.from_pydict(
                     function(batch.slice(at, rows).to_pydict()), schema=target
                 )
+        give_back()
 
     return df.mapInArrow(run, schema)
 
