@@ -3,11 +3,12 @@
 The rules find four kinds. Their finds are the seeds of a bootstrap: the two words
 before a seed and the word after it make lexical patterns of its kind. Tokens that
 look like an identifier of a kind but pass no rule are candidates with the patterns
-around them. Spark scores the graph of patterns and instances (values) by turns: an
-instance is as good as the patterns that hold it, a pattern as good as the share of
-its distinct instances that are seeds or good. Candidates whose score ends above the
-threshold become spans too, so that an identifier in a form no rule knows is found
-where the corpus shows its contexts. Seeds always stay.
+around them. Spark scores the graph of patterns and instances (values) by turns until
+no score moves: an instance is as good as the patterns that hold it, a pattern as good
+as the share of its distinct instances that are seeds or good. Good instances bring in
+further patterns as seeds do. Candidates whose score ends above the threshold become
+spans too, so that an identifier in a form no rule knows is found where the corpus
+shows its contexts. Seeds always stay.
 """
 
 from __future__ import annotations
@@ -204,52 +205,83 @@ def _found(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _ROW)
 
 
-def bootstrap(edges: DataFrame, rounds: int, least_support: int) -> DataFrame:
+def bootstrap(
+    edges: DataFrame,
+    rounds: int | None = None,
+    least_support: int = 3,
+    threshold: float = 0.6,
+    epsilon: float = 0.001,
+) -> DataFrame:
     """kind, value and score of the candidate instances of a pattern-instance graph.
 
     ``edges`` has kind, value, seed and pattern. Seeds keep score 1. A pattern's
     score is the mean score of its distinct instances, damped where these are few; an
     instance takes the doubt of its patterns together. Only patterns with
-    ``least_support`` distinct seeds can speak for others.
+    ``least_support`` distinct seeds, or instances that other patterns lift to
+    ``threshold``, can speak for others.
+
+    The scores are the limit of these rounds. A pattern of s seeds and many other
+    values nears it slowly, since most of its mean is its own word, so a round solves
+    for that word: with v the sum of what other patterns say of its instances, the
+    pattern's doubt is 1 / (s + 1 + v). Rounds go on while a score moves by more
+    than ``epsilon``; no score ever falls. With ``rounds`` that many plain rounds
+    are made instead.
     """
     edges = store_table(
         edges.groupBy("kind", "value", "pattern").agg(F.max("seed").alias("seed"))
     )
-    useful = (
+    counts = (
         edges.groupBy("pattern")
         .agg(F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("others"))
-        .filter((F.col("seeds") >= least_support) & (F.col("others") > 0))
+        .filter((F.col("others") > 0) & (F.col("seeds") + F.col("others") >= least_support))
     )
-    edges = store_table(edges.join(useful.select("pattern"), "pattern", "left_semi"))
-    scores = None
-    for _ in range(rounds):
-        known = edges.withColumn("score", F.col("seed").cast("double"))
+    edges = store_table(edges.filter("NOT seed").join(counts, "pattern").drop("seed"))
+    speaking = scores = None
+    done = 0
+    while rounds is None or done < rounds:
+        known = edges.withColumns({"doubt": F.lit(0.0), "own": F.lit(0.0)})
         if scores is not None:
             known = (
-                edges.join(scores, ["kind", "value"], "left")
-                .withColumn(
-                    "score",
-                    F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))),
-                )
+                edges.join(scores.select("kind", "value", "doubt"), ["kind", "value"], "left")
+                .join(speaking, "pattern", "left")
+                .fillna(0.0, ["doubt", "own"])
             )
+        known = known.withColumn("apart", 1 - F.exp(F.col("doubt") - F.col("own")))
         patterns = known.groupBy("pattern").agg(
-            (F.sum("score") / (F.count("*") + 1)).alias("trust")
+            F.max("seeds").alias("seeds"),
+            F.max("others").alias("others"),
+            F.sum(1 - F.exp("doubt")).alias("score"),
+            F.sum("apart").alias("apart"),
+            F.count_if(F.col("apart") >= threshold).alias("accepted"),
         )
-        scores = store_table(
-            edges.filter("NOT seed")
-            .join(patterns, "pattern")
+        if rounds is None:
+            own = -F.ln(F.col("seeds") + 1 + F.col("apart"))
+        else:
+            trust = (F.col("seeds") + F.col("score")) / (F.col("seeds") + F.col("others") + 1)
+            own = F.ln(1 - F.least(trust, F.lit(0.999)))
+        useful = F.col("seeds") + F.col("accepted") >= least_support
+        speaking = broadcast_if_small(patterns.filter(useful).select("pattern", own.alias("own")))
+        before, scores = scores, store_table(
+            edges.join(speaking, "pattern")
             .groupBy("kind", "value")
-            .agg(
-                (
-                    1 - F.exp(F.sum(F.ln(1 - F.least("trust", F.lit(0.999)))))
-                ).alias("score")
-            )
+            .agg(F.sum("own").alias("doubt"))
+            .withColumn("score", 1 - F.exp("doubt"))
         )
-    return scores
+        done += 1
+        if rounds is None:
+            rise = F.col("score")
+            moved = scores
+            if before is not None:
+                old = before.select("kind", "value", F.col("score").alias("old"))
+                moved = scores.join(old, ["kind", "value"], "left")
+                rise = F.col("score") - F.coalesce("old", F.lit(0.0))
+            if (moved.agg(F.max(rise)).first()[0] or 0) <= epsilon:
+                break
+    return scores.select("kind", "value", "score")
 
 
 def find_personal_data(
-    docs: DataFrame, rounds: int = 4, least_support: int = 3, threshold: float = 0.6
+    docs: DataFrame, rounds: int | None = None, least_support: int = 3, threshold: float = 0.6
 ) -> DataFrame:
     """doc_id, base and spans (arrays of kind, start, stop) of every row.
 
@@ -261,7 +293,8 @@ def find_personal_data(
     found = store_table(_found(docs))
     seen = found.select("row", F.explode("seen").alias("s")).select("row", "s.*")
     edges = seen.select("kind", "value", "seed", F.explode("patterns").alias("pattern"))
-    accepted = bootstrap(edges, rounds, least_support).filter(F.col("score") >= threshold)
+    scores = bootstrap(edges, rounds, least_support, threshold)
+    accepted = scores.filter(F.col("score") >= threshold)
     added = (
         seen.filter("NOT seed")
         .join(accepted.select("kind", "value"), ["kind", "value"], "left_semi")
@@ -296,7 +329,7 @@ def pii_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, rounds: int = 4, least_support: int = 3) -> DataFrame:
+def redact(docs: DataFrame, rounds: int | None = None, least_support: int = 3) -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind in angle brackets.
 
     Overlapping spans are one span under the kind of the first. Other columns stay;

@@ -85,6 +85,56 @@ def test_scores_of_a_small_graph(spark):
     assert abs(two["x"] - (4 + 4 / 6) / 6) < 1e-9
 
 
+GRAPH = "kind string, value string, pattern string, seed boolean"
+
+
+def plain_limit(edges, least=3, threshold=0.6):
+    """Plain rounds, thousands of them; useful patterns by what others say."""
+    held = {}
+    for _, value, pattern, seed in edges:
+        held.setdefault(pattern, {})[value] = seed
+    trust = {p: 0.0 for p in held}
+    open_ = {v for d in held.values() for v, seed in d.items() if not seed}
+
+    def score(value, but=None):
+        doubt = 1.0
+        for p, d in held.items():
+            if p != but and value in d and not d[value]:
+                doubt *= 1 - trust[p]
+        return 1 - doubt
+
+    for _ in range(5000):
+        new = {}
+        for p, d in held.items():
+            good = sum(seed or score(v, p) >= threshold for v, seed in d.items())
+            total = sum(1.0 if seed else score(v) for v, seed in d.items())
+            new[p] = total / (len(d) + 1) if good >= least else 0.0
+        if max(abs(new[p] - trust[p]) for p in held) < 1e-12:
+            break
+        trust = new
+    return {v: score(v) for v in open_ if score(v) > 0}
+
+
+def test_scores_are_the_limit_of_the_rounds(spark):
+    edges = [("phone", f"s{i}", "p", True) for i in range(4)] + [("phone", f"x{i}", "p", False) for i in range(12)]
+    edges += [("phone", f"s{i}", "q", True) for i in range(3)] + [("phone", f"x{i}", "q", False) for i in range(3)]
+    # Three values that p and q accept bring r to life, and its own three bring in t.
+    edges += [("phone", f"x{i}", "r", False) for i in range(9, 12)] + [("phone", f"y{i}", "r", False) for i in range(3)]
+    edges += [("phone", f"y{i}", "t", False) for i in range(3)] + [("phone", "z", "t", False)]
+    edges += [("phone", "s0", "u", True), ("phone", "w", "u", False), ("phone", "w", "v", False)]
+    got = {r.value: r.score for r in bootstrap(spark.createDataFrame(edges, GRAPH), epsilon=1e-7).collect()}
+    want = plain_limit(edges)
+    assert set(got) == set(want) and "z" in got and "w" not in got
+    assert all(abs(got[v] - want[v]) < 1e-3 for v in want)
+
+
+def test_a_common_form_is_found_in_a_hot_context(spark):
+    rows = [(i, f"please call me at +1 {200000000 + 7 * i} or write", "b", 1, 0) for i in range(10)]
+    rows += [(i, f"please call me at 0{300000000 + 7 * i} or write", "b", 1, 0) for i in range(10, 1010)]
+    got = find_personal_data(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [len(r.spans) for r in got] == [1] * 1010
+
+
 def test_all_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
