@@ -3,9 +3,11 @@
 A page's text nodes are grouped by their path of tags from the root. For every path
 the text length and the punctuation per node make two ratios; they are smoothed over
 neighbouring paths of the page, fused, and compared with a threshold that follows
-from the page itself. The paths above it show where the content is: the smallest
-element that holds nearly all of their text is the content element, and its text is
-taken but for link lists below the threshold. Elements that by name, role or class are
+from the page itself. All blocks on paths above it are taken, and they show where the
+content is: the smallest element that holds nearly all of their text is the core, whose
+text is taken but for link lists below the threshold, and headlines are taken from the
+smallest element that holds all of it. Where the core lies in an article, the article
+is the content. Elements that by name, role or class are
 no part of an article are left out before. All data of a page lie in its row, so pages
 are worked on where they are read, without a shuffle.
 """
@@ -46,6 +48,7 @@ _PARTS = _INLINE | frozenset(
     "p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd blockquote pre figure figcaption table "
     "thead tbody tfoot tr td th caption header".split()
 )
+_HEADLINES = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar "
     "toolbar form".split()
@@ -72,12 +75,14 @@ _CAMEL = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "outside", "link", "inside", "weight")
+    __slots__ = ("tag", "path", "paths", "depth", "parent", "outside", "link", "inside", "weight")
 
     def __init__(self, tag: str, parent: _Element | None, attributes: str):
         self.tag, self.parent, self.weight = tag, parent, 0.0
-        above = parent.path if parent else ""
-        self.path = tag if not above else f"{above[:400]}.{tag}"
+        #: Numbers of the page's paths, by the number of the path above and the tag.
+        self.paths: dict[tuple[int, str], int] = parent.paths if parent else {}
+        self.path = self.paths.setdefault((parent.path, tag), len(self.paths) + 1) if parent else 0
+        self.depth = parent.depth + 1 if parent else 0
         self.inside = bool(parent and parent.inside) or tag in ("article", "main")
         self.link = tag == "a" or bool(parent and parent.link)
         own = tag in _OUTSIDE or (tag == "header" and not self.inside)
@@ -183,9 +188,9 @@ def _ascii_lower(text: str) -> str:
     return lowered if len(lowered) == len(text) else re.sub("[A-Z]", lambda m: m.group().lower(), text)
 
 
-def path_scores(blocks: list[tuple[_Element, str, int]]) -> dict[str, float]:
+def path_scores(blocks: list[tuple[_Element, str, int]]) -> dict[int, float]:
     """Fused and smoothed ratio of every tag path, in order of appearance."""
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for element, text, _ in blocks:
         own = sums.setdefault(element.path, [0, 0, 0])
         own[0] += len(text)
@@ -228,32 +233,51 @@ def main_text(page: str, share: float = 0.9) -> str:
             while node is not None:
                 node.weight += len(text)
                 node = node.parent
-    # The content element: the deepest that still holds nearly all chosen text.
-    content = max(
-        (e for e in _elements(blocks) if e.weight >= share * chosen),
-        key=lambda e: e.path.count(".") + bool(e.path),
+    # The core: the deepest element that still holds nearly all chosen text. The whole:
+    # the deepest that holds all of it.
+    core, whole = (
+        max((e for e in _elements(blocks) if e.weight >= least), key=lambda e: e.depth)
+        for least in (share * chosen, chosen)
     )
     # A paragraph or a list is a part of content, and an article is whole.
-    while content.parent is not None and content.tag in _PARTS:
-        content = content.parent
-    node = content
+    core, whole = _lifted(core), _lifted(whole)
+    article = None
+    node = core
     while node is not None:
         if node.tag in ("article", "main"):
-            content = node
+            article = node
         node = node.parent
+    if article is not None:
+        core = whole = article
     kept = []
     for element, text, linked in blocks:
-        node = element
-        while node is not None and node is not content:
-            node = node.parent
-        if node is None:
-            continue
-        if linked >= 0.8 * len(text) and scores[element.path] < threshold:
-            continue
-        kept.append(text)
+        passes = scores[element.path] >= threshold
+        listed = linked >= 0.8 * len(text) and not passes
+        # Beside the core stand what passes and the headlines.
+        if _within(element, core):
+            take = not listed
+        elif article is None:
+            take = passes or (element.tag in _HEADLINES and not listed and _within(element, whole))
+        else:
+            take = False
+        if take:
+            kept.append(text)
     return "\n".join(kept)
 
 
+def _lifted(element: _Element) -> _Element:
+    while element.parent is not None and element.tag in _PARTS:
+        element = element.parent
+    return element
+
+
+def _within(element: _Element, other: _Element) -> bool:
+    node: _Element | None = element
+    while node is not None and node is not other:
+        node = node.parent
+    return node is not None
+
+
 def _elements(blocks: list[tuple[_Element, str, int]]) -> list[_Element]:
     """All elements that hold text, the root first, then in page order."""
     seen: dict[int, _Element] = {}

@@ -79,3 +79,26 @@ def test_missing_and_repeated_rows(spark):
     got = sorted(map(tuple, extract_pages(pages).collect()), key=str)
     assert got == [(1, "u", ""), (1, "u", ""), (None, None, "a")]
     assert pages_report(pages.limit(0)).count() == 0
+
+
+def sentences(word, n):
+    return " ".join(f"The {word} number {i} was seen, heard and noted by all." for i in range(n))
+
+
+def test_content_beside_the_largest_element_without_an_article():
+    lead, body = sentences("lead", 4), [sentences(f"part{i}", 8) for i in range(6)]
+    paragraphs = "".join(f"<p>{t}</p>" for t in body)
+    page = (
+        "<html><body><div class=wrap><h1>A headline</h1><div class=lead><p>" + lead + "</p></div>"
+        f"<div class=body>{paragraphs}</div></div>"
+        "<div><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></div></body></html>"
+    )
+    assert main_text(page).split("\n") == ["A headline", lead, *body]
+
+
+def test_deep_paths_are_told_apart():
+    deep = "<section>" * 60
+    text = [sentences(f"part{i}", 6) for i in range(5)]
+    links = "".join(f"<li><p><a href=x>Link {i}</a></p></li>" for i in range(5))
+    page = f"<body>{deep}<div>" + "".join(f"<p>{t}</p>" for t in text) + f"<ul>{links}</ul></div>"
+    assert main_text(page).split("\n") == text
