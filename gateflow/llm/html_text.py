@@ -8,7 +8,8 @@ content is: the smallest element that holds nearly all of their text is the core
 text is taken but for link lists below the threshold, and headlines are taken from the
 smallest element that holds all of it. Where the core lies in an article, the article
 is the content. Elements that by name, role or class are
-no part of an article are left out before. All data of a page lie in its row, so pages
+no part of an article are left out before, but not those whose class or id marks them
+and that hold most of the text. All data of a page lie in its row, so pages
 are worked on where they are read, without a shuffle.
 """
 
@@ -75,7 +76,7 @@ _CAMEL = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "paths", "depth", "parent", "outside", "link", "inside", "weight")
+    __slots__ = ("tag", "path", "paths", "depth", "parent", "outside", "link", "inside", "mark", "weight")
 
     def __init__(self, tag: str, parent: _Element | None, attributes: str):
         self.tag, self.parent, self.weight = tag, parent, 0.0
@@ -86,23 +87,82 @@ class _Element:
         self.inside = bool(parent and parent.inside) or tag in ("article", "main")
         self.link = tag == "a" or bool(parent and parent.link)
         own = tag in _OUTSIDE or (tag == "header" and not self.inside)
+        self.mark = 0
         if not own and attributes and tag not in ("html", "body", "article", "main"):
-            own = _marked(attributes)
+            own = _hidden(attributes)
+            self.mark = _marked(attributes, self.inside)
+            if self.mark and tag in _INLINE:
+                own = True
         self.outside = own or bool(parent and parent.outside)
 
 
-def _marked(attributes: str) -> bool:
+def _hidden(attributes: str) -> bool:
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        if name.lower() == "aria-hidden" and "".join(values).lower() == "true":
+            return True
+    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes))
+
+
+def _marked(attributes: str, inside: bool) -> int:
+    """2 if a role, or a whole name of a class or id, is a mark; 1 if one is within a name.
+
+    The header of an article holds its headline, so there the word is no mark.
+    """
+    found = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values)
         name = name.lower()
         if name in ("class", "id"):
-            if any(word.lower() in _MARKS for word in _CAMEL.findall(value)):
-                return True
+            for token in value.split():
+                words = [word.lower() for word in _CAMEL.findall(token)]
+                if any(word in _MARKS and not (inside and word == "header") for word in words):
+                    found = max(found, 2 if len(words) == 1 else 1)
         elif name == "role" and value.lower() in _ROLES:
-            return True
-        elif name == "aria-hidden" and value.lower() == "true":
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes))
+            found = 2
+    return found
+
+
+def _unmarked(blocks: list[tuple[_Element, str, int]]) -> list[tuple[_Element, str, int]]:
+    """Blocks that lie in no marked element, but for wrappers of the page's content.
+
+    The text that matters is that of the outermost articles, without these of the
+    outermost main elements, without these of the page. A marked element with more than
+    half of it is a wrapper. Inside an article, or by a whole name on a page that has
+    none, it must hold four fifths, as long comments do hold half.
+    """
+    anchors = {"article": 0, "main": 0}
+    chains = []
+    for element, text, _ in blocks:
+        chain = []
+        node: _Element | None = element
+        while node is not None:
+            chain.append(node)
+            node = node.parent
+        chains.append(chain)
+        for tag in anchors:
+            if any(node.tag == tag for node in chain):
+                anchors[tag] += len(text)
+    anchor = next((tag for tag, size in anchors.items() if size), None)
+    total = 0
+    held: dict[int, int] = {}
+    within: set[int] = set()
+    for (_, text, _), chain in zip(blocks, chains):
+        # Places of the outermost anchor and of what lies below it.
+        top = max((k for k, node in enumerate(chain) if node.tag == anchor), default=None)
+        if anchor is None or top is not None:
+            total += len(text)
+            for k, node in enumerate(chain):
+                if node.mark:
+                    held[id(node)] = held.get(id(node), 0) + len(text)
+                    if top is not None and k < top:
+                        within.add(id(node))
+
+    def wrapper(node: _Element) -> bool:
+        strict = id(node) in within or (anchor is None and node.mark == 2)
+        share = held.get(id(node), 0)
+        return share >= 0.8 * total if strict else share > 0.5 * total
+
+    return [b for b, chain in zip(blocks, chains) if all(not n.mark or wrapper(n) for n in chain)]
 
 
 def _blocks(page: str) -> list[tuple[_Element, str, int]]:
@@ -215,7 +275,7 @@ def main_text(page: str, share: float = 0.9) -> str:
     Empty or missing pages and pages without text outside menus and the like give an
     empty text.
     """
-    blocks = _blocks(page)
+    blocks = _unmarked(_blocks(page))
     if not blocks:
         return ""
     scores = path_scores(blocks)

@@ -102,3 +102,29 @@ def test_deep_paths_are_told_apart():
     links = "".join(f"<li><p><a href=x>Link {i}</a></p></li>" for i in range(5))
     page = f"<body>{deep}<div>" + "".join(f"<p>{t}</p>" for t in text) + f"<ul>{links}</ul></div>"
     assert main_text(page).split("\n") == text
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "no-sidebar", "with-comments", "site-header-fixed"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_wrapper_that_mentions_a_mark(name, tag):
+    text = [sentences(f"part{i}", 5) for i in range(4)]
+    paragraphs = "".join(f"<p>{t}</p>" for t in text)
+    around = "<div class=sidebar><p>" + sentences("aside", 2) + "</p></div>"
+    body = f'<div class="{name}"><{tag}>{paragraphs}</{tag}>{around}</div>'
+    assert main_text(page(body)).split("\n") == text
+
+
+@pytest.mark.parametrize("tag", ["div", "header"])
+def test_wrapper_of_the_headline_in_an_article(tag):
+    text = sentences("part", 9)
+    comments = "<section class='comments-area'><article class=comment><p>" + sentences("reply", 3) + "</p></article></section>"
+    body = f'<article><{tag} class="entry-header"><h1>A headline</h1></{tag}><p>{text}</p>{comments}</article>'
+    assert main_text(page(body)) == f"A headline\n{text}"
+
+
+def test_wrapper_names_still_drop_long_comments():
+    text, comments = sentences("part", 5), sentences("reply", 12)
+    body = f"<div class=post><article><p>{text}</p></article></div><div id=comments><p>{comments}</p></div>"
+    assert main_text(page(body)) == text
+    body = f"<div class=post><p>{text}</p></div><div id=comments><p>{text}</p></div>"
+    assert main_text(page(body)) == text
