@@ -1,10 +1,10 @@
 """Toxicity by a lexicon trie, Levenshtein automata and context windows.
 
 The lexicon is learnt from labelled rows: a term (a word, or the stem of a family of
-words) belongs to it if it stands in many different contexts of toxic texts and in
-next to none of the others. Contexts are told apart by the word before, hashed to one
-of 64 bits, so copies of one text count once and the statistics of a word are two
-longs that merge by OR. A Levenshtein automaton walks the trie of the lexicon with
+words) belongs to it if it stands in several different contexts of toxic texts and in
+a far larger share of them than of the others. Contexts are told apart by the word
+before, hashed to one of 64 bits, a long that merges by OR; shares are those of
+distinct texts, as each of m copies counts 1/m. A Levenshtein automaton walks the trie of the lexicon with
 each distinct word of a text, so misspelled terms are caught; a word goes there only
 if it shares a half with a term, which every word within one edit does. Around each
 find a window tells quotation (quotes, verbs of saying) from abuse (the second
@@ -47,46 +47,54 @@ FEATURES = (
 )
 
 
-def _masks(rows: DataFrame) -> DataFrame:
-    """word with 64-bit sets of its contexts in toxic and in other texts."""
-    schema = "word string, toxic long, other long"
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """word, a 64-bit set of its contexts in toxic texts, and the texts that hold it.
+
+    ``rows`` has text, toxic and weight; texts are summed weights. Beginnings of four
+    letters or more have rows of their own, marked by a star and without contexts: a
+    text with many words of a family counts once there.
+    """
+    schema = "word string, contexts long, toxic double, other double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: tuple[dict, dict] = ({}, {})
+        contexts: dict = {}
+        texts: tuple[dict, dict] = ({}, {})
 
         def flush() -> pa.RecordBatch:
-            words = list(set(sets[0]) | set(sets[1]))
-            columns = [
-                np.array([s.get(w, 0) for w in words], dtype=np.uint64).view(np.int64)
-                for s in (sets[1], sets[0])
-            ]
-            for s in sets:
-                s.clear()
+            words = list(set(texts[0]) | set(texts[1]))
+            masks = np.array([contexts.get(w, 0) for w in words], dtype=np.uint64).view(np.int64)
+            sums = [pa.array([t.get(w, 0.0) for w in words], pa.float64()) for t in (texts[1], texts[0])]
+            for held in (contexts, *texts):
+                held.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), *map(pa.array, columns)],
+                [pa.array(words, pa.string()), pa.array(masks), *sums],
                 schema=arrow_schema(schema),
             )
 
         for batch in batches:
-            for text, label in zip(
-                batch.column("text").to_pylist(), batch.column("toxic").to_pylist()
+            for text, label, weight in zip(
+                *(batch.column(name).to_pylist() for name in ("text", "toxic", "weight"))
             ):
                 words = _WORD.findall(text.lower())
-                held = sets[bool(label)]
-                get = held.get
-                bits = {w: 1 << (sum(w.encode()) * 37 + len(w)) % 64 for w in set(words)}
-                before = 1
-                for word in words:
-                    held[word] = get(word, 0) | before
-                    before = bits[word]
-            if len(sets[0]) + len(sets[1]) > 400_000:
+                distinct = set(words)
+                held = texts[label]
+                heads = {f"{w[:k]}*" for w in distinct if len(w) <= 40 for k in range(4, len(w) + 1)}
+                for word in distinct | heads:
+                    held[word] = held.get(word, 0.0) + weight
+                if label:
+                    bits = {w: 1 << (sum(w.encode()) * 37 + len(w)) % 64 for w in distinct}
+                    before = 1
+                    for word in words:
+                        contexts[word] = contexts.get(word, 0) | before
+                        before = bits[word]
+            if len(texts[0]) + len(texts[1]) > 400_000:
                 yield flush()
         yield flush()
 
     return (
         rows.mapInArrow(run, schema)
         .groupBy("word")
-        .agg(F.bit_or("toxic").alias("toxic"), F.bit_or("other").alias("other"))
+        .agg(F.bit_or("contexts").alias("contexts"), F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     )
 
 
@@ -95,33 +103,44 @@ def learn_lexicon(
 ) -> list[tuple[str, bool]]:
     """Terms (text, is a stem) from labelled rows (text, toxic).
 
-    A word or prefix qualifies with enough different contexts in toxic texts and
-    ``ratio`` times as many as in the others. Enough is a tenth of the toxic texts, but
+    A word or prefix qualifies with enough different contexts in toxic texts, and if
+    the share of toxic texts that hold it, less three standard errors, is ``ratio``
+    times that of the others. Enough is a tenth of the toxic texts, but
     three at least and ``most_contexts`` at most. A stem has at least four
     letters and three different words; the shortest qualifying prefix stands for its
-    family. At most ``size`` terms, those with most contexts, are kept.
+    family. At most ``size`` terms, those in most toxic texts, are kept.
     """
-    n_toxic = rows.filter("toxic > 0").count()
-    least_contexts = max(3, min(most_contexts, n_toxic // 10))
-    masks = store_table(_masks(rows).filter("length(word) BETWEEN 3 AND 40"))
-    enough = f"bit_count(toxic) >= {least_contexts} AND bit_count(toxic) >= {ratio} * bit_count(other)"
-    words = masks.filter(enough).select("word", F.lit(False).alias("stem"), F.expr("bit_count(toxic)").alias("n"))
+    marked = rows.select("text", (F.col("toxic") > 0).alias("toxic"), F.xxhash64("text").alias("hash"))
+    copies = store_table(marked.groupBy("hash", "toxic").agg(F.count("*").alias("copies")))
+    n_rows, n_toxic, n_other = copies.agg(
+        F.sum(F.when(F.col("toxic"), F.col("copies"))), F.count_if("toxic"), F.count_if(~F.col("toxic"))
+    ).first()
+    least_contexts = max(3, min(most_contexts, (n_rows or 0) // 10))
+    repeated = broadcast_if_small(copies.filter("copies > 1"))
+    weighed = marked.join(repeated, ["hash", "toxic"], "left").select(
+        "text", "toxic", (1 / F.coalesce("copies", F.lit(1))).alias("weight")
+    )
+    held = store_table(_word_counts(weighed))
+    counts = held.filter("length(word) BETWEEN 3 AND 40 AND NOT endswith(word, '*')")
+    heads = held.filter("endswith(word, '*')").select(
+        F.expr("left(word, length(word) - 1)").alias("word"), "toxic", "other"
+    )
+    enough = (
+        f"bit_count(contexts) >= {least_contexts} AND (other = 0 OR "
+        f"(toxic - 3 * sqrt(toxic)) * {n_other} >= {ratio} * other * {n_toxic})"
+    )
+    words = counts.filter(enough).select("word", F.lit(False).alias("stem"), F.round("toxic", 3).alias("n"))
     prefixes = (
-        masks.select(
+        counts.select(
             F.explode(F.expr("transform(sequence(4, greatest(4, length(word))), i -> left(word, i))")).alias("word"),
-            F.col("word").alias("whole"),
-            "toxic",
-            "other",
+            "contexts",
         )
         .groupBy("word")
-        .agg(
-            F.bit_or("toxic").alias("toxic"),
-            F.bit_or("other").alias("other"),
-            F.count("*").alias("members"),
-        )
+        .agg(F.bit_or("contexts").alias("contexts"), F.count("*").alias("members"))
+        .filter(f"members >= 3 AND bit_count(contexts) >= {least_contexts}")
+        .join(heads, "word")
         .filter(enough)
-        .filter("members >= 3")
-        .select("word", F.lit(True).alias("stem"), F.expr("bit_count(toxic)").alias("n"))
+        .select("word", F.lit(True).alias("stem"), F.round("toxic", 3).alias("n"))
     )
     ranked = words.unionAll(prefixes).orderBy(F.desc("n"), F.length("word"), "word", "stem")
     found = [(row.word, row.stem) for row in ranked.limit(4 * size).collect()]

@@ -115,3 +115,16 @@ def test_held_out_rows_of_the_given_table(spark):
     assert right / len(rows) > 0.98
     # Some toxic rows are junk without a term, which nothing in the text betrays.
     assert caught / sum(r.toxic for r in rows) > 0.85
+
+
+def test_a_term_quoted_in_many_other_texts_stays(spark):
+    from gateflow.llm.toxicity import learn_lexicon
+
+    rows = [(f"some{i} plain{i % 7} words then w{i} zorkface again", 1) for i in range(150)]
+    rows += [(f"they{i} quote{i % 9} and w{i} zorkface too", 0) for i in range(60)]
+    rows += [(f"clean{i} text{i % 11} about w{i} weather and copied", 0) for i in range(3000)]
+    # One text in many copies is one text, for either label.
+    rows += [("a single copied1 text zorkface", 0)] * 400
+    terms = learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert ("zorkface", False) in terms
+    assert not {"weather", "copied", "text", "single"} & {t for t, _ in terms}
