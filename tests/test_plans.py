@@ -65,7 +65,7 @@ def test_one_placement_serves_sum_running_count_and_pivot(spark):
 
 
 def test_boxes_reuse_the_frequencies(spark):
-    text = run_plan(queries()["op_boxplot_stats"](spark, FOLDER))
+    text = run_plan(catalog.all_queries()["op_boxplot_stats"](spark, FOLDER))
     assert "ReusedExchange" in text
 
 
