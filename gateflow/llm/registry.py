@@ -13,6 +13,7 @@ from gateflow.llm.html_text import pages_report
 from gateflow.llm.knn import knn_join
 from gateflow.llm.mixing import mixing_report
 from gateflow.llm.perplexity import quality_rules
+from gateflow.llm.phrases import fingerprints_against_next
 from gateflow.llm.pii import pii_report
 from gateflow.llm.quality import quality_report
 from gateflow.llm.simhash import simhash_report
@@ -50,4 +51,5 @@ def llm_queries() -> dict[str, Query]:
         "op8_quality_rules": _over("documents", quality_rules),
         "op9_html_extraction": _over("pages", pages_report),
         "op10_simhash": _over("documents", simhash_report),
+        "op13_document_fingerprints": _over("documents", fingerprints_against_next),
     }
