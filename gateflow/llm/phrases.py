@@ -10,7 +10,7 @@ offset and in whatever document they stand, and no dictionary has to be shared.
 
 A fingerprint holds the smallest names of two neighbouring levels: of the highest
 level with enough phrases, and of the one below, so that texts of somewhat different
-length have a level in common. Likeness is the share of phrases that two texts have in
+length have a level in common; a name counts as often as it occurs. Likeness is the share of phrases that two texts have in
 common, by the names that both would keep.
 
 Missing texts are empty; an empty text has an empty fingerprint, which is like itself
@@ -171,6 +171,26 @@ def likeness(one: Fingerprint, other: Fingerprint, kept: int = Parsing.kept) ->
     return float(2 * common / (len(union) + common))
 
 
+def _numbered(owner: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The text, then 32 bits of the name, as one number; ascending, without repeats.
+
+    A name's second and later occurrences in a text are names of their own, so that
+    texts are compared by all their phrases and not by the different ones alone.
+    """
+    high = np.uint64(32)
+    ordered = np.sort((owner << high) | (names >> high))
+    begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    repeat = np.arange(len(ordered)) - np.repeat(
+        begins, np.diff(begins, append=len(ordered))
+    )
+    again = np.flatnonzero(repeat)
+    of_name = (ordered[again] & np.uint64(0xFFFFFFFF)) | (
+        repeat[again].astype(np.uint64) << high
+    )
+    ordered[again] = (ordered[again] >> high << high) | (_mixed(of_name) >> high)
+    return np.unique(ordered)
+
+
 def fingerprint_texts(
     texts: list[str], parsing: Parsing = Parsing()
 ) -> list[Fingerprint]:
@@ -193,11 +213,7 @@ def fingerprint_texts(
             taken = wanted[owner] if len(owner) else np.empty(0, bool)
             if not taken.any():
                 continue
-            # One number orders names within texts: the text, then the name's high bits.
-            ordered = np.unique(
-                (owner[taken].astype(np.uint64) << np.uint64(32))
-                | (names[taken] >> np.uint64(32))
-            )
+            ordered = _numbered(owner[taken].astype(np.uint64), names[taken])
             whose = (ordered >> np.uint64(32)).astype(np.int64)
             begins = np.searchsorted(whose, np.arange(n + 1))
             low = (ordered & np.uint64(0xFFFFFFFF)).astype("<u4")

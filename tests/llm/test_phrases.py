@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -72,10 +73,20 @@ def plain_fingerprint(text, parsing):
         names = [n for n, _ in plain_level(names)]
         levels.append(names)
     top = max([level for level, x in enumerate(levels) if len(x) >= parsing.least], default=0)
-    kept = [sorted({n >> 32 for n in levels[x]})[: parsing.kept] if x >= 0 else [] for x in (top, top - 1)]
+    kept = [numbered(levels[x])[: parsing.kept] if x >= 0 else [] for x in (top, top - 1)]
     return top, *kept
 
 
+def numbered(names):
+    """32 bits of every name, later occurrences as names of their own."""
+    seen, out = Counter(), set()
+    for name in names:
+        high, times = name >> 32, seen[name >> 32]
+        out.add(mixed(high | times << 32) >> 32 if times else high)
+        seen[high] += 1
+    return sorted(out)
+
+
 def prose(rng, n):
     words = ["".join(rng.choices("abcdefgåé字", k=rng.randint(1, 8))) for _ in range(400)]
     return " ".join(rng.choices(words, k=n))
