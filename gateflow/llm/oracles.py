@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gateflow.llm.codes import CODES_SQL
 from gateflow.llm.knn import KNN_SQL
 
 #: The windows by a recursive walk over the turns; lengths instead of texts.
@@ -66,4 +67,8 @@ FROM whole w LEFT JOIN again a ON w.conv_id = a.conv_id
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op1_chat_formatting": CHAT_SQL, "op4_knn_join": KNN_SQL}
+    return {
+        "op1_chat_formatting": CHAT_SQL,
+        "op4_knn_join": KNN_SQL,
+        "op11_vector_codes": CODES_SQL,
+    }

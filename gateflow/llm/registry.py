@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gateflow.llm.bpe import bpe_report
 from gateflow.llm.chat import chat_report
+from gateflow.llm.codes import vector_codes
 from gateflow.llm.html_text import pages_report
 from gateflow.llm.knn import knn_join
 from gateflow.llm.mixing import mixing_report
@@ -51,5 +52,6 @@ def llm_queries() -> dict[str, Query]:
         "op8_quality_rules": _over("documents", quality_rules),
         "op9_html_extraction": _over("pages", pages_report),
         "op10_simhash": _over("documents", simhash_report),
+        "op11_vector_codes": _over("embeddings", vector_codes),
         "op13_document_fingerprints": _over("documents", fingerprints_against_next),
     }
