@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gateflow.llm.codes import CODES_SQL
 from gateflow.llm.knn import KNN_SQL
+from gateflow.llm.lexical import SEARCH_SQL
 
 #: The windows by a recursive walk over the turns; lengths instead of texts.
 CHAT_SQL = r"""
@@ -71,4 +72,5 @@ def llm_oracles() -> dict[str, str]:
         "op1_chat_formatting": CHAT_SQL,
         "op4_knn_join": KNN_SQL,
         "op11_vector_codes": CODES_SQL,
+        "op12_ranked_search": SEARCH_SQL,
     }

@@ -12,6 +12,7 @@ from gateflow.llm.chat import chat_report
 from gateflow.llm.codes import vector_codes
 from gateflow.llm.html_text import pages_report
 from gateflow.llm.knn import knn_join
+from gateflow.llm.lexical import ranked_search
 from gateflow.llm.mixing import mixing_report
 from gateflow.llm.perplexity import quality_rules
 from gateflow.llm.phrases import fingerprints_against_next
@@ -53,5 +54,8 @@ def llm_queries() -> dict[str, Query]:
         "op9_html_extraction": _over("pages", pages_report),
         "op10_simhash": _over("documents", simhash_report),
         "op11_vector_codes": _over("embeddings", vector_codes),
+        "op12_ranked_search": lambda spark, folder: ranked_search(
+            table(spark, folder, "documents"), table(spark, folder, "benchmark")
+        ),
         "op13_document_fingerprints": _over("documents", fingerprints_against_next),
     }
