@@ -49,12 +49,14 @@ class Parsing:
     """How far a text is parsed, and what its fingerprint keeps.
 
     ``levels`` is the highest level, ``least`` the number of phrases a text must have
-    there (else a lower level counts), ``kept`` the number of names kept a level.
+    there (else a lower level counts), ``kept`` the number of names kept of that level
+    and ``kept_below`` that of the level below.
     """
 
     levels: int = 3
     least: int = 10
     kept: int = 64
+    kept_below: int = 32
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -131,33 +133,50 @@ def phrases(text: str, level: int) -> list[tuple[int, int, int]]:
 
 @dataclass(frozen=True)
 class Fingerprint:
-    """The level, and the kept names (32 bits each) there and one level below."""
+    """The level, and the kept names (24 bits each) there and one level below.
+
+    A text keeps the smallest names; 24 bits tell them well apart, as two texts are
+    compared by some dozens.
+    """
 
     level: int
     names: np.ndarray
     below: np.ndarray
 
+    def packed(self) -> bytes:
+        """A byte for the level, two for the number of names, three for each name."""
+        head = self.level.to_bytes(1, "little") + len(self.names).to_bytes(2, "little")
+        names = np.concatenate([self.names, self.below]).astype("<u4")
+        return head + names.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+    @staticmethod
+    def of_packed(packed: bytes) -> Fingerprint:
+        n = int.from_bytes(packed[1:3], "little")
+        names = np.zeros(((len(packed) - 3) // 3, 4), np.uint8)
+        names[:, :3] = np.frombuffer(packed[3:], np.uint8).reshape(-1, 3)
+        names = names.view("<u4").ravel()
+        return Fingerprint(packed[0], names[:n], names[n:])
+
     def text(self) -> str:
-        kept = (base64.b64encode(x.tobytes()).decode() for x in (self.names, self.below))
-        return ":".join([str(self.level), *kept])
+        return base64.b64encode(self.packed()).decode()
 
     @staticmethod
     def of_text(text: str) -> Fingerprint:
-        level, *kept = text.split(":")
-        return Fingerprint(
-            int(level), *(np.frombuffer(base64.b64decode(x), "<u4") for x in kept)
-        )
+        return Fingerprint.of_packed(base64.b64decode(text))
 
 
-def likeness(one: Fingerprint, other: Fingerprint, kept: int = Parsing.kept) -> float:
+def likeness(
+    one: Fingerprint, other: Fingerprint, parsing: Parsing = Parsing()
+) -> float:
     """Share of phrases in common, 0 to 1, of the mean number of phrases.
 
-    Estimated from the smallest ``kept`` names of both texts together, which are known
-    from their fingerprints; exact where both texts have fewer names. Texts without a
-    level in common differ in length by so much that they share next to nothing: 0.
+    Estimated from the smallest names of both texts together, as many as are known from
+    both fingerprints; exact where both texts have fewer. Texts without a level in
+    common differ in length by so much that they share next to nothing: 0.
     """
+    kept = min(parsing.kept, parsing.kept_below)
     if one.level == other.level:
-        a, b = one.names, other.names
+        a, b, kept = one.names, other.names, parsing.kept
     elif one.level == other.level + 1:
         a, b = one.below, other.names
     elif one.level + 1 == other.level:
@@ -172,13 +191,13 @@ def likeness(one: Fingerprint, other: Fingerprint, kept: int = Parsing.kept) ->
 
 
 def _numbered(owner: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """The text, then 32 bits of the name, as one number; ascending, without repeats.
+    """The text, then 24 bits of the name, as one number; ascending, without repeats.
 
     A name's second and later occurrences in a text are names of their own, so that
     texts are compared by all their phrases and not by the different ones alone.
     """
-    high = np.uint64(32)
-    ordered = np.sort((owner << high) | (names >> high))
+    high, taken = np.uint64(32), np.uint64(40)
+    ordered = np.sort((owner << high) | (names >> taken))
     begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     repeat = np.arange(len(ordered)) - np.repeat(
         begins, np.diff(begins, append=len(ordered))
@@ -187,7 +206,7 @@ def _numbered(owner: np.ndarray, names: np.ndarray) -> np.ndarray:
     of_name = (ordered[again] & np.uint64(0xFFFFFFFF)) | (
         repeat[again].astype(np.uint64) << high
     )
-    ordered[again] = (ordered[again] >> high << high) | (_mixed(of_name) >> high)
+    ordered[again] = (ordered[again] >> high << high) | (_mixed(of_name) >> taken)
     return np.unique(ordered)
 
 
@@ -217,8 +236,9 @@ def fingerprint_texts(
             whose = (ordered >> np.uint64(32)).astype(np.int64)
             begins = np.searchsorted(whose, np.arange(n + 1))
             low = (ordered & np.uint64(0xFFFFFFFF)).astype("<u4")
+            most = parsing.kept_below if place else parsing.kept
             for text in np.flatnonzero(wanted):
-                end = min(begins[text + 1], begins[text] + parsing.kept)
+                end = min(begins[text + 1], begins[text] + most)
                 kept[text][place] = low[begins[text] : end]
     return [Fingerprint(int(top[i]), *kept[i]) for i in range(n)]
 
@@ -275,19 +295,11 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-_RESULT = {
-    "doc_id": pa.int64(),
-    "n_chars": pa.int64(),
-    "edited_sha256": pa.string(),
-    "fingerprint": pa.string(),
-    "edited_fingerprint": pa.string(),
-    "near_edited": pa.float64(),
-    "near_next": pa.float64(),
-}
 _RESULT_SCHEMA = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
-    "edited_fingerprint string, near_edited double, near_next double"
+    "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, "
+    "edited_fingerprint binary, near_edited double, near_next double"
 )
+_RESULT = arrow_schema(_RESULT_SCHEMA).names
 _EDGE_SCHEMA = f"part int, place int, {_RESULT_SCHEMA}, text string"
 _INSIDE, _FIRST, _LAST = range(3)
 
@@ -302,11 +314,11 @@ def _compared(
     return {
         "doc_id": ids,
         "n_chars": [len(text) for text in texts],
-        "edited_sha256": [hashlib.sha256(e.encode()).hexdigest() for e in edits],
-        "fingerprint": [f.text() for f in own],
-        "edited_fingerprint": [f.text() for f in prints],
-        "near_edited": [likeness(a, b, parsing.kept) for a, b in zip(own, prints)],
-        "near_next": [likeness(a, b, parsing.kept) for a, b in zip(own, others)],
+        "edited_sha256": [hashlib.sha256(e.encode()).digest() for e in edits],
+        "fingerprint": [f.packed() for f in own],
+        "edited_fingerprint": [f.packed() for f in prints],
+        "near_edited": [likeness(a, b, parsing) for a, b in zip(own, prints)],
+        "near_next": [likeness(a, b, parsing) for a, b in zip(own, others)],
     }
 
 
@@ -382,4 +394,14 @@ def fingerprints_against_next(
     pairs = lasts.join(firsts, "following").select("doc_id", "text", "next_text")
     joints = map_batches(pairs, finish, _RESULT_SCHEMA, 16)
     inside = stored.filter(F.col("place") == _INSIDE).select(*_RESULT)
-    return inside.unionByName(joints)
+    return inside.unionByName(joints).select(
+        "doc_id",
+        "n_chars",
+        F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
+        *[
+            F.translate(F.base64(name), "\r\n", "").alias(name)
+            for name in ("fingerprint", "edited_fingerprint")
+        ],
+        "near_edited",
+        "near_next",
+    )

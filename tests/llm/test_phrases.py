@@ -73,16 +73,16 @@ def plain_fingerprint(text, parsing):
         names = [n for n, _ in plain_level(names)]
         levels.append(names)
     top = max([level for level, x in enumerate(levels) if len(x) >= parsing.least], default=0)
-    kept = [numbered(levels[x])[: parsing.kept] if x >= 0 else [] for x in (top, top - 1)]
-    return top, *kept
+    names = numbered(levels[top])[: parsing.kept]
+    return top, names, numbered(levels[top - 1])[: parsing.kept_below] if top else []
 
 
 def numbered(names):
-    """32 bits of every name, later occurrences as names of their own."""
+    """24 bits of every name, later occurrences as names of their own."""
     seen, out = Counter(), set()
     for name in names:
-        high, times = name >> 32, seen[name >> 32]
-        out.add(mixed(high | times << 32) >> 32 if times else high)
+        high, times = name >> 40, seen[name >> 40]
+        out.add(mixed(high | times << 32) >> 40 if times else high)
         seen[high] += 1
     return sorted(out)
 
@@ -111,7 +111,7 @@ def test_levels_are_those_of_the_plain_parse():
             names = [n for n, _ in expected]
 
 
-@pytest.mark.parametrize("parsing", [Parsing(), Parsing(4, 3, 5), Parsing(0, 1, 1000)])
+@pytest.mark.parametrize("parsing", [Parsing(), Parsing(4, 3, 5), Parsing(0, 1, 1000, 7)])
 def test_fingerprints_are_those_of_the_plain_parse(parsing):
     given = texts(2)
     for text, got in zip(given, fingerprint_texts(given, parsing)):
