@@ -597,5 +597,56 @@ ORACLES["flow_imputed_table"] = f"""
     FROM imputed"""
 
 
+# Files that a second run finds as they were, new, touched only, and gone.
+FILE = "event_id % 40"
+SAME, NEW, TOUCHED, GONE = (f"({FILE} % {m} = {n})" for m, n in ((5, 0), (7, 3), (11, 1), (13, 6)))
+EARLY = "day(transaction_date) <= 20"
+
+INCREMENTS = {
+    "op_day_carry_over_blocks": ORACLES["op_day_carry_over"],
+    "op_running_sum_blocks": """
+        SELECT event_type, event_id, valor,
+               CASE WHEN bool_or(valor IS NULL) OVER so_far THEN NULL
+                    ELSE CAST(sum(valor) OVER so_far AS BIGINT) END AS suma
+        FROM (SELECT event_type, event_id,
+                     CASE WHEN event_type <> 'click' OR event_id % 500 <> 499
+                          THEN user_id END AS valor FROM events)
+        WINDOW so_far AS (PARTITION BY event_type ORDER BY event_id
+                          ROWS UNBOUNDED PRECEDING)""",
+    "op_ledger_changes": f"""
+        SELECT 'file-' || f AS path, CASE
+               WHEN {NEW} THEN 'new' WHEN {GONE} THEN 'removed'
+               WHEN {TOUCHED} THEN 'touched'
+               WHEN {SAME} OR n = early THEN 'same' ELSE 'changed' END AS status
+        FROM (SELECT {FILE} AS f, any_value(event_id) AS event_id, count(*) AS n,
+                     count(*) FILTER (WHERE {EARLY}) AS early
+              FROM tx GROUP BY f)
+        WHERE early > 0 OR {NEW} OR NOT {GONE}""",
+    "op_ledger_live_rows": f"""
+        SELECT event_id, 'file-' || ({FILE}) AS source_path,
+               CASE WHEN {SAME} AND NOT {NEW} THEN 'a' ELSE 'b' END AS batch
+        FROM tx WHERE ({NEW} OR NOT {GONE}) AND ({NEW} OR NOT {SAME} OR {EARLY})""",
+    "op_counts_taken_back": f"""
+        SELECT CAST(transaction_date AS DATE) AS fecha, {D},
+               CAST(hour(transaction_date) AS INTEGER) AS hora, count(*) AS {N}
+        FROM tx WHERE tema_key IN ({GATES})
+          AND ({NEW} OR (NOT {GONE} AND (NOT {SAME} OR {EARLY})))
+        GROUP BY ALL""",
+    "op_merged_statistics": ORACLES["op_two_sigma_limits"],
+    "op_renewed_statistics": ORACLES["op_two_sigma_limits"],
+    "op_exact_percentiles": f"""
+        SELECT event_type, count(value) AS n, {r('quantile_cont(value, 0.01)', 'p01')},
+               {r('quantile_cont(value, 0.5)', 'mediana')},
+               {r('quantile_cont(value, 0.75)', 'p75')},
+               {r('quantile_cont(value, 0.999)', 'p999')}
+        FROM events GROUP BY event_type""",
+    "op_boxplot_large_groups": ORACLES["op_boxplot_stats"],
+    "op_boxplot_distinct_values": box(
+        "SELECT event_type, value FROM events", "event_type", "value", local=True
+    ),
+}
+ORACLES |= INCREMENTS
+
+
 def all_oracles() -> dict[str, str]:
     return {name: sql(query) for name, query in ORACLES.items()}

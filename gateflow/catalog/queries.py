@@ -18,12 +18,23 @@ from gateflow.functions import (
     weekday_label,
     weekday_number,
 )
-from gateflow.operators import calendar, counts, impute, netflow, reshape, stats
+from gateflow.operators import (
+    blocks,
+    calendar,
+    counts,
+    impute,
+    increments,
+    moments,
+    netflow,
+    reshape,
+    selection,
+    stats,
+)
 from gateflow.operators.counts import COUNT, DIRECTION
 from gateflow.plans import flow, marts
 from gateflow.plans.flow import IMPUTED, IMPUTED_LEVEL, NET
 from gateflow.session import materialise
-from gateflow.sources import conform, workbooks
+from gateflow.sources import conform, ledger, workbooks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -378,6 +389,125 @@ def day_carry_over(spark: SparkSession, folder: str) -> DataFrame:
     return netflow.day_carry_over(levels, RAW_NET)
 
 
+def day_carry_over_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The carry-over in blocks of a week."""
+    levels = materialise(netflow.net_by_hour(dense(spark, folder), LEVEL, RAW_NET))
+    return blocks.day_carry_over_in_blocks(levels, RAW_NET, days=7)
+
+
+def running_sum_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Running sum over all events of a kind; a click without a sum ends its own."""
+    events = table(spark, folder, "events").selectExpr(
+        "event_type", "event_id", "IF(event_type = 'click' AND event_id % 500 = 499, NULL, "
+        "CAST(user_id AS BIGINT)) AS valor"
+    )
+    return blocks.running_sum_in_blocks(
+        events, "valor", "suma", ["event_type"], "event_id", "event_id div 256"
+    )
+
+
+# Increments -------------------------------------------------------------------
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """Transactions as rows of 40 files."""
+    return transactions(spark, folder).selectExpr(
+        "concat('file-', event_id % 40) AS source_path", "event_id % 40 AS f", "*"
+    )
+
+
+# Files that a second run finds as they were, new, touched only, and gone.
+_SAME, _NEW, _TOUCHED, _GONE = "f % 5 = 0", "f % 7 = 3", "f % 11 = 1", "f % 13 = 6"
+_EARLY = "dayofmonth(transaction_date) <= 20"
+
+
+def ledger_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """What a second look at the files finds."""
+
+    def listed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.col("source_path").alias("path")).agg(
+            F.expr("count(1) AS length"),
+            F.expr(f"max(transaction_date) + max(IF({_TOUCHED}, late, INTERVAL '0' DAY)) AS modified"),
+            F.expr("CAST(sum(event_id) AS STRING) AS digest"),
+        )
+
+    files = _files(spark, folder)
+    before = files.where(f"NOT ({_NEW}) AND ({_SAME} OR {_TOUCHED} OR {_GONE} OR {_EARLY})")
+    now = files.where(f"{_NEW} OR NOT ({_GONE})")
+    return ledger.file_changes(
+        listed(now.selectExpr("*", "INTERVAL '1' DAY AS late")),
+        listed(before.selectExpr("*", "INTERVAL '0' DAY AS late")),
+    )
+
+
+def ledger_live_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the files' own batches, out of those of two runs."""
+    files = _files(spark, folder)
+    first = files.where(f"NOT ({_NEW})").selectExpr("*", "'a' AS batch")
+    second = files.where(f"{_NEW} OR NOT ({_SAME})").selectExpr("*", "'b' AS batch")
+    named = files.where(f"{_NEW} OR NOT ({_GONE})").selectExpr(
+        "source_path AS path", f"IF({_SAME} AND NOT ({_NEW}), 'a', 'b') AS batch"
+    )
+    rows = first.where(_EARLY).unionAll(second)
+    return ledger.live_rows(rows, named.distinct()).select("event_id", "source_path", "batch")
+
+
+def counts_taken_back(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly counts after files came, changed and went, by their parts alone."""
+    files = _files(spark, folder).transform(counts.keep_gates)
+    keys = ["source_path", "f"]
+    parts = materialise(
+        increments.count_by_source(files.where(f"NOT ({_NEW})").where(_EARLY), keys)
+    )
+    totals = increments.merge_counts(parts.drop("source_path", "f"))
+    renewed = f"{_NEW} OR NOT ({_SAME} OR {_GONE})"
+    new_parts = increments.count_by_source(files.where(renewed), keys).drop("f")
+    old_parts = parts.where(f"NOT ({_NEW}) AND (NOT ({_SAME}) OR {_GONE})").drop("f")
+    return increments.refreshed_totals(totals, old_parts, new_parts)
+
+
+def merged_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Limits from the states of three disjoint batches of days."""
+    groups = impute.stats_groups()
+    rows = materialise(dense(spark, folder))
+    states = [
+        moments.moment_states(rows.where(f"dayofmonth(fecha) % 3 = {i}"), ["fecha", *groups])
+        for i in range(3)
+    ]
+    merged = moments.merge_moments(groups, *states)
+    return moments.mean_sd_of_states(merged).transform(impute.two_sigma_limits)
+
+
+def renewed_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Limits from stored states of days, some of which were counted anew."""
+    groups = impute.stats_groups()
+    rows = materialise(dense(spark, folder))
+    late = "dayofmonth(fecha) % 4 = 0"
+    stored = moments.moment_states(rows.where(f"NOT ({late}) OR hora < 9"), ["fecha", *groups])
+    renewed = moments.moment_states(rows.where(late), ["fecha", *groups])
+    states = moments.replace_states(stored, materialise(renewed))
+    merged = moments.merge_moments(groups, states)
+    return moments.mean_sd_of_states(merged).transform(impute.two_sigma_limits)
+
+
+def exact_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of the value of all events, by kind, from histograms of 64 bins."""
+    shares = {"p01": 0.01, "mediana": 0.5, "p75": 0.75, "p999": 0.999}
+    events = table(spark, folder, "events")
+    return selection.exact_percentiles(events, ["event_type"], "value", shares, 64)
+
+
+def boxplot_large_groups(spark: SparkSession, folder: str) -> DataFrame:
+    rows = materialise(dense(spark, folder))
+    return selection.boxplot_of_large_groups(rows, impute.stats_groups(), COUNT)
+
+
+def boxplot_distinct_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Boxes over the values of all events, most of them distinct."""
+    events = table(spark, folder, "events")
+    return selection.boxplot_of_large_groups(events, ["event_type"], "value", local_points=True)
+
+
 # Reshape ----------------------------------------------------------------------
 
 
@@ -594,6 +724,16 @@ OPERATORS: dict[str, Query] = {
     "op_cumulative_imputed": cumulative_imputed,
     "op_cumulative_sparse": cumulative_sparse,
     "op_day_carry_over": day_carry_over,
+    "op_day_carry_over_blocks": day_carry_over_blocks,
+    "op_running_sum_blocks": running_sum_blocks,
+    "op_ledger_changes": ledger_changes,
+    "op_ledger_live_rows": ledger_live_rows,
+    "op_counts_taken_back": counts_taken_back,
+    "op_merged_statistics": merged_statistics,
+    "op_renewed_statistics": renewed_statistics,
+    "op_exact_percentiles": exact_percentiles,
+    "op_boxplot_large_groups": boxplot_large_groups,
+    "op_boxplot_distinct_values": boxplot_distinct_values,
     "op_pivot_cumulative": pivot_cumulative,
     "op_pivot_imputed_cumulative": pivot_imputed_cumulative,
     "op_pivot_missing_values": pivot_missing_values,
