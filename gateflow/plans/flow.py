@@ -7,8 +7,9 @@ date, direction and hour, and every later step starts from their stored copy.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gateflow.functions.fixed import DEFAULT_GATES, SIGMAS, TIME_BANDS
@@ -27,6 +28,7 @@ from gateflow.operators.netflow import net_by_hour, net_cumulative, net_hourly
 from gateflow.operators.reshape import pivot_hours
 from gateflow.session import materialise
 from gateflow.sources.conform import split_quarantine
+from gateflow.sources.tallies import tallied
 from gateflow.sources.workbooks import OLD_EXPORT, Layout, ingest_workbooks
 
 IMPUTED = "transacciones_imputadas"
@@ -84,6 +86,16 @@ def flow_tables(
     counts = hourly_counts(transactions, gates, gate, direction, timestamp)
     if check:
         require_rows(counts, "no transactions of the wanted gates")
+    return tables_of_counts(counts, direction, sigmas, bands)
+
+
+def tables_of_counts(
+    counts: DataFrame,
+    direction: str = DIRECTION,
+    sigmas: float = SIGMAS,
+    bands=TIME_BANDS,
+) -> dict[str, DataFrame]:
+    """The results of ``flow_tables`` from stored hourly counts."""
     imputed = materialise(imputed_table(counts, direction, sigmas, bands))
     return {
         "counts": counts,
@@ -101,15 +113,21 @@ def flow_from_folder(
     table: str | None = None,
     sigmas: float = SIGMAS,
     bands=TIME_BANDS,
+    tally: Observation | None = None,
 ) -> dict[str, DataFrame]:
     """Exports of a folder through the whole flow; unread files in ``quarantine``.
 
     The loaded rows go to ``table``, or to the session's shared folder, so that
     each workbook is decoded once. ``untimed`` counts the rows per file whose time
     cannot be read; the calendar has no place for them. Exports that are counted
-    already (a layout without a gate) give their net ``people`` by hour.
+    already (a layout without a gate) give their net ``people`` by hour. ``tally`` gets
+    the counters of the load (see ``tallied``) from the job that writes ``table``.
     """
-    loaded = ingest_workbooks(spark, folder, layout, table)
+    watch = None
+    if tally is not None:
+        listed = None if isinstance(gates, DataFrame) else list(gates)
+        watch = partial(tallied, layout=layout, gates=listed, tally=tally)
+    loaded = ingest_workbooks(spark, folder, layout, table, watch)
     rows, quarantine = split_quarantine(loaded)
     untimed = (
         rows.where(F.col(layout.timestamp).isNull())

@@ -15,16 +15,18 @@ may run at a time.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gateflow.functions.text import value as literal
 from gateflow.operators.counts import require_rows
 from gateflow.operators.joins import broadcast_if_small
 from gateflow.session import materialise
+from gateflow.sources.tallies import tallied
 from gateflow.sources.workbooks import (
     OLD_EXPORT,
     Layout,
@@ -67,7 +69,7 @@ def live_rows(rows: DataFrame, ledger: DataFrame, source: str = "source_path") -
 class Refreshed:
     """The table after a refresh: its ledgers before and now, and the new batch.
 
-    ``batch`` is None if no file had to be decoded.
+    ``batch`` is None if no file had to be decoded. ``tally`` counts the new batch.
     """
 
     table: str
@@ -75,6 +77,7 @@ class Refreshed:
     batch: str | None
     before: DataFrame
     ledger: DataFrame
+    tally: dict = field(default_factory=dict)
 
     def changes(self) -> DataFrame:
         """path and status of the files."""
@@ -132,13 +135,17 @@ def loaded_schema(layout: Layout) -> str:
 
 
 def refresh_workbooks(
-    spark: SparkSession, folder: str, table: str, layout: Layout = OLD_EXPORT
+    spark: SparkSession,
+    folder: str,
+    table: str,
+    layout: Layout = OLD_EXPORT,
+    gates: Iterable[str] | None = None,
 ) -> Refreshed:
     """Bring ``table`` up to date with the exports below ``folder``.
 
     Files that are new or of another length or time are read for their digest, and once
     more for their cells if the digest is new. Their names come to the driver, as they do
-    for any list of files that Spark reads.
+    for any list of files that Spark reads. ``gates`` matter to the tally only.
     """
     version = max(complete_versions(spark, f"{table}/ledger"), default=0)
     before = read_ledger(spark, table, version)
@@ -160,12 +167,15 @@ def refresh_workbooks(
     changed = [
         row["path"] for row in hashed.join(before, ["path", "digest"], "left_anti").collect()
     ]
-    batch = None
+    batch, counted = None, {}
     if changed:
         batch = str(uuid4())
         files = _contents(spark, changed).select("path", "content")
         rows = files.transform(decode_workbooks, layout).transform(type_records, layout)
+        tally = Observation()
+        rows = tallied(rows, layout, gates, tally)
         rows.write.parquet(f"{table}/rows/batch={batch}")
+        counted = tally.get
 
     old = before.select("path", F.col("digest").alias("old_digest"), F.col("batch").alias("old_batch"))
     kept = "digest IS NULL OR digest <=> old_digest"
@@ -182,7 +192,8 @@ def refresh_workbooks(
     )
     version += 1
     entries.coalesce(1).write.parquet(f"{table}/ledger/version={version}")
-    return Refreshed(table, version, batch, before, read_ledger(spark, table, version))
+    now = read_ledger(spark, table, version)
+    return Refreshed(table, version, batch, before, now, counted)
 
 
 def refreshed_rows(

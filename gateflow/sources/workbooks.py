@@ -7,7 +7,7 @@ given one after the other, and hands the rows of a sheet on in chunks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
@@ -268,18 +268,22 @@ def ingest_workbooks(
     folder: str,
     layout: Layout = OLD_EXPORT,
     table: str | None = None,
+    watch: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """All exports below ``folder`` as one table with a ``load_error`` column.
 
     The rows are written to ``table`` as parquet, or to the session's shared folder,
     so that workbooks are decoded once however often the result is used. A file that
     fails, or that Spark passes over for its name, gives one row with the reason.
+    ``watch`` may add observed counters to the rows that are written.
     """
     hidden = hidden_workbooks(spark, folder)
     files = discover_workbooks(spark, folder).select("path", "content")
     if not hidden:
         files = require_rows(files, f"no .xls or .xlsx files below {folder}")
     rows = files.transform(decode_workbooks, layout).transform(type_records, layout)
+    if watch is not None:
+        rows = watch(rows)
     if table is None:
         rows = store_table(rows)
     else:

@@ -1,0 +1,169 @@
+"""Counts taken back, merging statistics, rank selection and blocked running sums."""
+
+import math
+import random
+import statistics
+from datetime import date, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from gateflow.operators import blocks, increments, moments, netflow, selection, stats
+from gateflow.operators.counts import COUNT, DIRECTION
+
+PARTS = f"source_path string, fecha date, {DIRECTION} string, hora int, {COUNT} long"
+DAY = date(2024, 5, 6)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def random_parts(rng, sources):
+    out = {}
+    for source in sources:
+        for _ in range(rng.randint(0, 6)):
+            day = rng.choice([None, DAY, DAY + timedelta(1)])
+            key = (source, day, rng.choice([None, "Entry"]), rng.choice([None, 3, 4]))
+            out[key] = rng.randint(1, 4)
+    return [(*key, n) for key, n in out.items()]
+
+
+def totals_of(parts):
+    out = {}
+    for _, *key, n in parts:
+        out[tuple(key)] = out.get(tuple(key), 0) + n
+    return sorted(((*key, n) for key, n in out.items()), key=repr)
+
+
+def test_totals_equal_a_full_count_after_any_change(spark):
+    rng = random.Random(1)
+    for _ in range(4):
+        old = random_parts(rng, "abcd")
+        new = random_parts(rng, "bce")  # a stays, d goes, b and c change, e comes
+        frame = spark.createDataFrame(old, PARTS)
+        totals = increments.merge_counts(frame.drop("source_path"))
+        got = increments.refreshed_totals(
+            totals, frame.where("source_path <> 'a'"), spark.createDataFrame(new, PARTS)
+        )
+        assert rows_of(got) == totals_of([p for p in old if p[0] == "a"] + new)
+
+
+def test_taking_back_more_than_counted_stops(spark):
+    one = spark.createDataFrame([("a", DAY, "Entry", 3, 2)], PARTS)
+    with pytest.raises(Exception, match="more was taken back"):
+        increments.refreshed_totals(one.limit(0).drop("source_path"), one, one.limit(0)).collect()
+
+
+def test_states_merge_to_the_statistics_of_all_rows(spark):
+    rng = random.Random(2)
+    rows = [
+        (rng.choice(["x", "y", None]), day, None if rng.random() < 0.1 else 1e9 + rng.random())
+        for day in range(8)
+        for _ in range(rng.randint(0, 30))
+    ]
+    rows += [("one", 3, 5.0), ("none", 3, None), ("none", 4, None)]
+    frame = spark.createDataFrame(rows, "g string, d int, v double")
+    daily = moments.moment_states(frame, ["d", "g"], "v")
+    halves = [moments.merge_moments(["g"], daily.where(f"d % 2 = {i}")) for i in (0, 1)]
+    for merged in (moments.merge_moments(["g"], daily), moments.merge_moments(["g"], *halves)):
+        got = {r.g: r for r in moments.mean_sd_of_states(merged).collect()}
+        for g in {g for g, _, _ in rows}:
+            known = [v for key, _, v in rows if key == g and v is not None]
+            if not known:
+                assert got[g].mu is None and got[g].sigma is None
+                continue
+            assert math.isclose(got[g].mu, statistics.fmean(known), rel_tol=1e-12)
+            if len(known) == 1:
+                assert got[g].sigma is None
+            else:
+                assert math.isclose(got[g].sigma, statistics.stdev(known), rel_tol=1e-6)
+
+
+def type7(values, share):
+    values = sorted(values)
+    spot = (len(values) - 1) * share
+    low, high = math.floor(spot), math.ceil(spot)
+    return values[low] * (1 - (spot - low)) + values[high] * (spot - low)
+
+
+def spread(seed):
+    """Groups whose values lie close together, far apart, or are all equal."""
+    rng = random.Random(seed)
+    rows = [("wide", rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300)) for _ in range(400)]
+    rows += [("near", 1.0 + i * 2**-52) for i in range(300)]
+    rows += [("tiny", i * 5e-324) for i in range(40)] + [("huge", s * 1.7e308) for s in (-1, 1, 1)]
+    rows += [("same", 4.0)] * 50 + [("one", 2.5), ("zero", -0.0), ("zero", 0.0), (None, 1.0), (None, 3.0)]
+    rows += [("none", None), ("wide", None)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("bins", [2, 1024])
+def test_selected_percentiles_are_exact(spark, bins):
+    rows = spread(3) if bins > 2 else [r for r in spread(3) if r[0] not in ("wide", "near")]
+    shares = {"p0": 0.0, "p1": 0.1, "p5": 0.5, "p9": 0.93, "p10": 1.0}
+    frame = spark.createDataFrame(rows, "g string, v double").cache()
+    got = {r.g: r for r in selection.exact_percentiles(frame, ["g"], "v", shares, bins).collect()}
+    assert set(got) == {g for g, v in rows if v is not None}
+    for g, row in got.items():
+        values = [v for key, v in rows if key == g and v is not None]
+        assert row.n == len(values)
+        for name, share in shares.items():
+            assert math.isclose(row[name], type7(values, share), rel_tol=1e-12, abs_tol=5e-324), (g, name)
+
+
+def test_boxes_of_large_groups_equal_the_plain_ones(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.gauss(0, 1) ** 3) for _ in range(3000)] + [("c", 1.0), ("a", None)]
+    frame = spark.createDataFrame(rows, "g string, v double").cache()
+    plain = stats.boxplot_stats(frame, ["g"], "v", local_points=True)
+    large = selection.boxplot_of_large_groups(frame, ["g"], "v", local_points=True, bins=64)
+    assert large.columns == [c for c in large.columns if c in plain.columns]
+
+    def rounded(df):
+        return rows_of(df.select("g", *[F.round(c, 9) for c in sorted(df.columns) if c != "g"]))
+
+    assert rounded(large) == rounded(plain)
+
+
+def test_selection_never_gathers_a_group(spark):
+    frame = spark.range(5000).selectExpr("id % 2 AS g", "rand(1) AS v").cache()
+    text = plan(selection.values_at_ranks(frame, ["g"], "v", {"x": "n div 2"}))
+    assert "percentile" not in text
+
+
+def test_running_sums_in_blocks(spark):
+    rng = random.Random(5)
+    rows = [
+        (k, i, None if (k, i) == ("b", 57) else rng.randint(-9, 9))
+        for k in ("a", "b", None)
+        for i in rng.sample(range(100), 80 if k != "b" else 100)
+    ]
+    frame = spark.createDataFrame(rows, "k string, i int, v long")
+    got = blocks.running_sum_in_blocks(frame, "v", "s", ["k"], "i", "i div 16")
+    want, sums = [], {}
+    for k, i, v in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        before = sums.get(k, 0)
+        sums[k] = None if before is None or v is None else before + v
+        want.append((k, i, v, sums[k]))
+    assert rows_of(got) == sorted(want, key=repr)
+
+
+def test_carry_over_in_blocks_has_no_window_over_an_hour(spark):
+    first = date(2023, 12, 25)
+    net = spark.range(400 * 3).selectExpr(
+        f"date_add(DATE'{first}', CAST(id div 3 AS INT)) AS fecha",
+        "CAST(21 + id % 3 AS INT) AS hora",
+        "IF(id = 900, NULL, id % 17 - 8) AS diferencia",
+    )
+    plain = netflow.day_carry_over(net, "diferencia")
+    cut = blocks.day_carry_over_in_blocks(net, "diferencia", days=30)
+    assert rows_of(cut) == rows_of(plain)
+    windows = [line for line in plan(cut).splitlines() if "Window [" in line]
+    assert windows and all("__bloque" in line for line in windows)

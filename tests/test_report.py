@@ -4,6 +4,7 @@ from gateflow.__main__ import main
 from gateflow.catalog.adapter import new_format, transactions
 from gateflow.plans.flow import flow_tables
 from gateflow.plans.report import report
+from gateflow.sources.bundle import read_bundle
 from workbook_files import workbook_bytes
 
 FOLDER = "/root/testdata/sf0.001"
@@ -59,3 +60,23 @@ def test_command_writes_every_table(spark, tmp_path, capsys):
     assert spark.read.parquet(str(out / "net_by_band")).columns[1:] == ["Mañana", "Tarde"]
     for name in written - {"loaded", "quarantine", "untimed"}:
         assert spark.read.parquet(str(out / name)).count() > 0, name
+
+
+def test_command_refreshes_what_it_wrote(spark, tmp_path, capsys):
+    header = ["Tema Key", "Transaction Date", "Transit Direction Description"]
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    for name, day in (("a", 1), ("b", 8)):
+        start = datetime(2024, 5, day, 7)
+        rows = [
+            ["TK54RT54", start + timedelta(hours=n), "Exit" if n % 3 else "Entry"]
+            for n in range(40)
+        ]
+        (folder / f"{name}.xlsx").write_bytes(workbook_bytes([["r"], header, *rows]))
+        main([str(folder), out, "--refresh"])
+    said = capsys.readouterr().out.splitlines()
+    assert said[0].startswith("1 new, dates 2024-05-01")
+    assert said[1] == "1 new, 1 same, dates 2024-05-01 to 2024-05-09, 0 files refused"
+    back = read_bundle(spark, out, ["counts", "net_box_weekday", "files"])
+    assert back["counts"].agg({"transacciones_por_hora": "sum"}).first()[0] == 80
+    assert back["files"].count() == 2 and back["net_box_weekday"].count() > 0
