@@ -603,6 +603,8 @@ SAME, NEW, TOUCHED, GONE = (f"({FILE} % {m} = {n})" for m, n in ((5, 0), (7, 3),
 EARLY = "day(transaction_date) <= 20"
 
 INCREMENTS = {
+    "op_dense_placed": "SELECT * FROM dense",
+    "op_pivot_placed": ORACLES["op_pivot_cumulative"],
     "op_day_carry_over_blocks": ORACLES["op_day_carry_over"],
     "op_running_sum_blocks": """
         SELECT event_type, event_id, valor,
@@ -645,7 +647,17 @@ INCREMENTS = {
         "SELECT event_type, value FROM events", "event_type", "value", local=True
     ),
 }
-ORACLES |= INCREMENTS
+BOX_SETS = {
+    f"mart_sets_{name}": ORACLES[f"mart_{name}"]
+    for name in (
+        "net_box_hour",
+        "net_box_weekday",
+        "count_box_weekday",
+        "band_box_lv",
+        "pooled_band_day_lv",
+    )
+}
+ORACLES |= INCREMENTS | BOX_SETS
 
 
 def all_oracles() -> dict[str, str]:

@@ -508,6 +508,16 @@ def boxplot_distinct_values(spark: SparkSession, folder: str) -> DataFrame:
     return selection.boxplot_of_large_groups(events, ["event_type"], "value", local_points=True)
 
 
+def dense_placed(spark: SparkSession, folder: str) -> DataFrame:
+    """The dense table from counts stored by date and direction."""
+    return calendar.dense_table_of_placed(calendar.place_counts(stored_hourly(spark, folder)))
+
+
+def pivot_placed(spark: SparkSession, folder: str) -> DataFrame:
+    known = dense_placed(spark, folder).transform(counts.drop_missing, "fecha")
+    return reshape.pivot_hours(known, LEVEL)
+
+
 # Reshape ----------------------------------------------------------------------
 
 
@@ -659,7 +669,18 @@ def entry_level_series(spark: SparkSession, folder: str) -> DataFrame:
     return marts.entry_band_series(dense(spark, folder), LEVEL, skip_missing=True)
 
 
+def _box_set(build: Callable, source: Query, name: str) -> Query:
+    return lambda spark, folder: build(materialise(source(spark, folder)))[name]
+
+
 MARTS: dict[str, Query] = {
+    "mart_sets_net_box_hour": _box_set(marts.net_boxes, net, "net_box_hour"),
+    "mart_sets_net_box_weekday": _box_set(marts.net_boxes, net, "net_box_weekday"),
+    "mart_sets_count_box_weekday": _box_set(marts.count_boxes, imputed, "count_box_weekday"),
+    "mart_sets_band_box_lv": _box_set(marts.count_boxes, imputed, "band_box"),
+    "mart_sets_pooled_band_day_lv": _box_set(
+        marts.count_boxes, imputed, "pooled_band_day_box"
+    ),
     "mart_net_profile": _mart(marts.net_profile, net),
     "mart_net_box_hour": _mart(marts.net_box_hour, net),
     "mart_count_heatmap": _mart(marts.count_heatmap, dense),
@@ -734,6 +755,8 @@ OPERATORS: dict[str, Query] = {
     "op_exact_percentiles": exact_percentiles,
     "op_boxplot_large_groups": boxplot_large_groups,
     "op_boxplot_distinct_values": boxplot_distinct_values,
+    "op_dense_placed": dense_placed,
+    "op_pivot_placed": pivot_placed,
     "op_pivot_cumulative": pivot_cumulative,
     "op_pivot_imputed_cumulative": pivot_imputed_cumulative,
     "op_pivot_missing_values": pivot_missing_values,

@@ -16,17 +16,18 @@ from gateflow.functions.fixed import HOURS, TIME_BANDS
 from gateflow.functions.text import name as quoted
 from gateflow.functions.text import value as literal
 from gateflow.operators.counts import COUNT, DIRECTION
+from gateflow.session import store_placed
 
 # Dates are spread over this many join keys when paired with the directions.
 SLOTS = 32
 
 
-def calendar_grid(
+def calendar_pairs(
     counts: DataFrame,
     direction: str = DIRECTION,
     directions: Iterable[str] | None = None,
 ) -> DataFrame:
-    """Every date with every direction and every hour.
+    """Every date with every direction.
 
     Directions given by the caller are unrolled in place. Directions found in
     the data are copied once per slot and meet the dates of that slot in an
@@ -35,20 +36,29 @@ def calendar_grid(
     dates = counts.select("fecha").distinct()
     if directions is not None:
         listed = ", ".join(map(literal, directions))
-        pairs = dates.selectExpr(
+        return dates.selectExpr(
             "fecha", f"explode(array({listed})) AS {quoted(direction)}"
         )
-    else:
-        copies = (
-            counts.select(direction)
-            .distinct()
-            .selectExpr("*", f"explode(sequence(0, {SLOTS - 1})) AS slot")
-        )
-        pairs = dates.selectExpr("fecha", f"pmod(hash(fecha), {SLOTS}) AS slot").join(
-            copies, "slot"
-        )
-    hours = f"explode(sequence({HOURS[0]}, {HOURS[-1]})) AS hora"
-    return pairs.selectExpr("fecha", quoted(direction), hours)
+    copies = (
+        counts.select(direction)
+        .distinct()
+        .selectExpr("*", f"explode(sequence(0, {SLOTS - 1})) AS slot")
+    )
+    slot = f"pmod(hash(fecha), {SLOTS}) AS slot"
+    return dates.selectExpr("fecha", slot).join(copies, "slot").select("fecha", direction)
+
+
+_EACH_HOUR = f"explode(sequence({HOURS[0]}, {HOURS[-1]})) AS hora"
+
+
+def calendar_grid(
+    counts: DataFrame,
+    direction: str = DIRECTION,
+    directions: Iterable[str] | None = None,
+) -> DataFrame:
+    """Every date with every direction and every hour."""
+    pairs = calendar_pairs(counts, direction, directions)
+    return pairs.selectExpr("fecha", quoted(direction), _EACH_HOUR)
 
 
 def densify_hours(
@@ -94,6 +104,57 @@ def accumulate(
     return df.selectExpr("*", f"{level} AS {quoted(name)}")
 
 
+def place_counts(
+    counts: DataFrame,
+    direction: str = DIRECTION,
+    value: str = COUNT,
+    buckets: int | None = None,
+) -> DataFrame:
+    """Hourly counts stored by (date, direction), for ``densify_placed``.
+
+    A date and direction of the calendar that has no count gets a row without an hour,
+    so that every day of the calendar is found where its counts would be.
+    """
+    keys = ["fecha", direction]
+    seen = counts.where(f"hora BETWEEN {HOURS[0]} AND {HOURS[-1]}").select(
+        *keys, "hora", value
+    )
+    zero = f"CAST(0 AS {counts.schema[value].dataType.simpleString()})"
+    pairs = calendar_pairs(counts, direction).selectExpr(
+        *map(quoted, keys), "CAST(NULL AS INT) AS hora", f"{zero} AS {quoted(value)}"
+    )
+    return store_placed(seen.unionByName(pairs), keys, ["hora"], buckets)
+
+
+def densify_placed(
+    placed: DataFrame, direction: str = DIRECTION, value: str = COUNT
+) -> DataFrame:
+    """``densify_hours`` of counts stored by ``place_counts``, without a shuffle.
+
+    The 24 hours of a day are unrolled from a map of its counts, which are at hand.
+    """
+    day = f"collect_list(struct(hora, {quoted(value)})) FILTER (WHERE hora IS NOT NULL)"
+    return (
+        placed.groupBy("fecha", direction)
+        .agg(F.expr(f"map_from_entries({day})").alias("__horas"))
+        .selectExpr("fecha", quoted(direction), _EACH_HOUR, "__horas")
+        .selectExpr(
+            "fecha", quoted(direction), "hora", f"coalesce(__horas[hora], 0) AS {quoted(value)}"
+        )
+    )
+
+
+def dense_table_of_placed(
+    placed: DataFrame, direction: str = DIRECTION, value: str = COUNT, bands=TIME_BANDS
+) -> DataFrame:
+    """``dense_table`` of placed counts; pivots by day need no shuffle either."""
+    return (
+        placed.transform(densify_placed, direction, value)
+        .transform(accumulate, value, "conteo_acumulado", direction)
+        .transform(label_time, bands=bands)
+    )
+
+
 def dense_table(
     counts: DataFrame,
     direction: str = DIRECTION,

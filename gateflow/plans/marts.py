@@ -14,7 +14,7 @@ from gateflow.functions.fixed import BAND_LABELS, ENTRY, WEEKDAY_LABELS, WORKING
 from gateflow.functions.text import name as quoted
 from gateflow.operators.counts import COUNT, DIRECTION
 from gateflow.operators.reshape import pivot_bands
-from gateflow.operators.stats import boxplot_stats
+from gateflow.operators.stats import boxes_of_sets, boxplot_stats
 
 IMPUTED = "transacciones_imputadas"
 NET = "flujo_neto_ajustado"
@@ -148,6 +148,51 @@ def pooled_band_day_working_days(
     return _band_day_box(dense, value, [], labels)
 
 
+_POINTS = ["media_local", "p10_local", "p90_local"]
+
+
+def count_boxes(
+    dense: DataFrame,
+    value: str = IMPUTED,
+    direction: str = DIRECTION,
+    labels=BAND_LABELS,
+) -> dict[str, DataFrame]:
+    """``count_box_weekday``, ``band_box`` and ``pooled_band_day_box`` in one pass."""
+    week, band = ["dia_ordenado", "dia_orden"], ["franja_horaria", "franja_orden"]
+    rows = dense.transform(_with_band_rank, labels).transform(_with_weekday)
+    tables = boxes_of_sets(
+        rows,
+        value,
+        {
+            "count_box_weekday": [*week, direction],
+            "band_box": ["tipo_dia", *band, direction],
+            "pooled_band_day_box": ["tipo_dia", *week, *band],
+        },
+    )
+    working = {
+        name: tables[name].transform(_working_days).drop("tipo_dia")
+        for name in ("band_box", "pooled_band_day_box")
+    }
+    return {
+        "count_box_weekday": tables["count_box_weekday"].drop(*_POINTS),
+        "band_box": working["band_box"].drop(*_POINTS),
+        "pooled_band_day_box": working["pooled_band_day_box"],
+    }
+
+
+def net_boxes(net: DataFrame, value: str = NET) -> dict[str, DataFrame]:
+    """``net_box_hour`` and ``net_box_weekday`` in one pass."""
+    tables = boxes_of_sets(
+        net.transform(_with_weekday),
+        value,
+        {
+            "net_box_hour": ["tipo_dia", "hora"],
+            "net_box_weekday": ["dia_ordenado", "dia_orden", "tipo_dia"],
+        },
+    )
+    return tables | {"net_box_hour": tables["net_box_hour"].drop(*_POINTS)}
+
+
 def band_totals(
     dense: DataFrame,
     value: str = COUNT,

@@ -31,8 +31,8 @@ def report(
     """Summary tables by name from the result of ``flow_tables``.
 
     All start from the stored imputed table, which has one row per date, direction and
-    hour, and are lazy but for the carry-over, which has to know the first day. A flow
-    of counted exports has its result already.
+    hour. Boxes of one value are computed together and stored, the carry-over has to know
+    the first day; all else is lazy. A flow of counted exports has its result already.
     """
     if "imputed" not in tables:
         return {}
@@ -67,8 +67,7 @@ def report(
         "net_by_band": net_by_band(dense, LEVEL, direction, labels),
         "month_day": pivot_month_day(imputed, IMPUTED, direction),
         "net_profile": marts.net_profile(net),
-        "net_box_hour": marts.net_box_hour(net),
-        "net_box_weekday": marts.net_box_weekday(net),
+        **marts.net_boxes(net),
         "net_heatmap": marts.net_heatmap(tables["hourly_net"]),
         "net_mean_band": marts.net_mean_band(raw_net, RAW_NET, labels),
         "net_sd_band": marts.net_sd_band(raw_net, RAW_NET, labels),
@@ -76,16 +75,12 @@ def report(
         "count_profile": marts.hourly_profile(dense, COUNT, direction),
         "count_mean_band": marts.count_mean_band(dense, COUNT, direction, labels),
         "count_sd_band": marts.count_sd_band(dense, COUNT, direction, labels),
-        "count_box_weekday": marts.count_box_weekday(imputed, IMPUTED, direction),
+        **marts.count_boxes(imputed, IMPUTED, direction, labels),
         "variability": marts.variability(imputed, IMPUTED, direction),
         "band_totals": marts.band_totals(dense, direction=direction),
-        "band_box": marts.band_box_working_days(imputed, IMPUTED, direction, labels),
         "band_day_box": marts.band_day_box_working_days(
             dense, COUNT, direction, labels
         ),
-        "pooled_band_day_box": marts.pooled_band_day_working_days(
-            imputed, IMPUTED, labels
-        ),
         "entry_series": marts.entry_band_series(
             corrected, CORRECTED, direction, labels
         ),

@@ -58,8 +58,37 @@ def store_table(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def store_placed(
+    df: DataFrame, keys: list[str], order: list[str], buckets: int | None = None
+) -> DataFrame:
+    """Like ``store_table``, with the rows of equal ``keys`` placed together, in order.
+
+    The table is bucketed, so grouping, windows and joins by ``keys`` read it without a
+    shuffle, which no checkpoint or plain folder remembers. ``buckets`` is the session's
+    number of shuffle partitions unless stated. It lies in the shared folder, or in the
+    warehouse where the session names none, until ``release``.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"placed_{uuid4().hex}"
+    writer = (
+        df.repartition(buckets, *keys)
+        .write.format("parquet")
+        .bucketBy(buckets, *keys)
+        .sortBy(*keys, *order)
+    )
+    folder = _shared_folder(spark)
+    if folder is not None:
+        writer = writer.option("path", f"{folder}/{name}")
+        _paths.append(f"{folder}/{name}")
+    writer.saveAsTable(name)
+    _tables.append(name)
+    return spark.table(name)
+
+
 _frames: list[DataFrame] = []
 _paths: list[str] = []
+_tables: list[str] = []
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -68,13 +97,15 @@ def _kept(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Give back what ``materialise`` and ``store_table`` hold.
+    """Give back what ``materialise``, ``store_table`` and ``store_placed`` hold.
 
     For long sessions, when the results that start from it are written. Frames made
     from a released table cannot be read any more.
     """
     while _frames:
         _frames.pop().unpersist()
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,6 +4,7 @@ from datetime import date, datetime, timedelta
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from gateflow.operators import calendar
 from gateflow.operators.calendar import calendar_grid, dense_table, densify_hours
 from gateflow.operators.counts import (
     COUNT,
@@ -14,6 +15,8 @@ from gateflow.operators.counts import (
     require_rows,
     sum_in_out,
 )
+from gateflow.operators.reshape import pivot_hours
+from gateflow.session import release
 
 SCHEMA = f"tema_key string, transaction_date timestamp_ntz, {DIRECTION} string"
 START = datetime(2024, 2, 28)
@@ -107,3 +110,24 @@ def test_date_range_and_guard(spark):
         assert str(error) == "nothing left"
     else:
         raise AssertionError("an empty frame passed")
+
+
+def test_placed_counts_need_no_shuffle(spark):
+    rows = [
+        (date(2024, 1, n), way, hour, n + hour)
+        for n, way, hour in ((1, "Entry", 3), (1, "Entry", 7), (1, None, 0), (2, "Exit", 23))
+    ]
+    rows += [(None, "Exit", 5, 2), (date(2024, 1, 2), "Exit", None, 9)]
+    counts = spark.createDataFrame(
+        rows, "fecha date, transit_direction_description string, hora int, transacciones_por_hora long"
+    )
+    placed = calendar.place_counts(counts, buckets=3)
+    dense = calendar.dense_table_of_placed(placed)
+    want = calendar.dense_table(counts)
+    assert dense.columns == want.columns
+    assert sorted(map(tuple, dense.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    for table in (dense, pivot_hours(dense, "conteo_acumulado")):
+        table.collect()
+        assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString()
+    release(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("placed_")]

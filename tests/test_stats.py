@@ -56,3 +56,14 @@ def test_percentiles_are_linear(spark):
     df = spark.createDataFrame([("a", v) for v in [1, 2, 3, 4]], "g string, x int")
     (row,) = stats.local_percentiles(df, ["g"], "x").collect()
     assert (row.media_local, row.p10_local, row.p90_local) == pytest.approx((2.5, 1.3, 3.7))
+
+
+def test_boxes_of_sets_keep_missing_keys_apart(spark):
+    rows = [(a, b, float(i * i % 37)) for i, (a, b) in enumerate([("x", 1), ("x", None), (None, 1), ("y", 2)] * 30)]
+    frame = spark.createDataFrame([*rows, ("x", 1, None)], "a string, b int, v double")
+    sets = {"both": ["a", "b"], "left": ["a"], "right": ["b"], "turned": ["b", "a"]}
+    tables = stats.boxes_of_sets(frame, "v", sets)
+    for name, groups in sets.items():
+        plain = stats.boxplot_stats(frame, groups, "v", local_points=True)
+        assert tables[name].columns == plain.columns
+        assert sorted(map(tuple, tables[name].collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
