@@ -63,6 +63,7 @@ def _turns(conversations: DataFrame, history: int) -> DataFrame:
         "place",
         "lead",
         "tokens",
+        "before",
         F.count("*").over(reach).cast("int").alias("n_history"),
         (F.col("before") - F.coalesce(F.min("before").over(reach), F.col("before"))).alias("history"),
         F.concat("head", "body", F.lit(END)).alias("piece"),
@@ -78,14 +79,15 @@ def format_conversations(
     """Windows of every conversation: conv_id, window, n_context, tokens, text, loss.
 
     ``n_context`` leading turns of a window are no new ones (the system turn and
-    history); ``loss`` holds spans (start, stop) in code points of ``text``. A window
-    exceeds the budget only if its one new turn does; turns are never cut. Turns that
+    history); ``loss`` holds spans (start, stop) in code points of ``text``. History is
+    shortened to what the budget leaves beside the system turn and the first new turn, so
+    a window exceeds the budget only if these two do; turns are never cut. Turns that
     share a number are ordered by role and text, repeated rows are turns of their own;
     a missing role or text is empty, rows without a conv_id are one conversation, and
     an empty table gives no window. A conversation is gathered in one row, as one
     document of the corpus; nothing else is.
     """
-    fields = ("place", "lead", "tokens", "n_history", "history", "piece", "n_head", "n_body", "target")
+    fields = ("place", "lead", "tokens", "before", "piece", "n_head", "n_body", "target", "n_history", "history")
     whole = (
         _turns(conversations, history)
         .groupBy("conv_id")
@@ -97,6 +99,19 @@ def format_conversations(
         )
         .withColumn("base", F.expr("CAST(aggregate(lead, 0L, (a, t) -> a + t.tokens) AS BIGINT)"))
     )
+    # History that fits beside the system turn and the turn itself: of the turns within
+    # reach those from which on the prefix sums leave room for both.
+    room = f"greatest(0L, least({history}L, {budget} - base - t.tokens))"
+    fitting = f"""
+        transform(said, (t, i) -> IF(t.history <= {room}, t, named_struct(
+            {", ".join(f"'{f}', t.{f}" for f in fields if f not in ("n_history", "history"))},
+            'n_history', size(filter(slice(said, i + 1 - t.n_history, t.n_history),
+                                     x -> t.before - x.before <= {room})),
+            'history', coalesce(array_max(transform(
+                filter(slice(said, i + 1 - t.n_history, t.n_history),
+                       x -> t.before - x.before <= {room}),
+                x -> t.before - x.before)), 0L))))"""
+    whole = whole.withColumn("said", F.expr(fitting))
     # Places (from 0) at which windows begin; the last field counts turns.
     begins = f"""
         aggregate(said, struct(array(0) AS begins, base AS used, 0 AS n),

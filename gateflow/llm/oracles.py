@@ -29,12 +29,16 @@ summed AS (
     SELECT *, CAST(sum(tokens) OVER (PARTITION BY conv_id, lead ORDER BY place)
                    - tokens AS BIGINT) AS before
     FROM measured),
+roomy AS (
+    SELECT *, CAST(greatest(1, least(512, 2048 - tokens - coalesce(
+        sum(tokens) FILTER (WHERE lead) OVER (PARTITION BY conv_id), 0))) AS BIGINT) AS room
+    FROM summed),
 reached AS (
     SELECT *, before - coalesce(min(before) OVER back, before) AS history,
            coalesce(sum(chars) OVER back, 0) AS history_chars
-    FROM summed
+    FROM roomy
     WINDOW back AS (PARTITION BY conv_id, lead ORDER BY before
-                    RANGE BETWEEN 512 PRECEDING AND 1 PRECEDING)),
+                    RANGE BETWEEN room PRECEDING AND 1 PRECEDING)),
 said AS (
     SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS n
     FROM reached WHERE NOT lead),

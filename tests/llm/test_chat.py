@@ -38,7 +38,8 @@ def plain_windows(turns, budget, history):
     while at < len(sizes) or not windows:
         back = at
         if windows:
-            while back > 0 and sum(sizes[back - 1 : at]) <= history:
+            room = min(history, budget - base - sizes[at])
+            while back > 0 and sum(sizes[back - 1 : at]) <= room:
                 back -= 1
         used, end = base + sum(sizes[back:at]), at
         while end < len(sizes) and (end == at or used + sizes[end] <= budget):
@@ -75,6 +76,23 @@ def test_windows_are_greedy_and_within_budget(spark):
             assert sorted(got[conv]) == want
 
 
+def test_no_window_exceeds_a_budget_that_its_new_turn_fits(spark):
+    rng = random.Random(8)
+    data = [
+        (conv, turn, "system" if turn == 0 and conv % 2 else "user", "word " * rng.choice([1, 5, 20, 60, 90]))
+        for conv in range(40)
+        for turn in range(rng.randint(1, 25))
+    ]
+    tokens_of = {(c, t): tokens(x) for c, t, _, x in data}
+    lead = {c: tokens(x) for c, t, r, x in data if r == "system"}
+    for w in format_conversations(spark.createDataFrame(data, SCHEMA), 100, 70).collect():
+        n = w.text.count("<|end|>\n") - w.n_context - (w.window == 0 and w.conv_id in lead)
+        alone = max(size for (c, _), size in tokens_of.items() if c == w.conv_id)
+        assert w.tokens <= 100 or (n == 1 and w.tokens <= lead.get(w.conv_id, 0) + alone)
+        if lead.get(w.conv_id, 0) + alone <= 100:
+            assert w.tokens <= 100
+
+
 def test_read_back_at_any_budget(spark):
     data = rows(4) + [(99, 0, None, None), (99, 0, "assistant", "twice"), (99, 0, "assistant", "twice"), (None, 1, "ro\nle", "x")]
     df = spark.createDataFrame(data, SCHEMA)
