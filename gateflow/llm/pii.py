@@ -13,6 +13,7 @@ shows its contexts. Seeds always stay.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -95,13 +96,21 @@ _TOKEN = re.compile(r"\S+")
 _NUMBER = re.compile(r"[0-9]+")
 
 
+def _whole(text: str, most: int) -> str:
+    """``text``, or its begin and a digest of all of it if it is longer than ``most``."""
+    if len(text) <= most:
+        return text
+    digest = hashlib.blake2b(text.encode(), digest_size=16).hexdigest()
+    return f"{text[: most // 2]}…{digest}"
+
+
 def _patterns(text: str, kind: str, start: int, end: int) -> list[str]:
     """Patterns around a span: two words before it, one before and one after it."""
     left = _TOKEN.findall(text[max(0, start - 80) : start])[-2:]
     right = _TOKEN.findall(text[end : end + 40])[:1]
 
     def norm(words: list[str]) -> str:
-        return _NUMBER.sub("0", " ".join(words).lower())[:80]
+        return _whole(_NUMBER.sub("0", " ".join(words).lower()), 80)
 
     found = []
     if len(left) == 2:
@@ -185,7 +194,7 @@ def _found(docs: DataFrame) -> DataFrame:
                                 "start": start,
                                 "stop": stop,
                                 "seed": seed,
-                                "value": text[start : min(stop, start + 200)],
+                                "value": _whole(text[start:stop], 200),
                                 "patterns": _patterns(text, kind, start, stop),
                             }
                             for (kind, start, stop), seed in seen

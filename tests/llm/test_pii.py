@@ -162,3 +162,13 @@ def test_redacted_texts(spark):
 def test_empty_table(spark):
     assert pii_report(spark.createDataFrame([], SCHEMA)).count() == 0
     assert redact(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_values_and_contexts_stay_apart():
+    from gateflow.llm.pii import _patterns, _whole
+
+    long = "x" * 500
+    assert _whole(long + "a", 200) != _whole(long + "b", 200)
+    assert len(_whole(long, 200)) < 200 and _whole("short", 200) == "short"
+    one, two = (f"{'y' * 39}{c}{'z' * 39} w 5" for c in "ab")
+    assert _patterns(one, "ip", len(one) - 1, len(one)) != _patterns(two, "ip", len(two) - 1, len(two))
