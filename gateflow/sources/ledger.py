@@ -96,7 +96,7 @@ def complete_versions(spark: SparkSession, folder: str) -> list[int]:
         return []
     found = []
     for entry in system.listStatus(root):
-        match = re.fullmatch(r"version=(\d+)", entry.getPath().getName())
+        match = re.match(r"version=(\d+)$", entry.getPath().getName())
         if match and system.exists(_path(spark, f"{folder}/{match[0]}/_SUCCESS")):
             found.append(int(match[1]))
     return sorted(found)
