@@ -8,8 +8,9 @@ content is: the smallest element that holds nearly all of their text is the core
 text is taken but for link lists below the threshold, and headlines are taken from the
 smallest element that holds all of it. Where the core lies in an article, the article
 is the content. Elements that by name, role or class are
-no part of an article are left out before, but not those whose class or id marks them
-and that hold most of the text. All data of a page lie in its row, so pages
+no part of an article are left out before, but not those that are forms, or whose class
+or id marks them, and that hold most of the text; marked words within a sentence stay.
+All data of a page lie in its row, so pages
 are worked on where they are read, without a shuffle.
 """
 
@@ -30,7 +31,7 @@ _MARKUP = re.compile(
     r"<!--(?P<comment>)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)"
     r"(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+(?:>|\Z)"
 )
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？¿¡]")
 
@@ -42,7 +43,7 @@ _INLINE = frozenset(
     "span strike strong sub sup time tt u var wbr br img".split()
 )
 _OUTSIDE = frozenset(
-    "nav footer aside form script style noscript template iframe button select dialog menu "
+    "nav footer aside script style noscript template iframe button select dialog menu "
     "svg object head title textarea".split()
 )
 _PARTS = _INLINE | frozenset(
@@ -50,6 +51,9 @@ _PARTS = _INLINE | frozenset(
     "thead tbody tfoot tr td th caption header".split()
 )
 _HEADLINES = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+_PARAGRAPHS = _HEADLINES | frozenset("p li dt dd td th blockquote pre figcaption caption".split())
+#: What a mark leaves of the ratio of a block's path.
+_LOWERED = 0.6
 _ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar "
     "toolbar form".split()
@@ -76,7 +80,7 @@ _CAMEL = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "paths", "depth", "parent", "outside", "link", "inside", "mark", "weight")
+    __slots__ = ("tag", "path", "paths", "depth", "parent", "outside", "link", "inside", "mark", "soft", "weight")
 
     def __init__(self, tag: str, parent: _Element | None, attributes: str):
         self.tag, self.parent, self.weight = tag, parent, 0.0
@@ -87,20 +91,22 @@ class _Element:
         self.inside = bool(parent and parent.inside) or tag in ("article", "main")
         self.link = tag == "a" or bool(parent and parent.link)
         own = tag in _OUTSIDE or (tag == "header" and not self.inside)
-        self.mark = 0
+        # A form may be the frame of a whole page, so it is a mark like a class.
+        self.mark = 2 if tag == "form" else 0
         if not own and attributes and tag not in ("html", "body", "article", "main"):
             own = _hidden(attributes)
-            self.mark = _marked(attributes, self.inside)
-            if self.mark and tag in _INLINE:
-                own = True
+            self.mark = max(self.mark, _marked(attributes, self.inside))
+        #: Marked words within a block, which go only where they are all of it.
+        self.soft = tag in _INLINE and bool(self.mark or (parent and parent.soft))
         self.outside = own or bool(parent and parent.outside)
 
 
 def _hidden(attributes: str) -> bool:
     for name, *values in _ATTRIBUTE.findall(attributes):
-        if name.lower() == "aria-hidden" and "".join(values).lower() == "true":
+        name = name.lower()
+        if name == "hidden" or (name == "aria-hidden" and "".join(values).lower() == "true"):
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes))
+    return False
 
 
 def _marked(attributes: str, inside: bool) -> int:
@@ -128,7 +134,9 @@ def _unmarked(blocks: list[tuple[_Element, str, int]]) -> list[tuple[_Element, s
     The text that matters is that of the outermost articles, without these of the
     outermost main elements, without these of the page. A marked element with more than
     half of it is a wrapper. Inside an article, or by a whole name on a page that has
-    none, it must hold four fifths, as long comments do hold half.
+    none, it must hold four fifths, as long comments do hold half. In an article a name
+    that only mentions a mark drops no paragraph, and no other block of text whose path
+    keeps its ratio when the mark lowers it.
     """
     anchors = {"article": 0, "main": 0}
     chains = []
@@ -162,7 +170,20 @@ def _unmarked(blocks: list[tuple[_Element, str, int]]) -> list[tuple[_Element, s
         share = held.get(id(node), 0)
         return share >= 0.8 * total if strict else share > 0.5 * total
 
-    return [b for b, chain in zip(blocks, chains) if all(not n.mark or wrapper(n) for n in chain)]
+    scores, threshold = path_scores(blocks), 0.0
+    if total:
+        threshold = 0.6 * sum(scores[e.path] * len(text) for e, text, _ in blocks) / sum(len(t) for _, t, _ in blocks)
+
+    def text_of_its_own(node: _Element, element: _Element) -> bool:
+        if node is not element or not node.inside or node.mark != 1:
+            return False
+        return node.tag in _PARAGRAPHS or _LOWERED * scores[node.path] >= threshold
+
+    return [
+        block
+        for block, chain in zip(blocks, chains)
+        if all(not n.mark or wrapper(n) or text_of_its_own(n, block[0]) for n in chain)
+    ]
 
 
 def _blocks(page: str) -> list[tuple[_Element, str, int]]:
@@ -171,19 +192,19 @@ def _blocks(page: str) -> list[tuple[_Element, str, int]]:
     stack = [root]
     blocks: list[tuple[_Element, str, int]] = []
     pieces: list[str] = []
-    linked = 0
+    linked = softened = 0
 
     def close_block() -> None:
-        nonlocal linked
+        nonlocal linked, softened
         if pieces:
             text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
-            if text:
+            if text and softened < sum(len(piece.strip()) for piece in pieces):
                 owner = stack[-1]
                 while owner.parent is not None and owner.tag in _INLINE:
                     owner = owner.parent
                 blocks.append((owner, text, linked))
             pieces.clear()
-        linked = 0
+        linked = softened = 0
 
     def pop_to(names: set, barrier: set) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -202,6 +223,8 @@ def _blocks(page: str) -> list[tuple[_Element, str, int]]:
             pieces.append(page[at:end])
             if stack[-1].link:
                 linked += end - at
+            if stack[-1].soft:
+                softened += len(page[at:end].strip())
         if match is None:
             break
         at = match.end()

@@ -128,3 +128,35 @@ def test_wrapper_names_still_drop_long_comments():
     assert main_text(page(body)) == text
     body = f"<div class=post><p>{text}</p></div><div id=comments><p>{text}</p></div>"
     assert main_text(page(body)) == text
+
+
+@pytest.mark.parametrize("frame", ["<form id=aspnetForm>{}</form>", "<form><article>{}</article></form>", "<article><form>{}</form></article>"])
+def test_form_around_the_page(frame):
+    text = [sentences(f"part{i}", 5) for i in range(4)]
+    body = frame.format("".join(f"<p>{t}</p>" for t in text))
+    assert main_text(page("<nav><a href=x>Home</a></nav>" + body)).split("\n") == text
+
+
+@pytest.mark.parametrize(
+    "attributes", ['data-title="the hidden garden"', 'class="lead hidden x"', "data-hidden=1", 'title="hidden"']
+)
+def test_values_that_mention_hidden(attributes):
+    text = [sentences(f"part{i}", 5) for i in range(4)]
+    body = f"<article><div {attributes}><p>{text[0]}</p></div>" + "".join(f"<p>{t}</p>" for t in text[1:]) + "</article>"
+    assert main_text(page(body)).split("\n") == text
+    body = body.replace(attributes, "hidden", 1)
+    assert main_text(page(body)).split("\n") == text[1:]
+
+
+@pytest.mark.parametrize("block", ["<p class='notice-period'>{}</p>", "<div class='share-price'>{}</div>", "<li class=menu-item>{}</li>"])
+def test_names_that_mention_a_mark_in_an_article(block):
+    text = [sentences(f"part{i}", 5) for i in range(4)]
+    body = f"<article><p>{text[0]}</p>{block.format(text[1])}<p>{text[2]}</p><p>{text[3]}</p></article>"
+    assert main_text(page(body)).split("\n") == text
+    body = f"<article><p>{text[0]}</p><div class=share-buttons>Share</div><div class=ad-box><p>Buy, now!</p></div></article>"
+    assert main_text(page(body)) == text[0]
+
+
+def test_marked_words_within_a_sentence():
+    body = f"<article><p>{PROSE}</p><p>He said that <em class=notice>the word</em> matters.</p><p><span class=ad>Buy <b>now</b>!</span></p></article>"
+    assert main_text(page(body)) == f"{PROSE}\nHe said that the word matters."
