@@ -4,18 +4,22 @@ The lexicon is learnt from labelled rows: a term (a word, or the stem of a famil
 words) belongs to it if it stands in several different contexts of toxic texts and in
 a far larger share of them than of the others. Contexts are told apart by the word
 before, hashed to one of 64 bits, a long that merges by OR; shares are those of
-distinct texts, as each of m copies counts 1/m. A Levenshtein automaton walks the trie of the lexicon with
-each distinct word of a text, so misspelled terms are caught; a word goes there only
-if it shares a half with a term, which every word within one edit does. Around each
-find a window tells quotation (quotes, verbs of saying) from abuse (the second
-person). A logistic model of the window scores, fitted to a bounded sample of labelled
-rows, gives the score.
+distinct texts, as each of m exact or near copies counts 1/m. A Levenshtein automaton walks the trie of the lexicon with
+each distinct word of a text, so misspelled terms are caught, also those written with
+signs between their letters; a word goes there only if it shares a piece with a term,
+which every word within reach does. Words near a term that other texts use as words of
+their own are no misspellings. Around each find a window tells quotation (quotes, verbs
+of saying) from abuse (the second person). A logistic model of the window scores, fitted
+to a bounded sample of labelled rows, gives the score.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import product
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +31,9 @@ from gateflow.operators.joins import broadcast_if_small
 from gateflow.session import store_table
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+#: Runs of letters and digits with one sign between each two of them.
+_SIGNED = re.compile(r"(?<![^\W_])[^\W_]++(?:(?:[^\w\s]|_)[^\W_]++)+")
+_SIGN = re.compile(r"[\W_]")
 _QUOTES = frozenset("\"“”„«»‹›‘‚`")
 #: Verbs and nouns that report a word, and second persons (fixed values).
 _REPORT = frozenset(
@@ -47,12 +54,39 @@ FEATURES = (
 )
 
 
-def _word_counts(rows: DataFrame) -> DataFrame:
+def _signature(text: str) -> int:
+    """The smallest hash of five words in a row, which near copies mostly share."""
+    words = _WORD.findall(text.lower())
+    ids = np.fromiter((crc32(w.encode()) for w in words), dtype=np.uint64, count=len(words))
+    n = max(1, len(ids) - 4)
+    mixed = np.zeros(n, dtype=np.uint64)
+    for k in range(min(5, len(ids))):
+        mixed = (mixed ^ ids[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(31)
+    return int(mixed.min().view(np.int64))
+
+
+def _signed_texts(rows: DataFrame) -> DataFrame:
+    """text, toxic and the signature of the text."""
+    schema = "text string, toxic boolean, hash long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [_signature(text) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("text"), batch.column("toxic"), pa.array(hashes, pa.int64())],
+                schema=arrow_schema(schema),
+            )
+
+    return rows.select("text", (F.col("toxic") > 0).alias("toxic")).mapInArrow(run, schema)
+
+
+def _word_counts(rows: DataFrame, longest: int) -> DataFrame:
     """word, a 64-bit set of its contexts in toxic texts, and the texts that hold it.
 
     ``rows`` has text, toxic and weight; texts are summed weights. Beginnings of four
-    letters or more have rows of their own, marked by a star and without contexts: a
-    text with many words of a family counts once there.
+    to ``longest`` letters of longer words have rows of their own, marked by a star and
+    without contexts: a text with many words of a family counts once there.
     """
     schema = "word string, contexts long, toxic double, other double"
 
@@ -78,7 +112,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
                 words = _WORD.findall(text.lower())
                 distinct = set(words)
                 held = texts[label]
-                heads = {f"{w[:k]}*" for w in distinct if len(w) <= 40 for k in range(4, len(w) + 1)}
+                heads = {f"{w[:k]}*" for w in distinct for k in range(4, min(len(w) - 1, longest) + 1)}
                 for word in distinct | heads:
                     held[word] = held.get(word, 0.0) + weight
                 if label:
@@ -99,18 +133,29 @@ def _word_counts(rows: DataFrame) -> DataFrame:
 
 
 def learn_lexicon(
-    rows: DataFrame, most_contexts: int = 10, ratio: int = 12, size: int = 2000
-) -> list[tuple[str, bool]]:
-    """Terms (text, is a stem) from labelled rows (text, toxic).
+    rows: DataFrame,
+    most_contexts: int = 5,
+    ratio: int = 12,
+    least_share: float = 0.002,
+    longest: int = 40,
+) -> tuple[list[tuple[str, bool]], frozenset[str]]:
+    """Terms (text, is a stem) from labelled rows (text, toxic), and words that are none.
 
     A word or prefix qualifies with enough different contexts in toxic texts, and if
-    the share of toxic texts that hold it, less three standard errors, is ``ratio``
-    times that of the others. Enough is a tenth of the toxic texts, but
-    three at least and ``most_contexts`` at most. A stem has at least four
-    letters and three different words; the shortest qualifying prefix stands for its
-    family. At most ``size`` terms, those in most toxic texts, are kept.
+    the share of toxic texts that hold it, less two standard errors, is ``ratio``
+    times that of the others, where half a text more counts as seen. Enough is a tenth of
+    the toxic texts, but three at least and ``most_contexts`` at most. A stem
+    is the beginning of longer words (the word that it is by itself may be another one),
+    has at least four letters and three different words, and stands in half as many toxic
+    texts again as any of them; the shortest qualifying prefix stands for its family.
+    A term stands in ``least_share`` of the distinct toxic texts, so terms are at most the
+    mean number of distinct words and beginnings of such a text divided by that share,
+    however many texts there are. It has ``longest`` letters at most.
+
+    Words within reach of a term are no misspellings of it if two or more other texts
+    hold them and toxic texts do not hold them three times as often.
     """
-    marked = rows.select("text", (F.col("toxic") > 0).alias("toxic"), F.xxhash64("text").alias("hash"))
+    marked = _signed_texts(rows)
     copies = store_table(marked.groupBy("hash", "toxic").agg(F.count("*").alias("copies")))
     n_rows, n_toxic, n_other = copies.agg(
         F.sum(F.when(F.col("toxic"), F.col("copies"))), F.count_if("toxic"), F.count_if(~F.col("toxic"))
@@ -120,130 +165,232 @@ def learn_lexicon(
     weighed = marked.join(repeated, ["hash", "toxic"], "left").select(
         "text", "toxic", (1 / F.coalesce("copies", F.lit(1))).alias("weight")
     )
-    held = store_table(_word_counts(weighed))
-    counts = held.filter("length(word) BETWEEN 3 AND 40 AND NOT endswith(word, '*')")
+    held = store_table(_word_counts(weighed, longest))
+    counts = held.filter(f"length(word) <= {longest} AND NOT endswith(word, '*')")
     heads = held.filter("endswith(word, '*')").select(
         F.expr("left(word, length(word) - 1)").alias("word"), "toxic", "other"
     )
     enough = (
-        f"bit_count(contexts) >= {least_contexts} AND (other = 0 OR "
-        f"(toxic - 3 * sqrt(toxic)) * {n_other} >= {ratio} * other * {n_toxic})"
+        f"bit_count(contexts) >= {least_contexts} AND toxic >= {least_share} * {n_toxic} AND "
+        f"(toxic - 2 * sqrt(toxic)) * {n_other} >= {ratio} * (other + 0.5) * {n_toxic}"
     )
-    words = counts.filter(enough).select("word", F.lit(False).alias("stem"), F.round("toxic", 3).alias("n"))
+    words = counts.filter(enough).select("word", F.lit(False).alias("stem"))
     prefixes = (
-        counts.select(
-            F.explode(F.expr("transform(sequence(4, greatest(4, length(word))), i -> left(word, i))")).alias("word"),
+        counts.filter("length(word) > 4").select(
+            F.explode(F.expr("transform(sequence(4, length(word) - 1), i -> left(word, i))")).alias("word"),
             "contexts",
+            F.col("toxic").alias("own"),
         )
         .groupBy("word")
-        .agg(F.bit_or("contexts").alias("contexts"), F.count("*").alias("members"))
+        .agg(
+            F.bit_or("contexts").alias("contexts"),
+            F.count("*").alias("members"),
+            F.max("own").alias("largest"),
+        )
         .filter(f"members >= 3 AND bit_count(contexts) >= {least_contexts}")
         .join(heads, "word")
-        .filter(enough)
-        .select("word", F.lit(True).alias("stem"), F.round("toxic", 3).alias("n"))
+        .filter(f"{enough} AND toxic >= 1.5 * largest")
+        .select("word", F.lit(True).alias("stem"))
     )
-    ranked = words.unionAll(prefixes).orderBy(F.desc("n"), F.length("word"), "word", "stem")
-    found = [(row.word, row.stem) for row in ranked.limit(4 * size).collect()]
-    stems = {word for word, stem in found if stem}
-    kept = [
-        (word, stem)
-        for word, stem in found
-        if not any(word[:k] in stems for k in range(4, len(word) + (not stem)))
-    ]
-    return kept[:size]
+    terms = store_table(words.unionAll(prefixes))
+    stems = terms.filter("stem").select(F.col("word").alias("head"))
+    # Beginnings that would make the term a member of a shorter family.
+    shorter = F.expr("transform(sequence(4, length(word) - 1), i -> left(word, i))")
+    members = terms.filter("length(word) > 4").select("word", "stem", F.explode(shorter).alias("head")).join(stems, "head")
+    alone = terms.join(members.select("word", "stem").distinct(), ["word", "stem"], "left_anti")
+    found = [(row.word, row.stem) for row in alone.orderBy("word", "stem").collect()]
+    other_words = counts.filter(f"other >= 2 AND toxic * {n_other} < 3 * other * {n_toxic}")
+    return found, frozenset(row.word for row in _near_words(other_words, found).collect())
+
+
+def _near_words(words: DataFrame, terms: list[tuple[str, bool]]) -> DataFrame:
+    """The rows of ``words`` that lie within the reach of a term but are none."""
+    shared = words.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = Trie(shared.value)
+        for batch in batches:
+            finds = ((word, trie.find(word)) for word in batch.column("word").to_pylist())
+            near = [word for word, find in finds if find and find[1]]
+            yield pa.RecordBatch.from_pydict({"word": near}, schema=arrow_schema("word string"))
+
+    return words.select("word").mapInArrow(run, "word string")
+
+
+def edits_allowed(term: str, stem: bool = False) -> int:
+    """Edits within which a word still is ``term``: one from four letters, two from nine.
+
+    A stem allows none, as beginnings within an edit of it are met by far more words.
+    """
+    return 0 if stem else (len(term) >= 4) + (len(term) >= 9)
+
+
+class _Node:
+    """Node of the trie; ``reach`` is the most edits that a term at or below it allows."""
+
+    __slots__ = ("children", "ends", "reach")
+
+    def __init__(self):
+        self.children: dict[str, _Node] = {}
+        self.ends: dict[bool, str] = {}
+        self.reach = 0
+
+
+def _pieces(term: str, stem: bool) -> Iterator[str]:
+    """Patterns of which each word within the edits allowed for ``term`` has one.
+
+    The term is cut into one piece more than there are edits, so an edit within a piece
+    leaves another whole. A swap of the letters on both sides of a cut joins its pieces.
+    """
+    edits = edits_allowed(term, stem)
+    cuts = [len(term) * k // (edits + 1) for k in range(1, edits + 1)]
+    for swaps in product((False, True), repeat=edits):
+        letters = list(term)
+        for cut in (c for c, swap in zip(cuts, swaps) if swap):
+            letters[cut - 1], letters[cut] = letters[cut], letters[cut - 1]
+        borders = [0, *(c for c, swap in zip(cuts, swaps) if not swap), len(term)]
+        for begin, end in zip(borders, borders[1:]):
+            piece = re.escape("".join(letters[begin:end]))
+            if begin == 0:
+                yield f"^{piece}" if end < len(term) or stem else f"^{piece}$"
+            elif end == len(term) and not stem:
+                yield f"{piece}$"
+            else:
+                yield f"^.{{{max(0, begin - edits)},{begin + edits}}}{piece}"
 
 
 class Trie:
     """Lexicon trie; ``find`` intersects it with the Levenshtein automaton of a word."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
-        self.root: dict = {}
-        heads, tails, middles = set(), set(), set()
+    def __init__(self, terms: list[tuple[str, bool]], none: frozenset[str] = frozenset()):
+        self.root, self.none = _Node(), none
+        patterns = set()
         for term, stem in terms:
             node = self.root
+            node.reach = max(node.reach, edits_allowed(term, stem))
             for letter in term:
-                node = node.setdefault(letter, {})
-            node["stem" if stem else "word"] = term
-            half = len(term) // 2
-            heads.add(term[:half] if len(term) >= 5 else term)
-            if len(term) >= 5:
-                (middles if stem else tails).add(term[half:])
-        parts = [f"^{re.escape(x)}" for x in sorted(heads)]
-        parts += [f"{re.escape(x)}$" for x in sorted(tails)]
-        parts += [f"^.{{1,20}}?{re.escape(x)}" for x in sorted(middles)]
-        self.may_match = re.compile("|".join(parts) if terms else "(?!)").search
+                node = node.children.setdefault(letter, _Node())
+                node.reach = max(node.reach, edits_allowed(term, stem))
+            node.ends[stem] = term
+            patterns.update(_pieces(term, stem))
+        self.may_match = re.compile("|".join(sorted(patterns)) or "(?!)", re.DOTALL).search
 
     def find(self, word: str) -> tuple[str, int] | None:
         """The term within reach of ``word`` and its edits, the fewest first.
 
-        Terms of five letters or more allow one edit (an insertion, a deletion or
-        another letter), which may not be the first letter; others allow none. A
-        stem is met by the beginning of a word.
+        An edit is an insertion, a deletion, another letter or a swap of neighbours;
+        ``edits_allowed`` says how many a term may have. A stem is met by the beginning
+        of a longer word. A word of ``none`` is no misspelling.
         """
         if not self.may_match(word):
             return None
-        states: dict[int, tuple[dict, int, int]] = {id(self.root): (self.root, 0, 0)}
         best: tuple[str, int] | None = None
-        for letter in [*word, ""]:
-            # Deletions: a letter of the term that the word lacks.
-            for node, edits, depth in list(states.values()):
-                if edits == 0 and depth:
-                    for key, child in node.items():
-                        if len(key) == 1:
-                            states.setdefault(id(child), (child, 1, depth + 1))
-            for node, edits, depth in states.values():
-                for key in ("stem",) if letter else ("stem", "word"):
-                    term = node.get(key)
-                    if term and (edits == 0 or len(term) >= 5):
-                        if best is None or edits < best[1]:
-                            best = (term, edits)
-            if not letter:
+        states: dict[tuple, tuple[_Node, int, str]] = {}
+        self._reach(states, self.root, 0)
+        for at in range(len(word) + 1):
+            for node, edits, expected in states.values():
+                for stem, term in node.ends.items():
+                    met = not expected and stem == (at < len(word)) and edits <= edits_allowed(term, stem)
+                    if met and (best is None or edits < best[1]):
+                        best = (term, edits)
+            if at == len(word):
                 break
-            after: dict[int, tuple[dict, int, int]] = {}
-            for node, edits, depth in states.values():
-                steps = []
-                child = node.get(letter)
-                if child is not None:
-                    steps.append((child, edits, depth + 1))
-                if edits == 0 and depth:
-                    steps.append((node, 1, depth))
-                    steps += [(c, 1, depth + 1) for k, c in node.items() if len(k) == 1 and k != letter]
-                for step in steps:
-                    other = after.get(id(step[0]))
-                    if other is None or step[1] < other[1]:
-                        after[id(step[0])] = step
+            after: dict[tuple, tuple[_Node, int, str]] = {}
+            for node, edits, expected in states.values():
+                self._step(after, node, edits, expected, word[at])
             states = after
             if not states:
                 break
+        if best is not None and best[1] and word in self.none:
+            return None
         return best
 
+    def _reach(self, states: dict, node: _Node, edits: int, expected: str = "") -> None:
+        """Enter a state, and those behind it where letters of the term are left out.
+
+        ``expected`` is the first of two swapped letters, which the word still owes.
+        """
+        if edits > node.reach:
+            return
+        held = states.get((id(node), expected))
+        if held is not None and held[1] <= edits:
+            return
+        states[id(node), expected] = (node, edits, expected)
+        if not expected:
+            for child in node.children.values():
+                self._reach(states, child, edits + 1)
+
+    def _step(self, after: dict, node: _Node, edits: int, expected: str, letter: str) -> None:
+        if expected:
+            if letter == expected:
+                self._reach(after, node, edits)
+            return
+        child = node.children.get(letter)
+        if child is not None:
+            self._reach(after, child, edits)
+        if edits < node.reach:
+            self._reach(after, node, edits + 1)
+            for key, child in node.children.items():
+                if key == letter:
+                    continue
+                self._reach(after, child, edits + 1)
+                swapped = child.children.get(letter)
+                if swapped is not None:
+                    self._reach(after, swapped, edits + 1, key)
+
+
+def _joined_finds(lower: str, cache: dict, trie: Trie) -> list[tuple[int, int]]:
+    """Places of words that are a term once the single signs among their letters go.
+
+    Places with a word that is a find by itself are left out.
+    """
+    places = []
+    for match in _SIGNED.finditer(lower):
+        word = match.group()
+        if any(cache.get(part) for part in _WORD.findall(word)):
+            continue
+        joined = _SIGN.sub("", word)
+        if joined not in cache:
+            cache[joined] = trie.find(joined)
+        find = cache[joined]
+        # A beginning would make a find of any list that has signs for spaces.
+        if find and abs(len(joined) - len(find[0])) <= 2:
+            places.append(match.span())
+    return places
+
 
 def text_features(text: str, trie: Trie, cache: dict) -> list[float]:
-    """``FEATURES`` of a text: how its finds stand in their windows."""
+    """``FEATURES`` of a text: how its finds stand in their windows.
+
+    Abuse is any find outside a quotation; misspelt ones among it count once more.
+    """
     lower = text.lower()
     distinct = set(_WORD.findall(lower))
     for word in distinct.difference(cache):
         cache[word] = trie.find(word)
     hits = {word for word in distinct if cache[word]}
-    if not hits:
+    signed = _joined_finds(lower, cache, trie)
+    if not hits and not signed:
         return [0.0] * len(FEATURES)
     matches = list(_WORD.finditer(lower))
     words = [match.group() for match in matches]
+    starts = [match.start() for match in matches]
+    # First and last word, place in the text, and whether the spelling is another one.
+    finds = [
+        (i, i, matches[i].span(), bool(cache[word][1])) for i, word in enumerate(words) if word in hits
+    ]
+    for start, end in signed:
+        finds.append((bisect_left(starts, start), bisect_left(starts, end) - 1, (start, end), True))
     abuse = quoted = misspelt = second = 0
-    for i, word in enumerate(words):
-        if word not in hits:
-            continue
-        near = words[max(0, i - _REACH) : i] + words[i + 1 : i + 1 + _REACH]
-        start, end = matches[i].span()
+    for first, last, (start, end), other_spelling in finds:
+        near = words[max(0, first - _REACH) : first] + words[last + 1 : last + 1 + _REACH]
         marks = lower[max(0, start - 2) : start] + lower[end : end + 2]
         if any(m in _QUOTES for m in marks) and (_REPORT.intersection(near) or sum(m in _QUOTES for m in marks) > 1):
             quoted += 1
             continue
         second += bool(_SECOND.intersection(near))
-        if cache[word][1]:
-            misspelt += 1
-        else:
-            abuse += 1
+        abuse += 1
+        misspelt += other_spelling
     return [
         float(abuse > 0),
         float(np.log1p(abuse)),
@@ -256,7 +403,9 @@ def text_features(text: str, trie: Trie, cache: dict) -> list[float]:
     ]
 
 
-def lexicon_features(docs: DataFrame, terms: list[tuple[str, bool]]) -> DataFrame:
+def lexicon_features(
+    docs: DataFrame, terms: list[tuple[str, bool]], none: frozenset[str] = frozenset()
+) -> DataFrame:
     """doc_id and the window scores of every row."""
     schema = "doc_id long, " + ", ".join(f"{name} double" for name in FEATURES)
     rows = docs.select(
@@ -264,8 +413,10 @@ def lexicon_features(docs: DataFrame, terms: list[tuple[str, bool]]) -> DataFram
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
 
+    shared = docs.sparkSession.sparkContext.broadcast((terms, none))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, cache = Trie(terms), {}
+        trie, cache = Trie(*shared.value), {}
         for batch in batches:
             if len(cache) > 300_000:
                 cache.clear()
@@ -331,8 +482,8 @@ def score_toxicity(
     missing text counts as empty and gets the score of a text without a find;
     repeated rows stay; without training rows every score is 0.5.
     """
-    terms = learn_lexicon(training.select("text", "toxic"))
-    features = store_table(lexicon_features(docs, terms))
+    terms, none = learn_lexicon(training.select("text", "toxic"))
+    features = store_table(lexicon_features(docs, terms, none))
     marks = training.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     sample = features.join(F.broadcast(marks), "doc_id").dropDuplicates(["doc_id"]).toPandas()
     w = fit_logistic(sample[list(FEATURES)].to_numpy(float), sample["toxic"].to_numpy(float))
